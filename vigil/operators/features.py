@@ -231,3 +231,22 @@ def feat_full(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp") -> DataFra
 
 def is_finite(c: Column) -> Column:
     return ~(F.isnan(c) | (F.abs(c) == F.lit(math.inf)))
+
+
+def position_columns() -> WindowBuilder:
+    """Exact series position (``row_idx``) and series length (``series_rows``)
+    from the same window pass."""
+    def build(fr: Framed) -> list[Column]:
+        return [fr.idx().alias("row_idx"), fr.length().alias("series_rows")]
+    return build
+
+
+def feat_full_positioned(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp") -> DataFrame:
+    """``feat_full`` plus ``row_idx`` / ``series_rows`` for temporal splits."""
+    windowed = run_windows(df, spec.with_reach(max(ROLLING_REACH, LAG_REACH), 0),
+                           [rolling_columns(), lag_columns(), delta_columns(), corr_columns(),
+                            position_columns()])
+    stage = windowed.select("*", *calendar_columns(F.col(ts)), *zscore_columns(),
+                            *cross_scalar_columns(), joint_breach_column())
+    stage = stage.select("*", *composite_columns())
+    return stage.select(*[F.col(c) for c in df.columns], *feature_names(), "row_idx", "series_rows")

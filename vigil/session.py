@@ -32,6 +32,9 @@ def get_session(master: str | None = None, app: str = "vigil",
         master = "local[*]"
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the executor; size it explicitly
+            builder = builder.config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
@@ -64,3 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables (lineage cuts, streaming sinks and their checkpoints)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
     return f"{base.rstrip('/')}/vigil/{name}"
+
+
+def materialize(df, name: str = "frame"):
+    """Cut lineage by writing the frame as parquet into the shared checkpoint
+    folder and reading it back (for frames several jobs read, e.g. a training
+    set). The written table survives executor loss, keeps column pruning and
+    predicate pushdown for its readers, and avoids RDD checkpointing, which
+    recomputes the plan and serialises rows one by one."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"materialized/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
