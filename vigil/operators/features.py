@@ -33,7 +33,7 @@ WindowBuilder = Callable[[Framed], list[Column]]
 
 
 def default_spec(keys: Sequence[str] = ("service",), order: str = "timestamp",
-                 tiebreak: str | None = "event_id", chunk_rows: int = 2_000_000) -> SeriesSpec:
+                 tiebreak: str | None = "event_id", chunk_rows: int = 500_000) -> SeriesSpec:
     return SeriesSpec(keys=tuple(keys), order=order, tiebreak=tiebreak,
                       back=max(ROLLING_REACH, LAG_REACH), forward=0, chunk_rows=chunk_rows)
 
@@ -183,8 +183,11 @@ def feat_composite(df: DataFrame, metrics: Sequence[str] = METRIC_COLS) -> DataF
 # --- DataFrame-level operators ---------------------------------------------
 
 def feat_rolling(df: DataFrame, spec: SeriesSpec, metrics: Sequence[str] = METRIC_COLS,
-                 windows: Sequence[int] = WINDOWS) -> DataFrame:
-    return run_windows(df, spec.with_reach(max(windows), 0), [rolling_columns(metrics, windows)])
+                 windows: Sequence[int] = WINDOWS, engine: str | None = None) -> DataFrame:
+    reach = spec.with_reach(max(windows), 0)
+    if _use_kernel(engine):
+        return kernel_windows(df, reach, ("rolling",), metrics=metrics, windows=windows)
+    return run_windows(df, reach, [rolling_columns(metrics, windows)])
 
 
 def feat_lag(df: DataFrame, spec: SeriesSpec, metrics: Sequence[str] = CHANGE_COLS,
@@ -192,12 +195,14 @@ def feat_lag(df: DataFrame, spec: SeriesSpec, metrics: Sequence[str] = CHANGE_CO
     return run_windows(df, spec.with_reach(max(steps), 0), [lag_columns(metrics, steps)])
 
 
-def feat_delta(df: DataFrame, spec: SeriesSpec, metrics: Sequence[str] = CHANGE_COLS) -> DataFrame:
-    return run_windows(df, spec.with_reach(4, 0), [delta_columns(metrics)])
+def feat_rolling_corr(df: DataFrame, spec: SeriesSpec, engine: str | None = None) -> DataFrame:
+    if _use_kernel(engine):
+        return kernel_windows(df, spec.with_reach(CORR_WINDOW, 0), ("corr",))
+    return run_windows(df, spec.with_reach(CORR_WINDOW, 0), [corr_columns()])
 
 
-def feat_rolling_corr(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return run_windows(df, spec.with_reach(CORR_WINDOW, 0), [corr_columns()])
+def feat_delta(df: DataFrame, spec: SeriesSpec, metrics: Sequence[str] = CHANGE_COLS) -> DataFrame:
+    return run_windows(df, spec.with_reach(4, 0), [delta_columns(metrics)])
 
 
 def feature_names() -> list[str]:
@@ -218,10 +223,13 @@ def feature_names() -> list[str]:
     return names
 
 
-def feat_full(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp") -> DataFrame:
+def feat_full(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp", engine: str | None = None) -> DataFrame:
     """All feature groups: one framed window pass, then projections."""
-    windowed = run_windows(df, spec.with_reach(max(ROLLING_REACH, LAG_REACH), 0),
-                           [rolling_columns(), lag_columns(), delta_columns(), corr_columns()])
+    reach = spec.with_reach(max(ROLLING_REACH, LAG_REACH), 0)
+    if _use_kernel(engine):
+        windowed = kernel_windows(df, reach, ("rolling", "lag", "delta", "corr"))
+    else:
+        windowed = run_windows(df, reach, [rolling_columns(), lag_columns(), delta_columns(), corr_columns()])
     base = [F.col(c) for c in df.columns]
     stage = windowed.select("*", *calendar_columns(F.col(ts)), *zscore_columns(),
                             *cross_scalar_columns(), joint_breach_column())
@@ -241,12 +249,82 @@ def position_columns() -> WindowBuilder:
     return build
 
 
-def feat_full_positioned(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp") -> DataFrame:
+def feat_full_positioned(df: DataFrame, spec: SeriesSpec, ts: str = "timestamp",
+                         engine: str | None = None) -> DataFrame:
     """``feat_full`` plus ``row_idx`` / ``series_rows`` for temporal splits."""
-    windowed = run_windows(df, spec.with_reach(max(ROLLING_REACH, LAG_REACH), 0),
-                           [rolling_columns(), lag_columns(), delta_columns(), corr_columns(),
-                            position_columns()])
+    reach = spec.with_reach(max(ROLLING_REACH, LAG_REACH), 0)
+    if _use_kernel(engine):
+        windowed = kernel_windows(df, reach, ("rolling", "lag", "delta", "corr", "position"))
+    else:
+        windowed = run_windows(df, reach, [rolling_columns(), lag_columns(), delta_columns(), corr_columns(),
+                                           position_columns()])
     stage = windowed.select("*", *calendar_columns(F.col(ts)), *zscore_columns(),
                             *cross_scalar_columns(), joint_breach_column())
     stage = stage.select("*", *composite_columns())
     return stage.select(*[F.col(c) for c in df.columns], *feature_names(), "row_idx", "series_rows")
+
+
+# --- kernel engine ------------------------------------------------------------
+# The same feature groups computed by ``kernels.run_kernel`` per chunk:
+# primitive frame statistics in numpy, final expressions in Spark.
+
+ENGINE = "kernel"  # "kernel" (vectorised per chunk) or "sql" (window expressions)
+
+
+def _use_kernel(engine: str | None) -> bool:
+    return (engine or ENGINE) == "kernel"
+
+
+def kernel_windows(df: DataFrame, spec: SeriesSpec, groups: Sequence[str],
+                   metrics: Sequence[str] = METRIC_COLS, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    from vigil.operators.kernels import Stat, run_stats
+    stats: list[Stat] = []
+    final: list[Column] = []
+    if "rolling" in groups:
+        for m in metrics:
+            for w in windows:
+                stats += [Stat(f"_k_mean_{m}_{w}", "mean", m, -(w - 1), 0), Stat(f"_k_std_{m}_{w}", "std", m, -(w - 1), 0)]
+                final += [F.col(f"_k_mean_{m}_{w}").alias(f"{m}_roll_mean_{w}"),
+                          F.coalesce(F.col(f"_k_std_{m}_{w}"), F.lit(0.0)).alias(f"{m}_roll_std_{w}")]
+            stats += [Stat(f"_k_max_{m}", "max", m, -59, 0), Stat(f"_k_min_{m}", "min", m, -59, 0)]
+            final += [F.col(f"_k_max_{m}").alias(f"{m}_roll_max_60"), F.col(f"_k_min_{m}").alias(f"{m}_roll_min_60")]
+    need_pos = "lag" in groups or "position" in groups
+    if need_pos:
+        stats += [Stat("_k_idx", "idx"), Stat("_k_len", "len")]
+    if "lag" in groups or "delta" in groups:
+        lags = set()
+        if "lag" in groups:
+            lags |= set(LAG_STEPS)
+        if "delta" in groups:
+            lags |= {1, 4}
+        for m in CHANGE_COLS:
+            stats += [Stat(f"_k_lag_{m}_{L}", "lag", m, L) for L in sorted(lags)]
+            if "lag" in groups:
+                stats.append(Stat(f"_k_first_{m}", "first", m))
+    if "lag" in groups:
+        idx, n = F.col("_k_idx"), F.col("_k_len")
+        for m in CHANGE_COLS:
+            for L in LAG_STEPS:
+                final.append(F.when(idx >= L, F.col(f"_k_lag_{m}_{L}")).when(n > L, F.col(f"_k_first_{m}"))
+                             .cast("double").alias(f"{m}_lag_{L}"))
+    if "delta" in groups:
+        for m in CHANGE_COLS:
+            x, l1, l4 = F.col(m), F.col(f"_k_lag_{m}_1"), F.col(f"_k_lag_{m}_4")
+            final += [F.coalesce(x - l1, F.lit(0)).cast("double").alias(f"{m}_delta_1"),
+                      F.coalesce(x - l4, F.lit(0)).cast("double").alias(f"{m}_delta_4"),
+                      F.when(l4.isNull() | (l4 == 0), F.lit(0.0)).otherwise(x / l4 - 1.0).alias(f"{m}_pct_change_4")]
+    if "corr" in groups:
+        a, b, lo = "error_rate", "latency_p95_ms", -(CORR_WINDOW - 1)
+        stats += [Stat("_k_cn", "count", a, lo, 0), Stat("_k_sa", "std", a, lo, 0), Stat("_k_sb", "std", b, lo, 0),
+                  Stat("_k_cov", "covar", a, lo, 0, b)]
+        denom = F.col("_k_sa") * F.col("_k_sb")
+        r = F.when((F.col("_k_cn") >= CORR_MIN_PERIODS) & (denom != 0), F.col("_k_cov") / denom)
+        final.append(F.coalesce(r, F.lit(0.0)).alias("error_latency_corr_60"))
+    if "position" in groups:
+        final += [F.col("_k_idx").alias("row_idx"), F.col("_k_len").alias("series_rows")]
+    # NaN from the kernel means "no value" (Spark NULL)
+    out = run_stats(df, spec, stats)
+    out = out.select(*[F.col(c) for c in df.columns],
+                     *[F.when(~F.isnan(F.col(s.name)), F.col(s.name)).alias(s.name)
+                       if s.kind not in ("idx", "len") else F.col(s.name) for s in stats])
+    return out.select(*[F.col(c) for c in df.columns], *final)

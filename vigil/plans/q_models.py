@@ -79,14 +79,14 @@ def given_scores(spark, sf_dir) -> DataFrame:
     """Two deterministic detector scores (batch min-max of the composite and
     of the max |z|, 4 digits) so the blend and the weight search have an
     exact SQL twin; model scores plug into the same operators."""
-    p = load_panel(spark, sf_dir)
-    z = zscore_features(p)
-    z, _, _ = dt.batch_minmax(z, "composite_zscore", "_i")
-    z, _, _ = dt.batch_minmax(z, "max_zscore", "_a")
-    z = z.withColumn("iso_s", F.round("_i", 4)).withColumn("ae_s", F.round("_a", 4))
-    pos = fe.run_windows(z.select("event_id", "service", "timestamp", "is_anomaly", "iso_s", "ae_s"),
-                         SPEC.with_reach(0, 0), [fe.position_columns()])
-    return pos.withColumn("split", split_col())
+    z = zscore_features(load_panel(spark, sf_dir), position=True).select(
+        "event_id", "service", "timestamp", "is_anomaly", "composite_zscore", "max_zscore", "row_idx", "series_rows")
+    r = z.agg(F.min("composite_zscore").alias("li"), F.max("composite_zscore").alias("hi_"),
+              F.min("max_zscore").alias("la"), F.max("max_zscore").alias("ha")).collect()[0]
+    z = z.select("event_id", "service", "timestamp", "is_anomaly", "row_idx", "series_rows",
+                 F.round(dt.minmax_expr(F.col("composite_zscore"), r["li"], r["hi_"]), 4).alias("iso_s"),
+                 F.round(dt.minmax_expr(F.col("max_zscore"), r["la"], r["ha"]), 4).alias("ae_s"))
+    return z.withColumn("split", split_col())
 
 
 @query("ensemble_score", GIVEN_SQL + "SELECT event_id, " + S.R(S.R("0.3 * iso_s + 0.7 * ae_s", 4))

@@ -21,8 +21,10 @@ SPEC = fe.default_spec()
 SCORE = "ensemble_score"
 
 
-def zscore_features(panel: DataFrame) -> DataFrame:
-    r = fe.run_windows(panel, SPEC.with_reach(60, 0), [fe.rolling_columns(windows=(60,))])
+def zscore_features(panel: DataFrame, position: bool = False) -> DataFrame:
+    """rolling(60) → z-scores → composite, in one chunked kernel pass."""
+    groups = ("rolling", "position") if position else ("rolling",)
+    r = fe.kernel_windows(panel, SPEC.with_reach(60, 0), groups, windows=(60,))
     return fe.feat_composite(fe.feat_zscore(r))
 
 
