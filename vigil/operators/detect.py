@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -325,15 +325,13 @@ def ensemble_weight_search(scored: DataFrame, iso: str, ae: str, label: str,
     # unique and monotone, so one bucketed prefix pass serves all weights.
     key = (F.col("wi").cast("double") * 4.0 - F.col("s"))
     g = g.withColumn("_k", key)
-    tot = g.groupBy("wi").agg(F.sum("pos").alias("P"))
     cum = running_totals(g, "_k", ["pos", "neg"], descending=False)
-    before = running_totals(tot.withColumn("_z", F.col("wi").cast("double")), "_z", ["P"], descending=False)
-    before = before.select("wi", "P", (F.col("cum_P") - F.col("P")).alias("_offp"))
-    cum = cum.join(F.broadcast(before), "wi")
-    offn = g.groupBy("wi").agg(F.sum("neg").alias("N"))
-    offn = running_totals(offn.withColumn("_z", F.col("wi").cast("double")), "_z", ["N"], descending=False)
-    offn = offn.select("wi", (F.col("cum_N") - F.col("N")).alias("_offn"))
-    cum = cum.join(F.broadcast(offn), "wi")
+    # offsets of the earlier weights: a 21-row table, one bounded window
+    tot = g.groupBy("wi").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    before = Window.orderBy("wi").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("wi", "P", F.coalesce(F.sum("P").over(before), F.lit(0)).alias("_offp"),
+                      F.coalesce(F.sum("N").over(before), F.lit(0)).alias("_offn"))
+    cum = cum.join(F.broadcast(offs), "wi")
     tp = (F.col("cum_pos") - F.col("_offp")).cast("double")
     fp = (F.col("cum_neg") - F.col("_offn")).cast("double")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)

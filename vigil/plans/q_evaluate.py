@@ -294,3 +294,21 @@ def q_feedback_summary(spark, sf_dir):
     "AS actual_root_cause, CAST(count(*) AS BIGINT) AS n FROM fb GROUP BY 1, 2"))
 def q_feedback_confusion(spark, sf_dir):
     return feedback_confusion(feedback_frame(spark, sf_dir))
+
+
+REG_SQL = S.with_panel() + FC_CTE + TE_CTE + f"""SELECT
+  {S.R(S.R(f'avg(abs(target - {T_}_roll_mean_4))', 4))} AS mae,
+  {S.R(S.R(f'sqrt(avg((target - {T_}_roll_mean_4) * (target - {T_}_roll_mean_4)))', 4))} AS rmse,
+  {S.R(S.R(f'avg(CASE WHEN target <> 0 THEN abs((target - {T_}_roll_mean_4) / target) END) * 100.0', 4))} AS mape,
+  {S.R(S.R(f'avg(CASE WHEN target <> 0 THEN abs((target - {T_}_lag_1) / target) END) * 100.0', 4))} AS naive_mape,
+  {S.R(S.R(f'(avg(CASE WHEN target <> 0 THEN abs((target - {T_}_lag_1) / target) END) * 100.0 - avg(CASE WHEN target <> 0 THEN abs((target - {T_}_roll_mean_4) / target) END) * 100.0) / (avg(CASE WHEN target <> 0 THEN abs((target - {T_}_lag_1) / target) END) * 100.0) * 100.0', 2))} AS mape_improvement_pct,
+  {S.R(S.R('1.0', 1))} AS forecast_horizon_minutes FROM te"""
+
+
+@query("regression_report", REG_SQL)
+def q_regression_report(spark, sf_dir):
+    """MAE / RMSE / MAPE of a given prediction (the mean of the last four
+    values) against the lag-1 naive forecast, on the temporal test split."""
+    frame = fc.forecast_split(_frame_spark(spark, sf_dir, True))
+    test = frame.filter(F.col("split") == "test")
+    return publish(ev.regression_report(test, "target", f"{T_}_roll_mean_4", f"{T_}_lag_1"))
