@@ -105,9 +105,10 @@ def cost_estimate(df: DataFrame, duration_minutes: float = 30.0, score_col: str
 
 
 def cost_totals(costs: DataFrame) -> DataFrame:
+    """Totals in cents (sums of cent amounts), mean SLA probability, count."""
     return costs.agg(
-        F.coalesce(F.sum("total_estimated_cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
-        F.coalesce(F.sum("cost_avoided_by_early_detection_usd"), F.lit(0.0)).alias("total_avoided_usd"),
+        F.round(F.coalesce(F.sum("total_estimated_cost_usd"), F.lit(0.0)), 2).alias("total_cost_usd"),
+        F.round(F.coalesce(F.sum("cost_avoided_by_early_detection_usd"), F.lit(0.0)), 2).alias("total_avoided_usd"),
         F.avg("sla_breach_probability").alias("avg_sla_breach_probability"),
         F.count(F.lit(1)).cast("long").alias("n_anomalies"),
     )
@@ -115,5 +116,5 @@ def cost_totals(costs: DataFrame) -> DataFrame:
 
 def cost_by_type(costs: DataFrame) -> DataFrame:
     return costs.groupBy("anomaly_type").agg(
-        F.sum("total_estimated_cost_usd").alias("total_cost_usd"),
+        F.round(F.sum("total_estimated_cost_usd"), 2).alias("total_cost_usd"),
         F.count(F.lit(1)).cast("long").alias("n_anomalies"))

@@ -202,8 +202,8 @@ def q_cost_estimate(spark, sf_dir):
 
 
 @query("cost_totals", scored_sql(", priced AS (" + S.cost_select(COST_SRC, ["event_id"]) + ") "
-                                 f"SELECT {S.R('coalesce(sum(total_estimated_cost_usd), 0.0)')} AS total_cost_usd, "
-                                 f"{S.R('coalesce(sum(cost_avoided_by_early_detection_usd), 0.0)')} AS total_avoided_usd, "
+                                 f"SELECT {S.R(S.R('coalesce(sum(total_estimated_cost_usd), 0.0)', 2))} AS total_cost_usd, "
+                                 f"{S.R(S.R('coalesce(sum(cost_avoided_by_early_detection_usd), 0.0)', 2))} AS total_avoided_usd, "
                                  f"{S.R('avg(sla_breach_probability)')} AS avg_sla_breach_probability, "
                                  "CAST(count(*) AS BIGINT) AS n_anomalies FROM priced"
                                  ).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
@@ -212,7 +212,7 @@ def q_cost_totals(spark, sf_dir):
 
 
 @query("cost_by_type", scored_sql(", priced AS (" + S.cost_select(COST_SRC, ["event_id"]) + ") "
-                                  f"SELECT anomaly_type, {S.R('sum(total_estimated_cost_usd)')} AS total_cost_usd, "
+                                  f"SELECT anomaly_type, {S.R(S.R('sum(total_estimated_cost_usd)', 2))} AS total_cost_usd, "
                                   "CAST(count(*) AS BIGINT) AS n_anomalies FROM priced GROUP BY anomaly_type"
                                   ).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
 def q_cost_by_type(spark, sf_dir):
