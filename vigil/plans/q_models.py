@@ -79,8 +79,9 @@ def given_scores(spark, sf_dir) -> DataFrame:
     """Two deterministic detector scores (batch min-max of the composite and
     of the max |z|, 4 digits) so the blend and the weight search have an
     exact SQL twin; model scores plug into the same operators."""
-    z = zscore_features(load_panel(spark, sf_dir), position=True).select(
-        "event_id", "service", "timestamp", "is_anomaly", "composite_zscore", "max_zscore", "row_idx", "series_rows")
+    z = materialize(zscore_features(load_panel(spark, sf_dir), position=True).select(
+        "event_id", "service", "timestamp", "is_anomaly", "composite_zscore", "max_zscore", "row_idx", "series_rows"),
+        "given_scores")
     r = z.agg(F.min("composite_zscore").alias("li"), F.max("composite_zscore").alias("hi_"),
               F.min("max_zscore").alias("la"), F.max("max_zscore").alias("ha")).collect()[0]
     z = z.select("event_id", "service", "timestamp", "is_anomaly", "row_idx", "series_rows",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil.operators import features as fe
 from vigil.operators.summary import minmax_normalize
 from vigil.plans import sql as S
+from vigil.session import materialize
 from vigil.sources.panel import load_panel
 
 SPEC = fe.default_spec()
@@ -29,8 +30,14 @@ def zscore_features(panel: DataFrame, position: bool = False) -> DataFrame:
 
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = zscore_features(load_panel(spark, sf_dir))
-    base = feats.select(*[c for c in load_panel(spark, sf_dir).columns], "composite_zscore")
+    """Panel + composite z-score + batch-normalised score. The feature pass
+    is written once to the shared checkpoint folder: the batch min/max, the
+    look-back anchor, flagged counts and the output all read that table
+    instead of re-running the window pass (an opaque pandas stage cannot be
+    column-pruned away)."""
+    panel = load_panel(spark, sf_dir)
+    feats = zscore_features(panel)
+    base = materialize(feats.select(*panel.columns, "composite_zscore"), "scored")
     out = minmax_normalize(base, "composite_zscore", "_s", eps=1e-9)
     return out.withColumn(SCORE, F.round(F.col("_s"), 4)).drop("_s")
 
