@@ -59,3 +59,18 @@ def test_running_totals_bucketed(spark):
     a = running_totals(df, "s", ["x"], descending=True).toPandas().sort_values("s", ascending=False)
     b = running_totals(df, "s", ["x"], descending=True, chunk_rows=500).toPandas().sort_values("s", ascending=False)
     assert list(a["cum_x"]) == list(b["cum_x"]) == list(np.cumsum(a["x"]))
+
+
+def test_two_level_offsets(spark, monkeypatch):
+    """Tiny coarse groups force the coarse-offset path of the prefix sum."""
+    import vigil.operators.series as series
+    monkeypatch.setattr(series, "COARSE", 3)
+    p = load_panel(spark, SF01)
+    a = _feat(p, ("service",), 2_000_000)
+    b = _feat(p, ("service",), 600)
+    assert np.allclose(a[COLS].to_numpy(float), b[COLS].to_numpy(float), equal_nan=True, rtol=0, atol=0)
+    ix = row_index(p.select("event_id", "timestamp", "service"),
+                   SeriesSpec(keys=("service",), back=0, chunk_rows=300)).toPandas()
+    for _, g in ix.groupby("service"):
+        g = g.sort_values(["timestamp", "event_id"])
+        assert list(g["row_idx"]) == list(range(len(g)))

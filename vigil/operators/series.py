@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
 _K0 = "_k0"
+COARSE = 1024
 INTERNAL = ("_chunk", "_halo", "_bstart", "_kn", _K0)
 
 
@@ -161,16 +162,25 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
         heavy.unpersist()
         heavy = new_heavy
 
-    # Row positions of buckets, chunk of each bucket and its halo targets.
-    wk = Window.partitionBy(*keys).orderBy("_b")
-    bt2 = (bt.withColumn("_start", F.coalesce(F.sum("_n").over(wk.rowsBetween(UNB, -1)), F.lit(0)).cast("long"))
+    # Row positions of buckets: a two-level prefix sum, so no window partition
+    # holds more than COARSE buckets (coarse totals per key are n/C·8/COARSE
+    # rows, fine offsets are bounded by COARSE).
+    bt = bt.withColumn("_cb", F.floor(F.col("_b") / F.lit(COARSE)).cast("long"))
+    coarse = bt.groupBy(*keys, "_cb").agg(F.sum("_n").alias("_cn"))
+    wcb = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(UNB, -1)
+    coarse = coarse.select(*keys, "_cb", F.coalesce(F.sum("_cn").over(wcb), F.lit(0)).alias("_coff"))
+    wk = Window.partitionBy(*keys, "_cb").orderBy("_b").rowsBetween(UNB, -1)
+    bt2 = (bt.join(coarse, keys + ["_cb"])
+           .withColumn("_start", (F.col("_coff") + F.coalesce(F.sum("_n").over(wk), F.lit(0))).cast("long"))
            .withColumn("_end", F.col("_start") + F.col("_n"))
            .withColumn("_chunk", F.floor(F.col("_start") / F.lit(C)).cast("int")))
-    wc = Window.partitionBy(*keys).orderBy("_chunk")
-    ct = (bt2.groupBy(*keys, "_chunk").agg(F.min("_start").alias("_S"))
-          .withColumn("_nchunk", F.lead("_chunk").over(wc))
-          .withColumn("_nS", F.lead("_S").over(wc))
-          .withColumn("_pchunk", F.lag("_chunk").over(wc)))
+    # Every bucket holds at most C/2 rows, so chunk ids are contiguous and a
+    # chunk's neighbours are chunk ± 1: equi-joins instead of lead/lag.
+    ct = bt2.groupBy(*keys, "_chunk").agg(F.min("_start").alias("_S"))
+    nxt = ct.select(*keys, (F.col("_chunk") - 1).alias("_chunk"), F.col("_chunk").alias("_nchunk"),
+                    F.col("_S").alias("_nS"))
+    prv = ct.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_chunk").alias("_pchunk"))
+    ct = ct.join(nxt, keys + ["_chunk"], "left").join(prv, keys + ["_chunk"], "left")
     bt3 = bt2.join(ct, keys + ["_chunk"])
     tgt = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("h", T.IntegerType())])
     home = F.struct(F.col("_chunk").alias("c"), F.lit(0).alias("h"))
