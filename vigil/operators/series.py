@@ -249,10 +249,17 @@ def running_totals(df: DataFrame, order: str, sum_cols: list[str], descending: b
     nbk = len(splits) - 1
     bcol = (F.lit(nbk - 1) - F.col("_bk")) if descending else F.col("_bk")
     data = data.withColumn("_b", bcol.cast("long")).drop("_bk")
-    tot = data.groupBy("_b").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
-    wb = Window.orderBy("_b").rowsBetween(UNB, -1)
-    offs = tot.select("_b", *[F.coalesce(F.sum("_t_" + c).over(wb), F.lit(0)).alias("_o_" + c)
-                              for c in sum_cols])
+    # bucket offsets by a two-level prefix sum (no window over all buckets)
+    tot = (data.groupBy("_b").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
+           .withColumn("_cb", F.floor(F.col("_b") / F.lit(COARSE))))
+    ctot = tot.groupBy("_cb").agg(*[F.sum("_t_" + c).alias("_ct_" + c) for c in sum_cols])
+    wcb = Window.orderBy("_cb").rowsBetween(UNB, -1)
+    ctot = ctot.select("_cb", *[F.coalesce(F.sum("_ct_" + c).over(wcb), F.lit(0)).alias("_co_" + c)
+                                for c in sum_cols])
+    wb = Window.partitionBy("_cb").orderBy("_b").rowsBetween(UNB, -1)
+    offs = tot.join(F.broadcast(ctot), "_cb").select(
+        "_b", *[(F.col("_co_" + c) + F.coalesce(F.sum("_t_" + c).over(wb), F.lit(0))).alias("_o_" + c)
+                for c in sum_cols])
     data = data.join(_maybe_broadcast(offs, nbk, max_broadcast_rows), "_b")
     w = Window.partitionBy("_b").orderBy(ordered).rowsBetween(UNB, 0)
     return data.select(*[F.col(c) for c in df.columns],
