@@ -4,14 +4,11 @@ and every registered query runs."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from conftest import SF001, SF01
 from oracle_harness import compare, duck
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SLOW = {"iforest_fit", "iforest_score", "iforest_predict", "reconstruction_fit", "reconstruction_score",
-        "ensemble_model_report", "forecast_fit", "forecast_predict", "forecast_recent", "artifact_roundtrip",
-        "retrain_if_drift", "stream_kpis", "stream_features", "stream_score", "ingest_incremental"}
 
 
 @pytest.fixture(scope="module")
@@ -31,9 +28,11 @@ def test_query_matches_oracle(spark, con, name):
     assert r["match"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF001).count() >= 0
+    """Randomised / iterative / streaming queries: rows-only check at sf0.01
+    (at sf0.001 every series is shorter than the forecast frame's reach)."""
+    assert QUERIES[name](spark, SF01).count() > 0
 
 
 def test_entry(spark):

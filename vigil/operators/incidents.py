@@ -13,8 +13,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window

@@ -8,7 +8,6 @@ threshold → cost estimate → top-k (TakeOrderedAndProject).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.functions.publish import publish
 from vigil.operators.cost import cost_estimate

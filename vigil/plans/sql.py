@@ -11,7 +11,7 @@ import math
 
 from vigil.functions.calendar import BUSINESS_END, BUSINESS_START, WEEKDAYS
 from vigil.operators.features import (CHANGE_COLS, CORR_MIN_PERIODS, CORR_WINDOW, LAG_STEPS,
-                                      STD_FLOOR, WINDOWS, feature_names)
+                                      STD_FLOOR, WINDOWS)
 from vigil.sources.panel import METRIC_COLS
 
 DIGITS = 8
