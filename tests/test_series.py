@@ -74,3 +74,24 @@ def test_two_level_offsets(spark, monkeypatch):
     for _, g in ix.groupby("service"):
         g = g.sort_values(["timestamp", "event_id"])
         assert list(g["row_idx"]) == list(range(len(g)))
+
+
+def test_dense_timestamp_split_by_tiebreak(spark):
+    """3000 rows share one timestamp: buckets shrink to that timestamp, then
+    split by the tiebreak; results equal one partition."""
+    import pandas as pd
+    n = 4000
+    ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.r_[np.arange(500), np.full(3000, 500), np.arange(501, 1001)], unit="s")
+    pdf = pd.DataFrame({"event_id": np.arange(n), "timestamp": ts, "service": "hot",
+                        "x": np.sin(np.arange(n) * 0.37)})
+    df = spark.createDataFrame(pdf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    from vigil.operators.features import run_windows
+
+    def build(fr):
+        w = fr.window
+        return [F.avg("x").over(w.rowsBetween(-239, 0)).alias("m"), F.lag("x", 240).over(w).alias("l"),
+                fr.idx().alias("i")]
+    a = run_windows(df, SeriesSpec(keys=("service",), chunk_rows=100_000), [build]).toPandas().sort_values("event_id")
+    b = run_windows(df, SeriesSpec(keys=("service",), chunk_rows=1000), [build]).toPandas().sort_values("event_id")
+    assert list(a["i"]) == list(b["i"]) == list(range(n))
+    assert np.allclose(a["m"], b["m"], rtol=0, atol=0) and np.allclose(a["l"], b["l"], equal_nan=True)

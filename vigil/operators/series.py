@@ -125,11 +125,17 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
     ov = order_value(df, spec.order)
 
     # Per-key statistics; only keys longer than half a chunk are cut.
+    odt = df.schema[spec.order].dataType
+    integral = isinstance(odt, (T.TimestampNTZType, T.TimestampType, T.DateType, T.IntegralType))
+    tb_numeric = bool(spec.tiebreak) and isinstance(df.schema[spec.tiebreak].dataType, T.NumericType)
+    tv = F.col(spec.tiebreak).cast("double") if tb_numeric else F.lit(0.0)
     heavy = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_kn"), F.min(ov).alias("_lo"), F.max(ov).alias("_hi"))
+             .agg(F.count(F.lit(1)).alias("_kn"), F.min(ov).alias("_lo"), F.max(ov).alias("_hi"),
+                  F.min(tv).alias("_tlo"), F.max(tv).alias("_thi"))
              .filter(F.col("_kn") > half)
              .withColumn("_w", (F.col("_hi") - F.col("_lo") + 1.0) * F.lit(float(bucket_rows)) / F.col("_kn"))
-             .select(*keys, "_kn", "_lo", "_w")
+             .withColumn("_tw", F.lit(None).cast("double"))
+             .select(*keys, "_kn", "_lo", "_w", "_tlo", "_thi", "_tw")
              .persist())
     n_heavy = heavy.count()
     if n_heavy == 0:
@@ -138,26 +144,44 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
                            F.lit(0).cast("long").alias("_bstart"), F.lit(None).cast("long").alias("_kn"))
         return Framed(framed, spec, keys)
 
+    # Bucket = (time bucket, tie-break sub-bucket). The sub-bucket is used
+    # only once a key's time buckets are down to single timestamps, so
+    # ordering buckets by (_b, _b2) still follows (order, tiebreak).
     bexpr = F.floor((F.col("_ov") - F.col("_lo")) / F.col("_w")).cast("long")
-    for _attempt in range(8):
+    b2expr = F.when(F.col("_tw").isNotNull(),
+                    F.floor((F.col("_tv") - F.col("_tlo")) / F.col("_tw"))).otherwise(F.lit(0)).cast("long")
+    for _attempt in range(12):
         hb = _maybe_broadcast(heavy, n_heavy, spec.max_broadcast_rows)
-        bt = (df.select(*keys, ov.alias("_ov")).join(hb, keys)
-              .groupBy(*keys, bexpr.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        bt = (df.select(*keys, ov.alias("_ov"), tv.alias("_tv")).join(hb, keys)
+              .groupBy(*keys, bexpr.alias("_b"), b2expr.alias("_b2")).agg(F.count(F.lit(1)).alias("_n"))
               .persist())
         dense = (bt.groupBy(*keys).agg(F.max("_n").alias("_mx"))
                  .filter(F.col("_mx") > half)
-                 .withColumn("_f", F.ceil(F.col("_mx") * 8.0 / F.lit(float(half))))
-                 .select(*keys, "_f").collect())
+                 .join(heavy, keys)
+                 .select(*keys, "_mx", "_w", "_tw", "_tlo", "_thi", "_kn").collect())
         if not dense:
             break
-        if _attempt == 7:
-            raise ValueError("a single order value holds more than chunk_rows/2 rows; "
-                             "raise chunk_rows")
+        fixes = []
+        for r in dense:
+            f = math.ceil(r["_mx"] * 8.0 / half)
+            w, tw = r["_w"], r["_tw"]
+            if tw is not None:
+                tw = tw / f
+            elif integral and w <= 1.0 and tb_numeric:
+                tw = (r["_thi"] - r["_tlo"] + 1.0) * bucket_rows / r["_kn"]
+            elif w > 1e-9 or not integral:
+                w = w / f
+            if tw is None and (w <= 1e-9 or (not integral and _attempt >= 10)) or _attempt == 11:
+                raise ValueError("cannot split a run of equal (order, tiebreak) values below chunk_rows/2; "
+                                 "use a unique numeric tiebreak or raise chunk_rows")
+            fixes.append(tuple(r[k] for k in keys) + (float(w), None if tw is None else float(tw)))
         bt.unpersist()
-        fix = df.sparkSession.createDataFrame(dense, heavy.select(*keys).schema.add("_f", T.LongType()))
+        fix_schema = heavy.select(*keys).schema.add("_nw", T.DoubleType()).add("_ntw", T.DoubleType())
+        fix = df.sparkSession.createDataFrame(fixes, fix_schema)
         new_heavy = (heavy.join(F.broadcast(fix), keys, "left")
-                     .withColumn("_w", F.col("_w") / F.coalesce(F.col("_f"), F.lit(1)))
-                     .drop("_f").persist())
+                     .withColumn("_w", F.coalesce(F.col("_nw"), F.col("_w")))
+                     .withColumn("_tw", F.when(F.col("_nw").isNotNull(), F.col("_ntw")).otherwise(F.col("_tw")))
+                     .drop("_nw", "_ntw").persist())
         new_heavy.count()
         heavy.unpersist()
         heavy = new_heavy
@@ -169,7 +193,7 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
     coarse = bt.groupBy(*keys, "_cb").agg(F.sum("_n").alias("_cn"))
     wcb = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(UNB, -1)
     coarse = coarse.select(*keys, "_cb", F.coalesce(F.sum("_cn").over(wcb), F.lit(0)).alias("_coff"))
-    wk = Window.partitionBy(*keys, "_cb").orderBy("_b").rowsBetween(UNB, -1)
+    wk = Window.partitionBy(*keys, "_cb").orderBy("_b", "_b2").rowsBetween(UNB, -1)
     bt2 = (bt.join(coarse, keys + ["_cb"])
            .withColumn("_start", (F.col("_coff") + F.coalesce(F.sum("_n").over(wk), F.lit(0))).cast("long"))
            .withColumn("_end", F.col("_start") + F.col("_n"))
@@ -192,21 +216,22 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
         parts.append(F.when(F.col("_pchunk").isNotNull() & (F.col("_start") < F.col("_S") + spec.forward),
                             F.struct(F.col("_pchunk").alias("c"), F.lit(1).alias("h"))))
     targets = F.filter(F.array(*parts).cast(T.ArrayType(tgt)), lambda x: x.isNotNull())
-    buckets = bt3.select(*keys, "_b", F.col("_start").alias("_bstart"), targets.alias("_tg")).persist()
+    buckets = bt3.select(*keys, "_b", "_b2", F.col("_start").alias("_bstart"), targets.alias("_tg")).persist()
     n_buckets = buckets.count()
     bt.unpersist()
 
-    heavy_info = heavy.select(*keys, "_kn", "_lo", "_w")
+    heavy_info = heavy.select(*keys, "_kn", "_lo", "_w", "_tlo", "_tw")
     data = df.join(_maybe_broadcast(heavy_info, n_heavy, spec.max_broadcast_rows), keys, "left")
-    data = data.withColumn("_ov", ov).withColumn(
-        "_b", F.when(F.col("_w").isNotNull(), bexpr))
-    data = data.join(_maybe_broadcast(buckets, n_buckets, spec.max_broadcast_rows), keys + ["_b"], "left")
+    data = (data.withColumn("_ov", ov).withColumn("_tv", tv)
+            .withColumn("_b", F.when(F.col("_w").isNotNull(), bexpr))
+            .withColumn("_b2", F.when(F.col("_w").isNotNull(), b2expr)))
+    data = data.join(_maybe_broadcast(buckets, n_buckets, spec.max_broadcast_rows), keys + ["_b", "_b2"], "left")
     default = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("h"))).cast(T.ArrayType(tgt))
     data = (data.withColumn("_t", F.explode(F.coalesce(F.col("_tg"), default)))
             .withColumn("_chunk", F.col("_t.c"))
             .withColumn("_halo", F.col("_t.h"))
             .withColumn("_bstart", F.coalesce(F.col("_bstart"), F.lit(0)).cast("long"))
-            .drop("_t", "_tg", "_b", "_ov", "_lo", "_w"))
+            .drop("_t", "_tg", "_b", "_b2", "_ov", "_tv", "_lo", "_w", "_tlo", "_tw"))
     return Framed(data, spec, keys)
 
 
