@@ -356,3 +356,42 @@ def join_predictions(pred: DataFrame, raw: DataFrame, on: Sequence[str] = ("time
     j = pred.join(r, list(on), "left")
     return j.fillna({"ground_truth_anomaly": 0, "anomaly_type": "normal"}).withColumn(
         "ground_truth_anomaly", F.col("ground_truth_anomaly").cast("int"))
+
+
+# --- artefacts ---------------------------------------------------------------------
+
+def save_detectors(spark, path: str, iso_stats: dict, iso_model: IsolationForestModel, ae_stats: dict,
+                   ae_model: ReconstructionModel, meta: dict | None = None) -> None:
+    """Scalers, forest nodes, principal components and a one-row metadata
+    table under ``path`` (all bounded by model size, not data size)."""
+    import json
+    rows = [(c, "iso", m, s) for c, (m, s) in iso_stats.items()] + \
+           [(c, "ae", m, s) for c, (m, s) in ae_stats.items()]
+    spark.createDataFrame(rows, "feature string, scaler string, mean double, std double") \
+        .coalesce(1).write.mode("overwrite").parquet(path + "/scalers")
+    spark.createDataFrame(iso_model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path + "/forest")
+    V = ae_model.components
+    comp = [(ae_model.cols[i], j, float(V[i, j])) for i in range(V.shape[0]) for j in range(V.shape[1])]
+    spark.createDataFrame(comp, "feature string, component int, loading double") \
+        .coalesce(1).write.mode("overwrite").parquet(path + "/components")
+    info = {"iso_cols": list(iso_model.cols), "psi": iso_model.psi, "ae_cols": list(ae_model.cols),
+            **(meta or {})}
+    spark.createDataFrame([(json.dumps(info),)], "metadata string").coalesce(1) \
+        .write.mode("overwrite").json(path + "/metadata")
+
+
+def load_detectors(spark, path: str):
+    import json
+    info = json.loads(spark.read.json(path + "/metadata").collect()[0]["metadata"])
+    sc = spark.read.parquet(path + "/scalers").toPandas()
+    iso_stats = {r.feature: (r.mean, r.std) for r in sc[sc.scaler == "iso"].itertuples()}
+    ae_stats = {r.feature: (r.mean, r.std) for r in sc[sc.scaler == "ae"].itertuples()}
+    iso_stats = {c: iso_stats[c] for c in info["iso_cols"]}
+    ae_stats = {c: ae_stats[c] for c in info["ae_cols"]}
+    nodes = spark.read.parquet(path + "/forest").toPandas()
+    iso_model = IsolationForestModel(nodes, tuple(info["iso_cols"]), int(info["psi"]))
+    comp = spark.read.parquet(path + "/components").toPandas()
+    pos = {c: i for i, c in enumerate(info["ae_cols"])}
+    V = np.zeros((len(pos), int(comp["component"].max()) + 1))
+    V[comp["feature"].map(pos).to_numpy(), comp["component"].to_numpy()] = comp["loading"].to_numpy()
+    return iso_stats, iso_model, ae_stats, ReconstructionModel(V, tuple(info["ae_cols"])), info

@@ -244,20 +244,31 @@ def q_forecast_recent(spark, sf_dir):
 
 @query("artifact_roundtrip")
 def q_artifact_roundtrip(spark, sf_dir):
-    """Save the forecaster and a one-row metadata table under the shared
-    checkpoint folder, load both back and score with the loaded model."""
+    """Save detectors (scalers, forest nodes, components, metadata) and the
+    forecaster under the shared checkpoint folder, load them back and score
+    with the loaded models. Published: loaded-model scores and whether they
+    equal the in-memory models' scores."""
     from pyspark.ml import PipelineModel
+    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=20)
+    base = scratch_path(spark, "artifacts")
+    dt.save_detectors(spark, base + "/detectors", iso_stats, iso_model, ae_stats, ae_model,
+                      {"w_iso": dt.DEFAULT_W_ISO, "w_ae": dt.DEFAULT_W_AE})
+    l_iso_stats, l_iso, l_ae_stats, l_ae, meta = dt.load_detectors(spark, base + "/detectors")
+    before = score_batch(df, iso_stats, iso_model, ae_stats, ae_model).select(
+        "event_id", F.col("iso_score").alias("iso0"), F.col("ae_score").alias("ae0"))
+    after = score_batch(df, l_iso_stats, l_iso, l_ae_stats, l_ae)
     frame, model = _fit_forecaster(spark, sf_dir, max_iter=5)
-    base = scratch_path(spark, "artifacts/forecaster")
-    model.write().overwrite().save(base + "/model")
-    meta = spark.createDataFrame([(fc.TARGET, fc.HORIZON, json.dumps(fc.feature_cols()))],
-                                 "target string, horizon_steps int, feature_cols string")
-    meta.coalesce(1).write.mode("overwrite").json(base + "/metadata")
-    loaded = PipelineModel.load(base + "/model")
-    meta2 = spark.read.json(base + "/metadata").collect()[0]
-    pred = loaded.transform(frame.filter(F.col("split") == "test"))
-    return publish(pred.select("event_id", F.round("prediction", 2).alias("forecast_cpu"),
-                               F.lit(meta2["target"]).alias("target_name")))
+    model.write().overwrite().save(base + "/forecaster")
+    loaded = PipelineModel.load(base + "/forecaster")
+    fc_before = model.transform(frame).select("event_id", F.col("prediction").alias("p0"))
+    fc_after = loaded.transform(frame).select("event_id", F.col("prediction").alias("p1"))
+    scores = after.join(before, "event_id").join(fc_after, "event_id", "left").join(fc_before, "event_id", "left")
+    return publish(scores.select(
+        "event_id", F.round("iso_score", 4).alias("iso_score"), F.round("ae_score", 4).alias("ae_score"),
+        F.round("p1", 2).alias("forecast_cpu"),
+        ((F.col("iso_score") == F.col("iso0")) & (F.col("ae_score") == F.col("ae0"))
+         & F.coalesce(F.col("p0") == F.col("p1"), F.lit(True))).alias("same_as_saved"),
+        F.lit(float(meta["w_iso"])).alias("w_iso")))
 
 
 @query("retrain_if_drift")
