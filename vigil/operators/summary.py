@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.scalar import health_color
 
@@ -25,7 +26,12 @@ def lookback_filter(df: DataFrame, hours: float, ts: str = "timestamp", anchor=N
         anchor = max_value(df, ts)
     if anchor is None:
         return df.limit(0)
-    cutoff = F.lit(anchor) - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        # wall-clock literal: independent of the session and process zones
+        lit = F.lit(anchor.isoformat(sep=" ")).cast("timestamp_ntz")
+    else:
+        lit = F.lit(anchor)
+    cutoff = lit - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
     return df.filter(F.col(ts) >= cutoff)
 
 
