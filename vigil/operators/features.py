@@ -275,9 +275,11 @@ def _use_kernel(engine: str | None) -> bool:
     return (engine or ENGINE) == "kernel"
 
 
-def kernel_windows(df: DataFrame, spec: SeriesSpec, groups: Sequence[str],
-                   metrics: Sequence[str] = METRIC_COLS, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    from vigil.operators.kernels import Stat, run_stats
+def kernel_plan(groups: Sequence[str], metrics: Sequence[str] = METRIC_COLS,
+                windows: Sequence[int] = WINDOWS):
+    """(frame statistics for the kernel, Spark expressions over them) for the
+    requested feature groups."""
+    from vigil.operators.kernels import Stat
     stats: list[Stat] = []
     final: list[Column] = []
     if "rolling" in groups:
@@ -322,9 +324,28 @@ def kernel_windows(df: DataFrame, spec: SeriesSpec, groups: Sequence[str],
         final.append(F.coalesce(r, F.lit(0.0)).alias("error_latency_corr_60"))
     if "position" in groups:
         final += [F.col("_k_idx").alias("row_idx"), F.col("_k_len").alias("series_rows")]
-    # NaN from the kernel means "no value" (Spark NULL)
+    return stats, final
+
+
+def kernel_windows(df: DataFrame, spec: SeriesSpec, groups: Sequence[str],
+                   metrics: Sequence[str] = METRIC_COLS, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    from vigil.operators.kernels import run_stats
+    stats, final = kernel_plan(groups, metrics, windows)
     out = run_stats(df, spec, stats)
-    out = out.select(*[F.col(c) for c in df.columns],
+    return nan_to_null(out, df.columns, stats).select(*[F.col(c) for c in df.columns], *final)
+
+
+def nan_to_null(df: DataFrame, keep: Sequence[str], stats) -> DataFrame:
+    """NaN from the kernel means "no value" (Spark NULL)."""
+    return df.select(*[F.col(c) for c in keep],
                      *[F.when(~F.isnan(F.col(s.name)), F.col(s.name)).alias(s.name)
                        if s.kind not in ("idx", "len") else F.col(s.name) for s in stats])
-    return out.select(*[F.col(c) for c in df.columns], *final)
+
+
+def finish_features(windowed: DataFrame, base: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Projections on top of the window columns: calendar, z-scores, cross
+    features, joint breach, composite; output in reference column order."""
+    stage = windowed.select("*", *calendar_columns(F.col(ts)), *zscore_columns(),
+                            *cross_scalar_columns(), joint_breach_column())
+    stage = stage.select("*", *composite_columns())
+    return stage.select(*[F.col(c) for c in base], *feature_names())
