@@ -157,34 +157,33 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
               .persist())
         dense = (bt.groupBy(*keys).agg(F.max("_n").alias("_mx"))
                  .filter(F.col("_mx") > half)
-                 .join(heavy, keys)
-                 .select(*keys, "_mx", "_w", "_tw", "_tlo", "_thi", "_kn").collect())
-        if not dense:
+                 .withColumn("_f", F.ceil(F.col("_mx") * 8.0 / F.lit(float(half))).cast("double")))
+        n_dense = dense.count()
+        if n_dense == 0:
             break
-        fixes = []
-        for r in dense:
-            f = math.ceil(r["_mx"] * 8.0 / half)
-            w, tw = r["_w"], r["_tw"]
-            if tw is not None:
-                tw = tw / f
-            elif integral and w <= 1.0 and tb_numeric:
-                tw = (r["_thi"] - r["_tlo"] + 1.0) * bucket_rows / r["_kn"]
-            elif w > 1e-9 or not integral:
-                w = w / f
-            if tw is None and (w <= 1e-9 or (not integral and _attempt >= 10)) or _attempt == 11:
-                raise ValueError("cannot split a run of equal (order, tiebreak) values below chunk_rows/2; "
-                                 "use a unique numeric tiebreak or raise chunk_rows")
-            fixes.append(tuple(r[k] for k in keys) + (float(w), None if tw is None else float(tw)))
+        # New widths computed in Spark (no per-key list on the driver): shrink
+        # the time width; once a key's buckets are single timestamps, split by
+        # the tiebreak; once split by tiebreak, shrink that width.
+        j = heavy.join(_maybe_broadcast(dense, n_dense, spec.max_broadcast_rows), keys, "left")
+        is_dense = F.col("_f").isNotNull()
+        to_tie = F.col("_tw").isNull() & F.lit(integral and tb_numeric) & (F.col("_w") <= 1.0)
+        new_tw = (F.when(~is_dense, F.col("_tw"))
+                  .when(F.col("_tw").isNotNull(), F.col("_tw") / F.col("_f"))
+                  .when(to_tie, (F.col("_thi") - F.col("_tlo") + 1.0) * F.lit(float(bucket_rows)) / F.col("_kn")))
+        new_w = F.when(is_dense & F.col("_tw").isNull() & ~to_tie, F.col("_w") / F.col("_f")).otherwise(F.col("_w"))
+        # written to the shared folder: cuts the lineage, which would otherwise
+        # nest one more join per refinement round
+        from vigil.session import materialize
+        new_heavy = materialize(j.withColumn("_stuck", is_dense & new_tw.isNull() & (new_w <= F.lit(1e-9)))
+                                .withColumn("_tw", new_tw).withColumn("_w", new_w)
+                                .drop("_mx", "_f"), "series-widths")
+        stuck = new_heavy.filter(F.col("_stuck")).limit(1).count()
+        if stuck or _attempt == 11:
+            raise ValueError("cannot split a run of equal (order, tiebreak) values below chunk_rows/2; "
+                             "use a unique numeric tiebreak or raise chunk_rows")
         bt.unpersist()
-        fix_schema = heavy.select(*keys).schema.add("_nw", T.DoubleType()).add("_ntw", T.DoubleType())
-        fix = df.sparkSession.createDataFrame(fixes, fix_schema)
-        new_heavy = (heavy.join(F.broadcast(fix), keys, "left")
-                     .withColumn("_w", F.coalesce(F.col("_nw"), F.col("_w")))
-                     .withColumn("_tw", F.when(F.col("_nw").isNotNull(), F.col("_ntw")).otherwise(F.col("_tw")))
-                     .drop("_nw", "_ntw").persist())
-        new_heavy.count()
         heavy.unpersist()
-        heavy = new_heavy
+        heavy = new_heavy.drop("_stuck").persist()
 
     # Row positions of buckets: a two-level prefix sum, so no window partition
     # holds more than COARSE buckets (coarse totals per key are n/C·8/COARSE
