@@ -54,7 +54,7 @@ STD_SQL = (S.with_panel(S.features_cte()) + f", fx AS (SELECT *, {_POS} FROM fea
                                        f"THEN stddev_pop(CAST({c} AS DOUBLE)) ELSE 1.0 END AS s_{c}" for c in FEATS)
            + " FROM fs WHERE split <> 'test') SELECT event_id, "
            + ", ".join(f"{S.R(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}')} AS {c}" for c in FEATS)
-           + " FROM fs JOIN st ON TRUE").replace("FROM f2)\n, fx", "FROM f2),\nfx")
+           + " FROM fs JOIN st ON TRUE")
 
 
 @query("standardize", STD_SQL)
@@ -72,7 +72,7 @@ GIVEN_SQL = (S.with_panel(S.features_cte()) + ", gs0 AS (SELECT event_id, servic
                    "min(composite_zscore) OVER () + 1e-9)", 4) + " AS iso_s, "
              + S.R("(max_zscore - min(max_zscore) OVER ()) / (max(max_zscore) OVER () - min(max_zscore) OVER () + 1e-9)", 4)
              + f" AS ae_s FROM feat), gs AS (SELECT *, {_POS} FROM gs0), gsp AS (SELECT *, {SPLIT} AS split FROM gs)\n"
-             ).replace("FROM f2)\n, gs0", "FROM f2),\ngs0")
+             )
 
 
 def given_scores(spark, sf_dir) -> DataFrame:

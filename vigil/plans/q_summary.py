@@ -85,7 +85,7 @@ def q_fill_defaults(spark, sf_dir):
     f"SELECT p.event_id, {S.R('p.ensemble_score')} AS ensemble_score, p.predicted_anomaly, "
     "CAST(coalesce(r.is_anomaly, 0) AS INT) AS ground_truth_anomaly, coalesce(r.anomaly_type, 'normal') AS anomaly_type "
     "FROM pred p LEFT JOIN panel r ON p.service = r.service AND p.\"timestamp\" = r.\"timestamp\" "
-    "AND p.event_id = r.event_id").replace("FROM feat)\n, pred", "FROM feat),\npred"))
+    "AND p.event_id = r.event_id"))
 def q_join_predictions(spark, sf_dir):
     from vigil.operators.detect import join_predictions
     pred = scored_panel(spark, sf_dir).select(
@@ -105,7 +105,7 @@ PROFILE_FIELDS = ["revenue_impact_pct", "affected_users_pct", "engineering_hours
     "SELECT x.event_id, x.anomaly_type, " + ", ".join(
         f"{S.R('coalesce(p.' + f + ', 0.0)')} AS {f}" for f in PROFILE_FIELDS)
     + " FROM x LEFT JOIN " + S.profile_values() + " p ON x.anomaly_type = p.profile_type"
-).replace("FROM feat)\n, x", "FROM feat),\nx"))
+))
 def q_lookup_profile(spark, sf_dir):
     flagged = su.threshold_filter(scored_panel(spark, sf_dir), SCORE, THRESHOLD).select("event_id", "anomaly_type")
     return publish(co.lookup_profile(flagged).select("event_id", "anomaly_type", *PROFILE_FIELDS))
@@ -135,7 +135,7 @@ def q_metrics_summary(spark, sf_dir):
     f"CAST(sum(CAST(ensemble_score >= {THRESHOLD} AS BIGINT)) - sum(is_anomaly) AS BIGINT) AS flagged_minus_truth, "
     f"{S.R('avg(cpu_percent)')} AS avg_cpu, {S.R('avg(memory_percent)')} AS avg_mem, "
     f"{S.R('avg(latency_p95_ms)')} AS avg_lat, {S.R('avg(error_rate)')} AS avg_err FROM w"
-).replace("FROM feat)\n, w", "FROM feat),\nw"))
+))
 def q_command_center_kpis(spark, sf_dir):
     w = su.lookback_filter(scored_panel(spark, sf_dir), HOURS)
     return publish(su.command_center_kpis(w, SCORE, THRESHOLD))
@@ -196,7 +196,7 @@ def _cost_df(spark, sf_dir):
 @query("cost_estimate", scored_sql(", priced AS (" + S.cost_select(COST_SRC, ["event_id"]) + ") " +
                                    S.project(["event_id"] + co.COST_COLS,
                                              set(co.COST_COLS) - {"anomaly_type"}, "priced")
-                                   ).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
+                                   ))
 def q_cost_estimate(spark, sf_dir):
     return publish(_cost_df(spark, sf_dir))
 
@@ -206,7 +206,7 @@ def q_cost_estimate(spark, sf_dir):
                                  f"{S.R(S.R('coalesce(sum(cost_avoided_by_early_detection_usd), 0.0)', 2))} AS total_avoided_usd, "
                                  f"{S.R('avg(sla_breach_probability)')} AS avg_sla_breach_probability, "
                                  "CAST(count(*) AS BIGINT) AS n_anomalies FROM priced"
-                                 ).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
+                                 ))
 def q_cost_totals(spark, sf_dir):
     return publish(co.cost_totals(_cost_df(spark, sf_dir)))
 
@@ -214,7 +214,7 @@ def q_cost_totals(spark, sf_dir):
 @query("cost_by_type", scored_sql(", priced AS (" + S.cost_select(COST_SRC, ["event_id"]) + ") "
                                   f"SELECT anomaly_type, {S.R(S.R('sum(total_estimated_cost_usd)', 2))} AS total_cost_usd, "
                                   "CAST(count(*) AS BIGINT) AS n_anomalies FROM priced GROUP BY anomaly_type"
-                                  ).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
+                                  ))
 def q_cost_by_type(spark, sf_dir):
     return publish(co.cost_by_type(_cost_df(spark, sf_dir)))
 
@@ -245,7 +245,7 @@ def q_round_scores(spark, sf_dir):
 @query("top_anomalies", scored_sql(
     f", flag AS (SELECT * FROM scored WHERE ensemble_score >= {THRESHOLD}) "
     f"SELECT event_id, {TOP_FIELDS}, CAST((SELECT count(*) FROM flag) AS BIGINT) AS total_anomalies FROM flag "
-    "ORDER BY ensemble_score DESC, event_id LIMIT 50").replace("FROM feat)\n, flag", "FROM feat),\nflag"))
+    "ORDER BY ensemble_score DESC, event_id LIMIT 50"))
 def q_top_anomalies(spark, sf_dir):
     top = su.top_anomalies(scored_panel(spark, sf_dir), SCORE, THRESHOLD, 50)
     return publish(top.select("event_id", *_top_exprs(), "total_anomalies"))
@@ -282,7 +282,7 @@ def _health_sql():
     return _panel_sql(
         ", latest AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY service "
         "ORDER BY \"timestamp\" DESC, event_id DESC) = 1) " + " UNION ALL ".join(parts)
-    ).replace("FROM events\n)\n, latest", "FROM events\n),\nlatest")
+    )
 
 
 @query("system_health", _health_sql())
@@ -318,7 +318,7 @@ def q_status_banner(spark, sf_dir):
     "printf('%s | score=%.3f | %s', strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S'), "
     + S.R("ensemble_score", 3) + ", anomaly_type) AS option_label, "
     "regexp_replace(anomaly_type, '_', ' ', 'g') AS type_label FROM priced"
-).replace("FROM feat)\n, priced", "FROM feat),\npriced"))
+))
 def q_display_format(spark, sf_dir):
     flagged = su.threshold_filter(scored_panel(spark, sf_dir), SCORE, THRESHOLD)
     c = co.cost_estimate(flagged, 30.0, keep=("event_id", "timestamp"))
