@@ -20,11 +20,17 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    sp = QUERIES[name](spark, SF001).toPandas()
-    dk = con.sql(ORACLE[name]).df()
-    r = compare(sp, dk)
+    df = QUERIES[name](spark, SF001)
+    rel = con.sql(ORACLE[name])
+    spark_types = {f.name: SQL_TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    r = compare(df.toPandas(), rel.df())
     assert r["match"], r
 
 
