@@ -306,3 +306,33 @@ def q_retrain_if_drift(spark, sf_dir):
     out = qa.retrain_if_drift(drift, detectors, forecaster, ensemble, evaluate)
     return spark.createDataFrame([(bool(out["drift"]), state.get("precision"), state.get("mape"), bool(state["passed"]))],
                                  "drift boolean, precision double, mape double, passed boolean")
+
+
+@query("model_top_anomalies")
+def q_model_top_anomalies(spark, sf_dir):
+    """The detection endpoint end to end: detectors and weights fitted on the
+    training part, every row scored and blended, threshold from validation,
+    look-back of 24 h, top 50 by ensemble score with the reference's record
+    fields and the total flagged."""
+    from vigil.operators.summary import lookback_filter, top_anomalies
+    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=100)
+    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
+    pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score",
+                                     "is_anomaly").collect()[0]
+    w_iso, w_ae = float(pick["w_iso"]), float(pick["w_ae"])
+    blended = s.withColumn("_e", dt.ensemble_score(F.col("iso_score"), F.col("ae_score"), w_iso, w_ae))
+    thr = ev.best_f1_threshold(ev.pr_curve(blended.filter(F.col("split") == "validation"), "_e",
+                                           "is_anomaly")).collect()[0]["threshold"]
+    scored = materialize(blended.select("event_id", "timestamp", "service", "anomaly_type",
+                                        F.round("_e", 4).alias("ensemble_score"),
+                                        F.round("iso_score", 4).alias("iso_score"),
+                                        F.round("ae_score", 4).alias("ae_score")), "model-scores")
+    raw = df.select("event_id", "cpu_percent", "memory_percent", "latency_p95_ms", "error_rate",
+                    "container_restarts")
+    top = top_anomalies(lookback_filter(scored, 24), "ensemble_score", float(round(thr, 4)), 50)
+    top = top.join(raw, "event_id")
+    return publish(top.select(
+        "event_id", "timestamp", "ensemble_score", "ae_score", "iso_score",
+        F.round("cpu_percent", 2).alias("cpu_percent"), F.round("memory_percent", 2).alias("memory_percent"),
+        F.round("latency_p95_ms", 2).alias("latency_p95_ms"), F.round("error_rate", 5).alias("error_rate"),
+        F.col("container_restarts").cast("long"), "anomaly_type", "total_anomalies"))
