@@ -159,3 +159,15 @@ def test_knn_block_grid_equals_broadcast(spark):
     b = inc.knn_incidents(q, c, 3, max_broadcast_bytes=0, block_rows=16).orderBy("query_id", "rank").toPandas()
     assert list(a["corpus_id"]) == list(b["corpus_id"])
     assert np.allclose(a["similarity"], b["similarity"])
+
+
+def test_exact_percentile_equals_spark_percentile(spark):
+    """Bounded selection (forced narrowing rounds) equals F.percentile."""
+    from vigil.operators.summary import exact_percentile
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 20000), "v": np.round(rng.exponential(50, 20000), 2)})
+    pdf.loc[pdf.g == 3, "v"] = 100.0  # one group of equal values
+    df = spark.createDataFrame(pdf)
+    ref = df.groupBy("g").agg(F.percentile("v", 0.95).alias("p")).toPandas().sort_values("g")
+    got = exact_percentile(df, ["g"], "v", 0.95, "p", max_collect=50, bins=8).toPandas().sort_values("g")
+    assert np.array_equal(ref["p"].to_numpy(), got["p"].to_numpy())

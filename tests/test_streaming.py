@@ -13,7 +13,7 @@ from vigil.streaming import operators as so
 def test_stream_kpis_equal_batch_on_closed_windows(spark):
     schema = scan_table(spark, SF001, "events").schema
     stream = so.stream_kpis(spark, stream_source(SF001), schema).toPandas()
-    batch = so.kpi_aggregate(scan_table(spark, SF001, "events")).toPandas()
+    batch = so.kpi_aggregate(scan_table(spark, SF001, "events"), exact=False).toPandas()
     assert 0 < len(stream) < len(batch)  # the last windows stay open (watermark)
     b = batch.set_index(batch["window_start"].astype("datetime64[us]"))
     s = stream.set_index(stream["window_start"].astype("datetime64[us]"))

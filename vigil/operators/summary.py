@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,3 +181,66 @@ def system_health(latest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                      for label, col, scale, warn, crit in HEALTH_METRICS])
     out = latest.select(*keys, F.inline(rows))
     return out.withColumn("level", health_color(F.col("value"), F.col("warn"), F.col("crit")))
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str = "percentile",
+                     max_collect: int = 50_000, bins: int = 4096, max_rounds: int = 8,
+                     max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Exact linear-interpolation percentile per group without buffering a
+    group's values in one task.
+
+    Per group it keeps a value bracket [lo, hi] that contains the target
+    ranks, and the count of rows below it. While a bracket holds more than
+    ``max_collect`` rows it is narrowed with a ``bins``-bucket histogram
+    (a partial aggregate per (group, bin); each bin carries its min and max,
+    so the new bracket is made of actual values). Only a bounded band of
+    values is finally collected per group. Interpolation uses Spark's
+    ``percentile`` formula, so results equal ``F.percentile``."""
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    pos = F.lit(float(p)) * (F.col("_n") - 1)
+    st = (st.withColumn("_k0", F.floor(pos).cast("long")).withColumn("_k1", F.ceil(pos).cast("long"))
+          .withColumn("_pos", pos.cast("double")).withColumn("_below", F.lit(0).cast("long"))
+          .withColumn("_band", F.col("_n")))
+    from vigil.session import materialize
+    st = st.persist()  # one row per group; recomputed from lineage if lost
+    for _ in range(max_rounds):
+        wide = st.filter((F.col("_band") > max_collect) & (F.col("_hi") > F.col("_lo")))
+        n_wide = wide.count()
+        if n_wide == 0:
+            break
+        wb = F.broadcast(wide) if n_wide <= max_broadcast_rows else wide
+        j = base.join(wb.select(*keys, "_lo", "_hi"), keys).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("long")
+        hist = j.groupBy(*keys, b.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
+                                                      F.max("_v").alias("_bmax"))
+        w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.join(wb.select(*keys, "_below", "_k0", "_k1"), keys).withColumn(
+            "_start", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        hist = hist.withColumn("_end", F.col("_start") + F.col("_c"))
+        # bins holding rank k0 .. rank k1 form the new bracket
+        keep = hist.filter((F.col("_end") > F.col("_k0")) & (F.col("_start") <= F.col("_k1")))
+        nb = keep.groupBy(*keys).agg(F.min("_bmin").alias("_nlo"), F.max("_bmax").alias("_nhi"),
+                                     F.min("_start").alias("_nbelow"), F.sum("_c").alias("_nband"))
+        st = materialize(
+            st.join(nb, keys, "left").select(
+                *keys, "_n", "_k0", "_k1", "_pos",
+                F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
+                F.coalesce("_nbelow", "_below").alias("_below"), F.coalesce("_nband", "_band").alias("_band")),
+            "percentile-brackets")
+    n_st = st.count()
+    sb = F.broadcast(st) if n_st <= max_broadcast_rows else st
+    band = (base.join(sb.select(*keys, "_lo", "_hi"), keys)
+            .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_vals")))
+    res = st.join(band, keys, "left")
+    i0 = (F.col("_k0") - F.col("_below") + 1).cast("int")
+    i1 = (F.col("_k1") - F.col("_below") + 1).cast("int")
+    lo_v = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.element_at("_vals", i0))
+    hi_v = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.element_at("_vals", i1))
+    interp = F.when(F.col("_k0") == F.col("_k1"), lo_v).when(lo_v == hi_v, lo_v).otherwise(
+        (F.col("_k1") - F.col("_pos")) * lo_v + (F.col("_pos") - F.col("_k0")) * hi_v)
+    return res.select(*keys, interp.alias(out))
