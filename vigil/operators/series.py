@@ -51,7 +51,7 @@ class SeriesSpec:
     tiebreak: str | None = "event_id"
     back: int = 240
     forward: int = 0
-    chunk_rows: int = 500_000
+    chunk_rows: int = 200_000
     bucket_rows: int | None = None
     max_broadcast_rows: int = 2_000_000
 

@@ -53,10 +53,13 @@ def write_append(df: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
 def create_if_absent(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS``: write an empty, typed table when the
     path holds none, then return the table as stored."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
