@@ -252,8 +252,12 @@ def kb_build(spark: SparkSession, embeddings: DataFrame | None = None, id_col: s
     kb = kb.withColumn("document", incident_text(F.col("title"), F.col("description"),
                                                  F.col("root_cause"), F.col("resolution")))
     if embeddings is not None:
-        kb = kb.join(F.broadcast(embeddings.select(F.col(id_col).alias("incident_id"), vec_col)),
-                     "incident_id", "left")
+        # the embedding table can be large: keep only the incidents' rows
+        # (semi-join against the broadcast 12 ids), then attach them
+        ids = F.broadcast(kb.select("incident_id"))
+        vecs = (embeddings.select(F.col(id_col).cast("int").alias("incident_id"), vec_col)
+                .join(ids, "incident_id", "left_semi"))
+        kb = kb.join(vecs, "incident_id", "left")
     return kb
 
 
@@ -325,9 +329,11 @@ def knn_incidents(queries: DataFrame, corpus: DataFrame, k: int = 3, q_id: str =
                       F.round("similarity", 3).alias("similarity_score"))
 
 
-def similar_incidents(matches: DataFrame, kb: DataFrame, corpus_to_incident: str = "incident_id") -> DataFrame:
+def similar_incidents(matches: DataFrame, kb: DataFrame, corpus_to_incident: str = "incident_id",
+                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Ranked matches → one array of incident structs per query (≤ k each)."""
-    j = matches.join(F.broadcast(kb), matches["corpus_id"] == kb[corpus_to_incident], "left")
+    kb_side = F.broadcast(kb) if kb.count() <= max_broadcast_rows else kb  # 12 rows in the reference
+    j = matches.join(kb_side, matches["corpus_id"] == kb[corpus_to_incident], "left")
     item = F.struct(F.col("rank"), F.struct(
         F.col("title"), F.col("root_cause"), F.col("resolution"), F.col("impact"),
         F.col("duration_minutes"), F.col("similarity_score")).alias("x"))
