@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Published doubles are rounded (HALF_UP) to this many decimals; aggregation
@@ -12,11 +11,13 @@ PUBLISH_DIGITS = 8
 
 
 def publish(df: DataFrame, digits: int = PUBLISH_DIGITS) -> DataFrame:
-    """Round every double / float column; leave everything else as is."""
-    cols = []
+    """Round every double / float column; leave everything else as is (one
+    ``selectExpr`` call, however wide the frame)."""
+    exprs = []
     for f in df.schema.fields:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            exprs.append(f"round(CAST({name} AS DOUBLE), {int(digits)}) AS {name}")
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            exprs.append(name)
+    return df.selectExpr(*exprs)

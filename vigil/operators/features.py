@@ -277,21 +277,24 @@ def _use_kernel(engine: str | None) -> bool:
 
 def kernel_plan(groups: Sequence[str], metrics: Sequence[str] = METRIC_COLS,
                 windows: Sequence[int] = WINDOWS):
-    """(frame statistics for the kernel, Spark expressions over them) for the
-    requested feature groups."""
+    """(frame statistics for the kernel, SQL expressions over them) for the
+    requested feature groups. Expressions are SQL text so a wide projection
+    is one ``selectExpr`` call instead of hundreds of Column round trips."""
     from vigil.operators.kernels import Stat
-    stats: list[Stat] = []
-    final: list[Column] = []
+
+    def q(c: str) -> str:
+        return f"`{c}`"
+    stats: list = []
+    final: list[str] = []
     if "rolling" in groups:
         for m in metrics:
             for w in windows:
                 stats += [Stat(f"_k_mean_{m}_{w}", "mean", m, -(w - 1), 0), Stat(f"_k_std_{m}_{w}", "std", m, -(w - 1), 0)]
-                final += [F.col(f"_k_mean_{m}_{w}").alias(f"{m}_roll_mean_{w}"),
-                          F.coalesce(F.col(f"_k_std_{m}_{w}"), F.lit(0.0)).alias(f"{m}_roll_std_{w}")]
+                final += [f"{q(f'_k_mean_{m}_{w}')} AS {q(f'{m}_roll_mean_{w}')}",
+                          f"coalesce({q(f'_k_std_{m}_{w}')}, 0.0D) AS {q(f'{m}_roll_std_{w}')}"]
             stats += [Stat(f"_k_max_{m}", "max", m, -59, 0), Stat(f"_k_min_{m}", "min", m, -59, 0)]
-            final += [F.col(f"_k_max_{m}").alias(f"{m}_roll_max_60"), F.col(f"_k_min_{m}").alias(f"{m}_roll_min_60")]
-    need_pos = "lag" in groups or "position" in groups
-    if need_pos:
+            final += [f"{q(f'_k_max_{m}')} AS {q(f'{m}_roll_max_60')}", f"{q(f'_k_min_{m}')} AS {q(f'{m}_roll_min_60')}"]
+    if "lag" in groups or "position" in groups:
         stats += [Stat("_k_idx", "idx"), Stat("_k_len", "len")]
     if "lag" in groups or "delta" in groups:
         lags = set()
@@ -304,26 +307,25 @@ def kernel_plan(groups: Sequence[str], metrics: Sequence[str] = METRIC_COLS,
             if "lag" in groups:
                 stats.append(Stat(f"_k_first_{m}", "first", m))
     if "lag" in groups:
-        idx, n = F.col("_k_idx"), F.col("_k_len")
         for m in CHANGE_COLS:
             for L in LAG_STEPS:
-                final.append(F.when(idx >= L, F.col(f"_k_lag_{m}_{L}")).when(n > L, F.col(f"_k_first_{m}"))
-                             .cast("double").alias(f"{m}_lag_{L}"))
+                final.append(f"CAST(CASE WHEN `_k_idx` >= {L} THEN {q(f'_k_lag_{m}_{L}')} WHEN `_k_len` > {L} "
+                             f"THEN {q(f'_k_first_{m}')} END AS DOUBLE) AS {q(f'{m}_lag_{L}')}")
     if "delta" in groups:
         for m in CHANGE_COLS:
-            x, l1, l4 = F.col(m), F.col(f"_k_lag_{m}_1"), F.col(f"_k_lag_{m}_4")
-            final += [F.coalesce(x - l1, F.lit(0)).cast("double").alias(f"{m}_delta_1"),
-                      F.coalesce(x - l4, F.lit(0)).cast("double").alias(f"{m}_delta_4"),
-                      F.when(l4.isNull() | (l4 == 0), F.lit(0.0)).otherwise(x / l4 - 1.0).alias(f"{m}_pct_change_4")]
+            l1, l4 = q(f"_k_lag_{m}_1"), q(f"_k_lag_{m}_4")
+            final += [f"CAST(coalesce({q(m)} - {l1}, 0) AS DOUBLE) AS {q(f'{m}_delta_1')}",
+                      f"CAST(coalesce({q(m)} - {l4}, 0) AS DOUBLE) AS {q(f'{m}_delta_4')}",
+                      f"CASE WHEN {l4} IS NULL OR {l4} = 0 THEN 0.0D ELSE {q(m)} / {l4} - 1.0D END "
+                      f"AS {q(f'{m}_pct_change_4')}"]
     if "corr" in groups:
         a, b, lo = "error_rate", "latency_p95_ms", -(CORR_WINDOW - 1)
         stats += [Stat("_k_cn", "count", a, lo, 0), Stat("_k_sa", "std", a, lo, 0), Stat("_k_sb", "std", b, lo, 0),
                   Stat("_k_cov", "covar", a, lo, 0, b)]
-        denom = F.col("_k_sa") * F.col("_k_sb")
-        r = F.when((F.col("_k_cn") >= CORR_MIN_PERIODS) & (denom != 0), F.col("_k_cov") / denom)
-        final.append(F.coalesce(r, F.lit(0.0)).alias("error_latency_corr_60"))
+        final.append(f"coalesce(CASE WHEN `_k_cn` >= {CORR_MIN_PERIODS} AND (`_k_sa` * `_k_sb`) != 0 "
+                     f"THEN `_k_cov` / (`_k_sa` * `_k_sb`) END, 0.0D) AS `error_latency_corr_60`")
     if "position" in groups:
-        final += [F.col("_k_idx").alias("row_idx"), F.col("_k_len").alias("series_rows")]
+        final += ["`_k_idx` AS `row_idx`", "`_k_len` AS `series_rows`"]
     return stats, final
 
 
@@ -332,14 +334,14 @@ def kernel_windows(df: DataFrame, spec: SeriesSpec, groups: Sequence[str],
     from vigil.operators.kernels import run_stats
     stats, final = kernel_plan(groups, metrics, windows)
     out = run_stats(df, spec, stats)
-    return nan_to_null(out, df.columns, stats).select(*[F.col(c) for c in df.columns], *final)
+    return nan_to_null(out, df.columns, stats).selectExpr(*[f"`{c}`" for c in df.columns], *final)
 
 
 def nan_to_null(df: DataFrame, keep: Sequence[str], stats) -> DataFrame:
     """NaN from the kernel means "no value" (Spark NULL)."""
-    return df.select(*[F.col(c) for c in keep],
-                     *[F.when(~F.isnan(F.col(s.name)), F.col(s.name)).alias(s.name)
-                       if s.kind not in ("idx", "len") else F.col(s.name) for s in stats])
+    return df.selectExpr(*[f"`{c}`" for c in keep],
+                         *[f"CASE WHEN NOT isnan(`{s.name}`) THEN `{s.name}` END AS `{s.name}`"
+                           if s.kind not in ("idx", "len") else f"`{s.name}`" for s in stats])
 
 
 def finish_features(windowed: DataFrame, base: Sequence[str], ts: str = "timestamp") -> DataFrame:
