@@ -184,23 +184,36 @@ class IsolationForestModel:
 
 def iforest_sample(df: DataFrame, cols: Sequence[str], id_col: str, n_trees: int = N_TREES,
                    max_samples: int = MAX_SAMPLES, seed: int = SEED) -> tuple[DataFrame, int]:
-    """Rows of every tree's sample, keyed by ``tree_id``. Membership is a hash
-    of (seed, tree, row id), so the same seed gives the same sample for any
-    partitioning; a pre-filter keeps only a bounded pool of rows."""
+    """Bootstrap rows of every tree's sample, keyed by ``tree_id``.
+
+    Each (tree, row) gets a Poisson(psi / pool) copy count, which is sampling
+    with replacement of ~psi rows per tree. Counts come from a hash of
+    (seed, tree, row id) through the Poisson inverse CDF, so the same seed
+    gives the same sample for any partitioning. A hash pre-filter first keeps
+    a bounded pool of rows (~1.5 · trees · psi)."""
     n = df.count()
     psi = int(min(max_samples, n))
     pool_frac = min(1.0, 1.5 * n_trees * psi / max(n, 1))
-    p_tree = min(1.0, psi / max(pool_frac * n, 1.0))
+    lam = min(1.0, psi / max(pool_frac * n, 1.0))
 
     def unit(*parts) -> Column:
         h = F.xxhash64(F.lit(seed), *parts)
         return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
 
+    # Poisson(lam) inverse CDF: copies = number of cumulative levels passed
+    levels, term, cum = [], math.exp(-lam), 0.0
+    for k in range(8):
+        cum += term
+        levels.append(cum)
+        term *= lam / (k + 1)
     pool = df.select(F.col(id_col), *[F.col(c).cast("double") for c in cols])
     if pool_frac < 1.0:
         pool = pool.filter(unit(F.lit(-1), F.col(id_col)) < pool_frac)
     tree = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    sampled = pool.select("*", tree).filter(unit(F.col("tree_id"), F.col(id_col)) < p_tree)
+    u = unit(F.col("tree_id"), F.col(id_col))
+    copies = sum((u >= F.lit(c)).cast("int") for c in levels)
+    sampled = (pool.select("*", tree).withColumn("_copies", copies).filter(F.col("_copies") > 0)
+               .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_rep"))
     return sampled, psi
 
 
