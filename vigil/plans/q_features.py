@@ -156,6 +156,6 @@ def q_log_level(spark, sf_dir):
     """Log level of a status code (status = k·6 spans 0..600 on the fixture)."""
     from vigil.functions.scalar import log_level
     from vigil.sources.tables import scan_table
-    ev = scan_table(spark, sf_dir, "events", ["event_id", "props"])
+    events = scan_table(spark, sf_dir, "events", ["event_id", "props"])
     status = (F.get_json_object("props", "$.k").cast("long") * 6).cast("long")
-    return ev.select("event_id", status.alias("status_code"), log_level(status).alias("log_level"))
+    return events.select("event_id", status.alias("status_code"), log_level(status).alias("log_level"))
