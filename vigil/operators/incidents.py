@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions.text import render
+
 # The incident knowledge base (type, title, description,
 # root cause, resolution, impact, duration in minutes).
 INCIDENTS = (
@@ -101,8 +103,55 @@ RULES = (
 )
 NO_MATCH_REFERENCE = "No similar incident found"
 DEFAULT_RESOLUTION_MIN = 30
-UNKNOWN_EXPLANATION = ("Anomaly detected but pattern does not match known failure modes. "
-                       "Manual investigation recommended.")
+
+# Text formats (Python format syntax, rendered by
+# functions.text.render; numbers are rounded HALF_UP before formatting).
+INCIDENT_TEXT = "{title}. {description} Root cause: {root_cause} Resolution: {resolution}"
+QUERY_TEXT = ("Anomaly type {anomaly_type}. CPU {cpu_percent:.1f}%, Memory {memory_percent:.1f}%, "
+              "Latency {latency_p95_ms:.0f}ms, Error rate {error_rate:.3f}, Anomaly score {ensemble_score:.3f}.")
+EXPLANATIONS = (
+    "Multiple metrics degraded simultaneously: CPU {cpu:.1f}%, memory {memory:.1f}%, latency {latency:.0f}ms. "
+    "Pattern consistent with cascade failure triggered by upstream dependency.",
+    "CPU at {cpu:.1f}% with memory stable at {memory:.1f}%. "
+    "Isolated CPU saturation suggests runaway process or compute-intensive workload.",
+    "Memory at {memory:.1f}% with gradual growth pattern. Consistent with memory leak in long-running service.",
+    "Latency p95 at {latency:.0f}ms with error rate {error_rate:.2%}. "
+    "Consistent with database bottleneck or downstream service degradation.",
+    "Error rate at {error_rate:.2%} with latency {latency:.0f}ms. "
+    "Pattern consistent with configuration error or downstream dependency failure.",
+    "Anomaly detected but pattern does not match known failure modes. Manual investigation recommended.",
+)
+EVIDENCE = ("CPU: {cpu:.1f}%", "Memory: {memory:.1f}%", "Latency p95: {latency:.0f}ms", "Error rate: {error_rate:.3%}")
+PROMPT_INCIDENT = ("\nIncident {i} (similarity: {similarity_score}):\n  Title: {title}\n  Root Cause: {root_cause}\n"
+                   "  Resolution: {resolution}\n  Impact: {impact} | Duration: {duration_minutes} minutes\n")
+PROMPT = """You are an expert Site Reliability Engineer analyzing an operational anomaly.
+
+DETECTED ANOMALY:
+- Timestamp: {timestamp}
+- Anomaly Type: {anomaly_type}
+- Ensemble Score: {ensemble_score:.3f}
+- CPU: {cpu_percent:.1f}%
+- Memory: {memory_percent:.1f}%
+- Latency p95: {latency_p95_ms:.0f}ms
+- Error Rate: {error_rate:.3%}
+- Container Restarts: {container_restarts}
+
+SIMILAR HISTORICAL INCIDENTS:
+{incidents}
+
+Based on the anomaly data and similar historical incidents, provide a structured analysis.
+Respond ONLY with valid JSON in exactly this format:
+{{
+  "root_cause_classification": "one of: cascade_failure, cpu_saturation, memory_exhaustion, latency_degradation, error_storm, network_issue, unknown",
+  "confidence_score": 0.0,
+  "root_cause_explanation": "2-3 sentence explanation of likely root cause",
+  "supporting_evidence": ["evidence point 1", "evidence point 2", "evidence point 3"],
+  "recommended_actions": ["action 1", "action 2", "action 3"],
+  "estimated_impact": "one of: low, medium, high, critical",
+  "estimated_resolution_minutes": 0,
+  "similar_incident_reference": "title of most relevant historical incident"
+}}"""
+UNKNOWN_EXPLANATION = EXPLANATIONS[-1]
 
 KB_SCHEMA = T.StructType([
     T.StructField("incident_id", T.IntegerType()),
@@ -138,29 +187,13 @@ ANALYSIS_SCHEMA = T.StructType([
 
 # --- text ----------------------------------------------------------------------------
 
-def fmt(x: Column, digits: int) -> Column:
-    """Fixed-point text of x rounded HALF_UP to ``digits``."""
-    return F.format_string(f"%.{digits}f", F.round(x.cast("double"), digits))
-
-
-def fmt_pct(x: Column, digits: int) -> Column:
-    """``{:.Nf%}``: x × 100 with N decimals and a percent sign."""
-    return F.concat(fmt(x.cast("double") * 100.0, digits), F.lit("%"))
-
-
 def incident_text(title: Column, description: Column, root_cause: Column, resolution: Column) -> Column:
-    return F.concat(title, F.lit(". "), description, F.lit(" Root cause: "), root_cause,
-                    F.lit(" Resolution: "), resolution)
+    return render(INCIDENT_TEXT, {"title": title, "description": description, "root_cause": root_cause,
+                                  "resolution": resolution})
 
 
 def anomaly_query_text(ctx: dict[str, Column]) -> Column:
-    return F.concat(
-        F.lit("Anomaly type "), F.coalesce(ctx["anomaly_type"], F.lit("unknown")), F.lit(". "),
-        F.lit("CPU "), fmt(ctx["cpu_percent"], 1), F.lit("%, "),
-        F.lit("Memory "), fmt(ctx["memory_percent"], 1), F.lit("%, "),
-        F.lit("Latency "), fmt(ctx["latency_p95_ms"], 0), F.lit("ms, "),
-        F.lit("Error rate "), fmt(ctx["error_rate"], 3), F.lit(", "),
-        F.lit("Anomaly score "), fmt(ctx["ensemble_score"], 3), F.lit("."))
+    return render(QUERY_TEXT, {**ctx, "anomaly_type": F.coalesce(ctx["anomaly_type"], F.lit("unknown"))})
 
 
 def context_columns(df: DataFrame) -> dict[str, Column]:
@@ -192,20 +225,8 @@ def rca_rules(df: DataFrame, similar: str | None = None) -> DataFrame:
         (kind == "latency_surge") | (lat > 1000),
         (kind == "error_burst") | (err > 0.1),
     ]
-    explanations = [
-        F.concat(F.lit("Multiple metrics degraded simultaneously: CPU "), fmt(cpu, 1), F.lit("%, memory "),
-                 fmt(mem, 1), F.lit("%, latency "), fmt(lat, 0),
-                 F.lit("ms. Pattern consistent with cascade failure triggered by upstream dependency.")),
-        F.concat(F.lit("CPU at "), fmt(cpu, 1), F.lit("% with memory stable at "), fmt(mem, 1),
-                 F.lit("%. Isolated CPU saturation suggests runaway process or compute-intensive workload.")),
-        F.concat(F.lit("Memory at "), fmt(mem, 1),
-                 F.lit("% with gradual growth pattern. Consistent with memory leak in long-running service.")),
-        F.concat(F.lit("Latency p95 at "), fmt(lat, 0), F.lit("ms with error rate "), fmt_pct(err, 2),
-                 F.lit(". Consistent with database bottleneck or downstream service degradation.")),
-        F.concat(F.lit("Error rate at "), fmt_pct(err, 2), F.lit(" with latency "), fmt(lat, 0),
-                 F.lit("ms. Pattern consistent with configuration error or downstream dependency failure.")),
-        F.lit(UNKNOWN_EXPLANATION),
-    ]
+    named = {"cpu": cpu, "memory": mem, "latency": lat, "error_rate": err}
+    explanations = [render(t, named) for t in EXPLANATIONS]
 
     def pick(values: list[Column]) -> Column:
         expr = values[-1]
@@ -217,10 +238,7 @@ def rca_rules(df: DataFrame, similar: str | None = None) -> DataFrame:
     conf = pick([F.lit(r[1]) for r in RULES])
     impact = pick([F.lit(r[2]) for r in RULES])
     actions = pick([F.array(*[F.lit(a) for a in r[3]]) for r in RULES])
-    evidence = F.array(F.concat(F.lit("CPU: "), fmt(cpu, 1), F.lit("%")),
-                       F.concat(F.lit("Memory: "), fmt(mem, 1), F.lit("%")),
-                       F.concat(F.lit("Latency p95: "), fmt(lat, 0), F.lit("ms")),
-                       F.concat(F.lit("Error rate: "), fmt_pct(err, 3)))
+    evidence = F.array(*[render(t, named) for t in EVIDENCE])
     if similar:
         top = F.element_at(F.col(similar), 1)
         has = F.size(F.col(similar)) > 0
@@ -346,34 +364,11 @@ def similar_incidents(matches: DataFrame, kb: DataFrame, corpus_to_incident: str
 def rca_prompt(df: DataFrame, similar: str = "similar_incidents") -> DataFrame:
     """The analysis prompt as a column (no model is called)."""
     c = context_columns(df)
-    lines = F.transform(F.col(similar), lambda inc, i: F.format_string(
-        "\nIncident %d (similarity: %s):\n  Title: %s\n  Root Cause: %s\n  Resolution: %s\n"
-        "  Impact: %s | Duration: %d minutes\n",
-        i + 1, inc["similarity_score"].cast("string"), inc["title"], inc["root_cause"], inc["resolution"],
-        inc["impact"], inc["duration_minutes"]))
-    header = F.concat(
-        F.lit("You are an expert Site Reliability Engineer analyzing an operational anomaly.\n\n"
-              "DETECTED ANOMALY:\n- Timestamp: "), c["timestamp"],
-        F.lit("\n- Anomaly Type: "), c["anomaly_type"],
-        F.lit("\n- Ensemble Score: "), fmt(c["ensemble_score"], 3),
-        F.lit("\n- CPU: "), fmt(c["cpu_percent"], 1), F.lit("%"),
-        F.lit("\n- Memory: "), fmt(c["memory_percent"], 1), F.lit("%"),
-        F.lit("\n- Latency p95: "), fmt(c["latency_p95_ms"], 0), F.lit("ms"),
-        F.lit("\n- Error Rate: "), fmt_pct(c["error_rate"], 3),
-        F.lit("\n- Container Restarts: "), c["container_restarts"].cast("string"),
-        F.lit("\n\nSIMILAR HISTORICAL INCIDENTS:\n"), F.array_join(lines, ""),
-        F.lit("\n\nBased on the anomaly data and similar historical incidents, provide a structured analysis.\n"
-              "Respond ONLY with valid JSON in exactly this format:\n{\n"
-              '  "root_cause_classification": "one of: cascade_failure, cpu_saturation, memory_exhaustion, '
-              'latency_degradation, error_storm, network_issue, unknown",\n'
-              '  "confidence_score": 0.0,\n'
-              '  "root_cause_explanation": "2-3 sentence explanation of likely root cause",\n'
-              '  "supporting_evidence": ["evidence point 1", "evidence point 2", "evidence point 3"],\n'
-              '  "recommended_actions": ["action 1", "action 2", "action 3"],\n'
-              '  "estimated_impact": "one of: low, medium, high, critical",\n'
-              '  "estimated_resolution_minutes": 0,\n'
-              '  "similar_incident_reference": "title of most relevant historical incident"\n}'))
-    return df.withColumn("prompt", header)
+    lines = F.transform(F.col(similar), lambda inc, i: render(PROMPT_INCIDENT, {
+        "i": i + 1, "similarity_score": inc["similarity_score"], "title": inc["title"],
+        "root_cause": inc["root_cause"], "resolution": inc["resolution"], "impact": inc["impact"],
+        "duration_minutes": inc["duration_minutes"]}))
+    return df.withColumn("prompt", render(PROMPT, {**c, "incidents": F.array_join(lines, "")}))
 
 
 def parse_analysis_json(reply: Column) -> Column:
