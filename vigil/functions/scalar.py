@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Labels and display formats.
+LOG_LEVELS = ((500, "ERROR"), (400, "WARN"))      # status >= threshold → level; else INFO
+DEFAULT_LOG_LEVEL = "INFO"
+HEALTH_LEVELS = ("red", "amber", "green")        # >= critical, >= warn, else
+BANNER_OK = "HEALTHY"
+BANNER_ALERT = "%d ANOMALIES DETECTED"
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+OPTION_LABEL = "%s | score=%.3f | %s"
+
 
 def log_level(status: Column) -> Column:
     """HTTP status → ERROR (>=500) / WARN (>=400) / INFO."""
-    return F.when(status >= 500, "ERROR").when(status >= 400, "WARN").otherwise("INFO")
+    expr = F.lit(DEFAULT_LOG_LEVEL)
+    for threshold, level in reversed(LOG_LEVELS):
+        expr = F.when(status >= threshold, level).otherwise(expr)
+    return expr
 
 
 def ticket_status(resolved_at: Column) -> Column:
@@ -17,12 +29,12 @@ def ticket_status(resolved_at: Column) -> Column:
 
 def health_color(value: Column, warn: Column, crit: Column) -> Column:
     """Traffic-light level: red at or above critical, amber at or above warn."""
-    return F.when(value >= crit, "red").when(value >= warn, "amber").otherwise("green")
+    red, amber, green = HEALTH_LEVELS
+    return F.when(value >= crit, red).when(value >= warn, amber).otherwise(green)
 
 
 def status_banner(flagged: Column) -> Column:
-    return F.when(flagged == 0, F.lit("HEALTHY")).otherwise(
-        F.format_string("%d ANOMALIES DETECTED", flagged))
+    return F.when(flagged == 0, F.lit(BANNER_OK)).otherwise(F.format_string(BANNER_ALERT, flagged))
 
 
 def title_case_label(c: Column) -> Column:
@@ -31,7 +43,7 @@ def title_case_label(c: Column) -> Column:
 
 
 def fmt_timestamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(c, TIMESTAMP_FORMAT)
 
 
 def fmt_fixed(c: Column, digits: int) -> Column:
@@ -56,4 +68,4 @@ def fmt_percent_value(c: Column, digits: int = 1) -> Column:
 
 def option_label(ts: Column, score: Column, kind: Column) -> Column:
     """"<ts> | score=<.3f> | <type>" picker labels."""
-    return F.format_string("%s | score=%.3f | %s", fmt_timestamp(ts), score, kind)
+    return F.format_string(OPTION_LABEL, fmt_timestamp(ts), score, kind)
