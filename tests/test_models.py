@@ -171,3 +171,13 @@ def test_exact_percentile_equals_spark_percentile(spark):
     ref = df.groupBy("g").agg(F.percentile("v", 0.95).alias("p")).toPandas().sort_values("g")
     got = exact_percentile(df, ["g"], "v", 0.95, "p", max_collect=50, bins=8).toPandas().sort_values("g")
     assert np.array_equal(ref["p"].to_numpy(), got["p"].to_numpy())
+
+
+def test_text_templates_render_like_python_format(spark):
+    """Templates render like Python's format for non-tie values; braces escape."""
+    from vigil.functions.text import render
+    tpl = "{{x}} CPU {cpu:.1f}% err {err:.3%} n={n} {name}."
+    row = {"cpu": 91.47, "err": 0.21834, "n": 5, "name": "cascade"}
+    df = spark.createDataFrame([tuple(row.values())], "cpu double, err double, n int, name string")
+    got = df.select(render(tpl, {k: F.col(k) for k in row}).alias("t")).collect()[0]["t"]
+    assert got == tpl.format(**row)
