@@ -265,9 +265,7 @@ def feedback_frame(spark, sf_dir, threshold: float = 0.3):
 def rca_case_sql(src: str = "scored") -> str:
     """SQL twin of the rule chain's classification."""
     from vigil.operators.incidents import RULES
-    conds = ["anomaly_type = 'cascade' OR (cpu_percent > 85 AND memory_percent > 80 AND latency_p95_ms > 800)",
-             "anomaly_type = 'cpu_spike' OR cpu_percent > 90", "anomaly_type = 'memory_leak' OR memory_percent > 90",
-             "anomaly_type = 'latency_surge' OR latency_p95_ms > 1000", "anomaly_type = 'error_burst' OR error_rate > 0.1"]
+    conds = S.RULE_CONDITIONS
     return "CASE " + " ".join(f"WHEN {c} THEN '{r[0]}'" for c, r in zip(conds, RULES)) + f" ELSE '{RULES[-1][0]}' END"
 
 

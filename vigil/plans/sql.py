@@ -222,3 +222,13 @@ def cost_select(src: str, keep: list[str], score: str = "ensemble_score",
             f"FROM (SELECT *, coalesce({type_col}, 'normal') AS _type, "
             f"coalesce(CAST({score} AS DOUBLE), 0.5::DOUBLE) AS _score FROM {src}) x "
             f"LEFT JOIN {profile_values()} p ON x._type = p.profile_type")
+
+
+# SQL twin of the first-match rule chain of ``operators.incidents.rca_rules``.
+RULE_CONDITIONS = (
+    "anomaly_type = 'cascade' OR (cpu_percent > 85 AND memory_percent > 80 AND latency_p95_ms > 800)",
+    "anomaly_type = 'cpu_spike' OR cpu_percent > 90",
+    "anomaly_type = 'memory_leak' OR memory_percent > 90",
+    "anomaly_type = 'latency_surge' OR latency_p95_ms > 1000",
+    "anomaly_type = 'error_burst' OR error_rate > 0.1",
+)
