@@ -38,3 +38,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.bpe import bpe
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.pii import scan
+    return scan(table(spark, sf_dir, "documents"))
