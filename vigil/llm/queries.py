@@ -80,3 +80,9 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.decontaminate import decontaminate
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.html import extract
+    return extract(table(spark, sf_dir, "pages"))
