@@ -86,3 +86,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.html import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+        FROM d, unnest(range(1, len(w) - 11)) t(i)),
+first AS (SELECT g, min(doc_id) AS doc_id FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM (
+  SELECT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first ON win.g = first.g
+  WHERE first.doc_id < win.doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.substring import dedup
+    return dedup(table(spark, sf_dir, "documents"))
