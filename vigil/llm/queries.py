@@ -109,3 +109,9 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.substring import dedup
     return dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.ngram_lm import score
+    return score(table(spark, sf_dir, "documents"))
