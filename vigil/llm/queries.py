@@ -115,3 +115,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.ngram_lm import score
     return score(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
