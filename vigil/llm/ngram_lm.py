@@ -75,7 +75,7 @@ def _count(batches):
             one, two, _ = tokens(part)
             held += [one, two]
             size += 2 * len(one)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -254,7 +254,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches):
         model = _model(shared)
         for batch in batches:
-            for part in T.slices(batch.column(3)):
+            for part in T.slices(batch.column(3), T.SLICE_BYTES // 2):
                 lens, known, base, logp, (row, h, times) = model.score(part)
                 at = pa.array(row)
                 rows = batch.column(0).slice(part.first, len(part))

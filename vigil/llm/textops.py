@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the arrays a Python worker holds.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,20 +54,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
 
-@lru_cache(maxsize=8)
-def _powers(lane: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[lane]
-    inverse = pow(base, -1, 1 << 64)
-    up = np.full(size, base, dtype=np.uint64)
-    down = np.full(size, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n (sizes rounded up, cached)."""
-    size = 1 << max(12, int(n).bit_length())
-    return _powers(lane, size)
+    """B**i and B**-i modulo 2**64 for i < n at least (one table a lane is
+    kept, regrown when a longer buffer comes)."""
+    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
+        size = max(1 << 12, n + n // 8)
+        up = np.full(size, _BASE[lane], dtype=np.uint64)
+        down = np.full(size, pow(_BASE[lane], -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[lane] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[lane]
 
 
 @lru_cache(maxsize=4)
@@ -186,11 +185,3 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi, -1)
     return np.cumsum(edge[:-1]) > 0
-
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-def fold_text_columns(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
