@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import textops as T
 from vigil.llm.components import components
+from vigil.llm.grouping import whole_groups
 from vigil.session import materialize
 
 #: Coordinates of the points.
@@ -218,33 +219,17 @@ def tile_pairs(join: Join, sid: np.ndarray, comp: np.ndarray, points: np.ndarray
 
 def _tile_join(join: Join):
     """Rows (tile, sid, comp, side, point) sorted by tile -> pairs."""
-    def solve(rows: pa.Table):
-        tile = rows.column("tile").to_numpy()
-        sid, comp = rows.column("sid").to_numpy(), rows.column("comp").to_numpy()
-        side = rows.column("side").to_numpy()
-        points = _points(rows.column("point").combine_chunks())
-        cut = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
-        found = [np.zeros((2, 0), dtype=np.int64)]
-        for a, b in zip(cut[:-1], cut[1:]):
-            s = side[a:b]
-            found.append(tile_pairs(join, sid[a:b], comp[a:b], points[a:b], None if (s < 0).all() else s == 1))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            tile = table.column("tile").to_numpy()
-            last = int(np.searchsorted(-(tile != tile[-1]).astype(np.int8), 0)) if len(tile) else 0
-            if last:  # all tiles but the last are whole
-                yield solve(table.slice(0, last))
-                held = table.slice(last).to_batches()
-        if held:
-            yield solve(pa.Table.from_batches(held))
+        for rows, groups in whole_groups(batches, "tile"):
+            sid, comp = rows.column("sid").to_numpy(), rows.column("comp").to_numpy()
+            side = rows.column("side").to_numpy()
+            points = _points(rows.column("point").combine_chunks())
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            for a, b in groups:
+                s = side[a:b]
+                found.append(tile_pairs(join, sid[a:b], comp[a:b], points[a:b], None if (s < 0).all() else s == 1))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     return run
 
 
