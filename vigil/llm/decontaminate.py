@@ -123,16 +123,19 @@ def _summary(ids: list[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: ``id_col``, n_words, n_hit, n_items, items_sha256,
-    contaminated."""
+                  item_id: str = "item_id", item_text: str = "text", whole_rows: bool = False) -> DataFrame:
+    """Per document: ``id_col`` (or, with ``whole_rows``, the input row as a
+    struct ``row``), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    head = "row" if whole_rows else id_col
+    own = docs.select((every if whole_rows else F.col(id_col)).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = _blocks(items, item_id, item_text)
     first, rest = next(blocks), list(_shared(spark, blocks))
-    out_schema = f"{id_col} {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    names = [x.split()[0] for x in out_schema.split(", ")]
+    out_schema = T.output_schema([
+        (head, docs.schema if whole_rows else docs.schema[id_col].dataType), ("n_words", "long"), ("n_hit", "long"),
+        ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")])
+    names = out_schema.names
     shared = spark.sparkContext.broadcast(first)
     if not rest:
         def run(batches):
@@ -151,7 +154,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
         return own.mapInArrow(run, out_schema)
 
     # several blocks: runs of hit words and items per row and block, put together by row
-    keyed = materialize(own.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    keyed = materialize(own.withColumn("at", F.monotonically_increasing_id()), "decontaminate")
 
     def marks(block):
         def run(batches):
@@ -165,17 +168,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
                     yield pa.RecordBatch.from_arrays([
                         batch.column(2).slice(part.first, len(part)), pa.array(w.counts.astype(np.int64)),
                         pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))],
-                        names=["row", "n_words", "hits", "ids"])
-        return keyed.mapInArrow(run, "row long, n_words long, hits array<long>, ids array<string>")
+                        names=["at", "n_words", "hits", "ids"])
+        return keyed.mapInArrow(run, "at long, n_words long, hits array<long>, ids array<string>")
 
-    every = marks(shared)
+    merged = marks(shared)
     for block in rest:
-        every = every.unionByName(marks(block))
-    merged = every.groupBy("row").agg(
+        merged = merged.unionByName(marks(block))
+    merged = merged.groupBy("at").agg(
         F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    return keyed.select("row", "id").join(merged, "row").select(
-        F.col("id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"),
+    return keyed.select("at", "id").join(merged, "at").select(
+        F.col("id").alias(head), "n_words", F.size("hits").cast("long").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"))
 

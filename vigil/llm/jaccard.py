@@ -140,9 +140,9 @@ def _describe(width: int):
                 sets = shingle_sets(part, width)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.first, len(part)), batch.column(2).slice(part.first, len(part)),
-                    pa.array([len(v) for v in sets], pa.int64()),
+                    batch.column(3).slice(part.first, len(part)), pa.array([len(v) for v in sets], pa.int64()),
                     pa.array([set_id(v) if len(v) else None for v in sets], pa.int64()),
-                    pa.array([point(v) for v in sets], pa.binary())], names=["doc", "rid", "n", "sid", "point"])
+                    pa.array([point(v) for v in sets], pa.binary())], names=["doc", "rid", "row", "n", "sid", "point"])
     return run
 
 
@@ -262,16 +262,18 @@ def _fetch(width: int):
     return run
 
 
-def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
-    """Per document: ``id_col`` (an integer), n_shingles, component_id."""
+def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
+         row_col: str | None = None) -> DataFrame:
+    """Per document: ``id_col`` (an integer), n_shingles, component_id and, if
+    given, the long column ``row_col`` (as ``row``)."""
     rule = Join(width, percent)
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"),
-                      F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("rid"))
-    light = materialize(own.select("doc", "text", "rid").mapInArrow(
-        _describe(width), "doc long, rid long, n long, sid long, point binary"), "jaccard-light")
+                      F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("rid"),
+                      (F.lit(0) if row_col is None else F.col(row_col)).cast("long").alias("row"))
+    light = materialize(own.select("doc", "text", "rid", "row").mapInArrow(
+        _describe(width), "doc long, rid long, row long, n long, sid long, point binary"), "jaccard-light")
     classes = light.where("sid is not null").groupBy("sid").agg(
         F.min("rid").alias("rid"), F.first("point").alias("point"))
 
@@ -324,8 +326,9 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     final = components(links.unionByName(more))
 
     label = light.join(final.toDF("sid", "comp"), "sid", "left").select(
-        "doc", "n", F.coalesce("comp", "sid").alias("comp"))
+        "doc", "n", "row", F.coalesce("comp", "sid").alias("comp"))
     least = label.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
-    return label.join(least, "comp", "left").select(
+    out = label.join(least, "comp", "left").select(
         F.col("doc").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+        F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"), "row")
+    return out if row_col is not None else out.drop("row")

@@ -260,15 +260,19 @@ def train(docs: DataFrame) -> tuple[list[str], BiGRU | None]:
     return langs, net
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per document: ``id_col``, held_out, lang_pred, score."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             whole_rows: bool = False) -> DataFrame:
+    """Per document: ``id_col`` (or, with ``whole_rows``, the input row as a
+    struct ``row``), held_out, lang_pred, score."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                      F.col(text_col).cast("string").alias("text"),
                       F.col(lang_col).cast("string").alias("lang")).withColumn("held", held_out("id"))
     langs, net = train(own.where("not held"))
     shared = docs.sparkSession.sparkContext.broadcast((langs, net))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, held_out boolean, lang_pred string, score double"
-    names = [x.split()[0] for x in schema.split(", ")]
+    first = "row" if whole_rows else id_col
+    kind = (docs.schema if whole_rows else docs.schema[id_col].dataType)
+    schema = T.output_schema([(first, kind), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")])
+    names = schema.names
 
     def run(batches):
         langs, net = shared.value
@@ -288,4 +292,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)),
                      pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=names)
 
-    return own.select("id", "held", "text").mapInArrow(run, schema)
+    return own.select("row" if whole_rows else "id", "held", "text").mapInArrow(run, schema)

@@ -1,25 +1,65 @@
-"""The pipeline's stages: each applies one operator and acts on its result."""
+"""The pipeline's stages: each applies one operator and acts on its result.
+
+``docs`` is a written table (as the pipeline gives it): a row's place in the
+scan names the row where ids may repeat or be null.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.session import materialize
+
+#: Least mean probability of the best language.
+MIN_LANGUAGE_SCORE = 0.3
+#: Rows to leave out that are broadcast; more are left out by a shuffled join.
+MAX_BROADCAST_ROWS = 1 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents whose language is recognised; null texts, texts without
+    letters and those of no clear language go."""
+    from vigil.llm.langid import UNKNOWN, identify
+    seen = identify(docs, whole_rows=True)
+    return seen.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each component: the one of the smallest id (of rows
+    that share it, the first). Documents without words all stay."""
+    from vigil.llm.jaccard import join
+    at = f"row_{uuid.uuid4().hex}"
+    named = docs.withColumn(at, F.monotonically_increasing_id())
+    groups = join(named, row_col=at).where("n_shingles > 0")
+    # in a component: rows of its id first; a component without ids is told by nothing but null
+    own = groups.where("doc_id <=> component_id")
+    first = own.where("component_id is not null").groupBy("component_id").agg(F.min("row").alias("first"))
+    gone = groups.join(first, "component_id", "left").where(
+        "component_id is not null and row != first").select(F.col("row").alias(at))
+    gone = materialize(gone, "pipeline-gone")
+    small = gone.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return named.join(F.broadcast(gone) if small else gone, at, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without any window of a benchmark item."""
+    from vigil.llm.decontaminate import decontaminate
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(docs, items, whole_rows=True).where("not contaminated").select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All documents, personal data masked; ``n_chars`` follows the text."""
+    from vigil.llm.pii import mask
+    out = mask(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind))
+                             .otherwise(F.col("n_chars")))
+    return out
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

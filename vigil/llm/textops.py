@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text handled at once; bounds the arrays a Python worker holds.
 SLICE_BYTES = 1_000_000
@@ -185,3 +186,8 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def output_schema(fields: list[tuple[str, DataType | str]]) -> StructType:
+    """Schema from (name, type or simple type name)."""
+    return StructType([StructField(n, k if isinstance(k, DataType) else DataType.fromDDL(k)) for n, k in fields])
