@@ -44,10 +44,11 @@ def calendar_columns(ts: Column) -> list[Column]:
     ]
 
 
+#: Calendar inputs of the forecast frame.
+FORECAST_CALENDAR = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_business_hours")
+
+
 def forecast_calendar_columns(ts: Column) -> list[Column]:
-    """The five calendar inputs of the forecast frame."""
-    h = F.hour(ts)
-    hs, hc = cyclic(h, 24)
-    ds, dc = cyclic(day_of_week(ts), 7)
-    return [hs.alias("hour_sin"), hc.alias("hour_cos"), ds.alias("dow_sin"), dc.alias("dow_cos"),
-            business_hours(ts).alias("is_business_hours")]
+    """The calendar inputs of the forecast frame, in their order."""
+    circle = [*cyclic(F.hour(ts), 24), *cyclic(day_of_week(ts), 7)]
+    return [c.alias(name) for c, name in zip([*circle, business_hours(ts)], FORECAST_CALENDAR)]

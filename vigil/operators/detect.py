@@ -324,29 +324,22 @@ def ensemble_weight_search(scored: DataFrame, iso: str, ae: str, label: str,
     with the highest F1 (strictly better wins, so ties keep the lowest w_iso;
     if no weight gets F1 > 0 the defaults 0.3 / 0.7 are kept).
 
-    Rows are replicated once per weight (a fixed factor of 21), grouped by
-    (weight, exact score), and accumulated in descending score order per
-    weight with bucketed running sums."""
+    Rows are first counted per (score pair); the pairs are replicated once per
+    weight (a fixed factor of 21), grouped by (weight, exact score), and
+    accumulated in descending score order per weight with bucketed running
+    sums."""
     spark = scored.sparkSession
     grid = F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(w).alias("w_iso"), F.lit(a).alias("w_ae"))
                      for i, (w, a) in enumerate(weight_grid(steps))])
-    rep = scored.select(F.col(iso).alias("_i"), F.col(ae).alias("_a"), F.col(label).cast("long").alias("_y"),
-                        F.inline(grid))
-    rep = rep.select("wi", "w_iso", "w_ae", (F.col("w_iso") * F.col("_i") + F.col("w_ae") * F.col("_a")).alias("s"), "_y")
-    g = rep.groupBy("wi", "w_iso", "w_ae", "s").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    # Per-weight running sums: order key (weight, score desc) made globally
-    # unique and monotone, so one bucketed prefix pass serves all weights.
-    key = (F.col("wi").cast("double") * 4.0 - F.col("s"))
-    g = g.withColumn("_k", key)
-    cum = running_totals(g, "_k", ["pos", "neg"], descending=False)
-    # offsets of the earlier weights: a 21-row table, one bounded window
-    tot = g.groupBy("wi").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    before = Window.orderBy("wi").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("wi", "P", F.coalesce(F.sum("P").over(before), F.lit(0)).alias("_offp"),
-                      F.coalesce(F.sum("N").over(before), F.lit(0)).alias("_offn"))
-    cum = cum.join(F.broadcast(offs), "wi")
-    tp = (F.col("cum_pos") - F.col("_offp")).cast("double")
-    fp = (F.col("cum_neg") - F.col("_offn")).cast("double")
+    y = F.col(label).cast("long")
+    rep = scored.groupBy(F.col(iso).alias("_i"), F.col(ae).alias("_a")).agg(
+        F.sum(y).alias("_p"), F.sum(1 - y).alias("_n")).select("_i", "_a", "_p", "_n", F.inline(grid))
+    rep = rep.select("wi", "w_iso", "w_ae", (F.col("w_iso") * F.col("_i") + F.col("w_ae") * F.col("_a")).alias("s"),
+                     "_p", "_n")
+    g = rep.groupBy("wi", "w_iso", "w_ae", "s").agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
+    cum = running_totals(g, "s", ["pos", "neg"], descending=True, groups=["wi"])
+    cum = cum.join(F.broadcast(cum.groupBy("wi").agg(F.sum("pos").alias("P"))), "wi")  # one row a weight
+    tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     rec = F.when(F.col("P") > 0, tp / F.col("P")).otherwise(1.0)
     f1 = F.when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))

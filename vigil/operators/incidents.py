@@ -185,6 +185,10 @@ ANALYSIS_SCHEMA = T.StructType([
 ])
 
 
+MANDATORY_FIELDS = ("root_cause_classification", "confidence_score", "root_cause_explanation",
+                    "supporting_evidence", "recommended_actions")
+
+
 # --- text ----------------------------------------------------------------------------
 
 def incident_text(title: Column, description: Column, root_cause: Column, resolution: Column) -> Column:
@@ -196,12 +200,14 @@ def anomaly_query_text(ctx: dict[str, Column]) -> Column:
     return render(QUERY_TEXT, {**ctx, "anomaly_type": F.coalesce(ctx["anomaly_type"], F.lit("unknown"))})
 
 
-def context_columns(df: DataFrame) -> dict[str, Column]:
+def context_columns(df: DataFrame, untyped: str = "normal") -> dict[str, Column]:
+    """Inputs of the texts and rules; ``untyped`` stands for a missing type
+    (the rules say "normal", the query text and the prompt "unknown")."""
     def get(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
     return {
         "timestamp": F.col("timestamp").cast("string") if "timestamp" in df.columns else F.lit("unknown"),
-        "anomaly_type": get("anomaly_type", "normal"),
+        "anomaly_type": get("anomaly_type", untyped),
         "ensemble_score": get("ensemble_score", 0.0).cast("double"),
         "cpu_percent": get("cpu_percent", 0.0).cast("double"),
         "memory_percent": get("memory_percent", 0.0).cast("double"),
@@ -290,21 +296,33 @@ def _unit_rows(vecs) -> np.ndarray:
     return m / norms
 
 
+#: Queries compared with one corpus batch at a time.
+_QUERY_BLOCK = 1024
+
+
 def _block_topk(qid: np.ndarray, Q: np.ndarray, cid: np.ndarray, Cm: np.ndarray, k: int) -> pd.DataFrame:
     if len(qid) == 0 or len(cid) == 0:
         return pd.DataFrame({"query_id": [], "corpus_id": [], "similarity": []})
-    S = Q @ Cm.T
-    kk = min(k, S.shape[1])
-    # candidates: top kk by similarity; exact ties resolved later by corpus id
-    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
-    kth = np.take_along_axis(S, part, axis=1).min(axis=1, keepdims=True)
-    qs, cs = np.nonzero(S >= kth)
-    return pd.DataFrame({"query_id": qid[qs], "corpus_id": cid[cs], "similarity": S[qs, cs]})
+    order = np.argsort(cid, kind="stable")  # ties go to the smaller corpus id
+    cid, Cm = cid[order], Cm[order]
+    kk = min(k, len(cid))
+    ids, cids, sims = [], [], []
+    for at in range(0, len(qid), _QUERY_BLOCK):
+        S = Q[at:at + _QUERY_BLOCK] @ Cm.T
+        kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk][:, None]
+        above, equal = S > kth, S == kth
+        keep = above | (equal & (np.cumsum(equal, axis=1) <= kk - above.sum(axis=1, keepdims=True)))
+        qs, cs = np.nonzero(keep)
+        ids.append(qid[at + qs])
+        cids.append(cid[cs])
+        sims.append(S[qs, cs])
+    return pd.DataFrame({"query_id": np.concatenate(ids), "corpus_id": np.concatenate(cids),
+                         "similarity": np.concatenate(sims)})
 
 
 def knn_incidents(queries: DataFrame, corpus: DataFrame, k: int = 3, q_id: str = "query_id",
                   c_id: str = "corpus_id", vec: str = "embedding",
-                  max_broadcast_bytes: int = 256 << 20, block_rows: int = 8192) -> DataFrame:
+                  max_broadcast_bytes: int = 8 << 20, block_rows: int = 8192) -> DataFrame:
     """Exact cosine top-k corpus rows per query: (query_id, rank, corpus_id,
     similarity, similarity_score = round(similarity, 3))."""
     spark = queries.sparkSession
@@ -363,7 +381,7 @@ def similar_incidents(matches: DataFrame, kb: DataFrame, corpus_to_incident: str
 
 def rca_prompt(df: DataFrame, similar: str = "similar_incidents") -> DataFrame:
     """The analysis prompt as a column (no model is called)."""
-    c = context_columns(df)
+    c = context_columns(df, "unknown")
     lines = F.transform(F.col(similar), lambda inc, i: render(PROMPT_INCIDENT, {
         "i": i + 1, "similarity_score": inc["similarity_score"], "title": inc["title"],
         "root_cause": inc["root_cause"], "resolution": inc["resolution"], "impact": inc["impact"],
@@ -372,10 +390,14 @@ def rca_prompt(df: DataFrame, similar: str = "similar_incidents") -> DataFrame:
 
 
 def parse_analysis_json(reply: Column) -> Column:
-    """Reply text → analysis struct; malformed JSON or a reply missing the
-    classification gives NULL (the caller falls back to the rules)."""
+    """Reply text → analysis struct; malformed JSON or a reply that lacks one
+    of the mandatory fields (or gives it another type) gives NULL: the caller
+    falls back to the rules."""
     parsed = F.from_json(F.trim(reply), ANALYSIS_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.when(parsed["root_cause_classification"].isNotNull(), parsed)
+    whole = F.lit(True)
+    for f in MANDATORY_FIELDS:
+        whole = whole & parsed[f].isNotNull()
+    return F.when(whole, parsed)
 
 
 def analyze_batch(df: DataFrame, similar: DataFrame | None = None, key: str = "event_id",

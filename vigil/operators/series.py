@@ -28,6 +28,7 @@ single chunk with no halo, which is exactly ``partitionBy(keys)``.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +40,9 @@ from vigil.session import materialize
 UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
 _K0 = "_k0"
+_K1 = "_k1"
 COARSE = 1024
-INTERNAL = ("_chunk", "_halo", "_bstart", "_kn", _K0)
+INTERNAL = ("_chunk", "_halo", "_bstart", "_kn", _K0, _K1)
 
 
 @dataclass(frozen=True)
@@ -115,6 +117,13 @@ def _with_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(_K0, F.lit(0)), [_K0]
 
 
+def _null_safe(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Keys that equi-joins can match: a null key becomes a helper column."""
+    if not any(df.schema[k].nullable for k in keys):
+        return df, keys
+    return df.withColumn(_K1, F.to_json(F.struct(*keys))), [_K1]
+
+
 def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
     """Assign each row (and its halo copies) to a bounded chunk of its series."""
     C = spec.chunk_rows
@@ -124,6 +133,7 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
     half = C // 2
     bucket_rows = spec.bucket_rows or max(1, C // 8)
     df, keys = _with_key(df, list(spec.keys))
+    df, keys = _null_safe(df, keys)
     ov = order_value(df, spec.order)
 
     # Per-key statistics; only keys longer than half a chunk are cut.
@@ -135,6 +145,9 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
              .agg(F.count(F.lit(1)).alias("_kn"), F.min(ov).alias("_lo"), F.max(ov).alias("_hi"),
                   F.min(tv).alias("_tlo"), F.max(tv).alias("_thi"))
              .filter(F.col("_kn") > half)
+             # one step below the least value is the place of rows without one (nulls sort first)
+             .withColumn("_hi", F.coalesce("_hi", F.lit(0.0))).withColumn("_lo", F.coalesce("_lo", F.lit(0.0)) - 1.0)
+             .withColumn("_thi", F.coalesce("_thi", F.lit(0.0))).withColumn("_tlo", F.coalesce("_tlo", F.lit(0.0)) - 1.0)
              .withColumn("_w", (F.col("_hi") - F.col("_lo") + 1.0) * F.lit(float(bucket_rows)) / F.col("_kn"))
              .withColumn("_tw", F.lit(None).cast("double"))
              .select(*keys, "_kn", "_lo", "_w", "_tlo", "_thi", "_tw")
@@ -149,9 +162,9 @@ def frame_series(df: DataFrame, spec: SeriesSpec) -> Framed:
     # Bucket = (time bucket, tie-break sub-bucket). The sub-bucket is used
     # only once a key's time buckets are down to single timestamps, so
     # ordering buckets by (_b, _b2) still follows (order, tiebreak).
-    bexpr = F.floor((F.col("_ov") - F.col("_lo")) / F.col("_w")).cast("long")
+    bexpr = F.floor((F.coalesce("_ov", "_lo") - F.col("_lo")) / F.col("_w")).cast("long")
     b2expr = F.when(F.col("_tw").isNotNull(),
-                    F.floor((F.col("_tv") - F.col("_tlo")) / F.col("_tw"))).otherwise(F.lit(0)).cast("long")
+                    F.floor((F.coalesce("_tv", "_tlo") - F.col("_tlo")) / F.col("_tw"))).otherwise(F.lit(0)).cast("long")
     for _attempt in range(12):
         hb = _maybe_broadcast(heavy, n_heavy, spec.max_broadcast_rows)
         bt = (df.select(*keys, ov.alias("_ov"), tv.alias("_tv")).join(hb, keys)
@@ -248,24 +261,22 @@ def row_index(df: DataFrame, spec: SeriesSpec, idx_col: str = "row_idx",
 
 
 def running_totals(df: DataFrame, order: str, sum_cols: list[str], descending: bool = False,
-                   chunk_rows: int = 2_000_000, max_broadcast_rows: int = 2_000_000,
-                   prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in the order of ``order`` over
-    the whole table. ``order`` must be unique per row (group first).
-
-    Bounded tables use one window; larger ones are cut into value buckets whose
-    totals give each bucket its offset, so no task holds more than a bucket.
-    """
+                   bucket_rows: int = 250_000, groups: Sequence[str] = (), prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in the order of ``order``, per
+    combination of ``groups`` (none: over the whole table). ``order`` must be
+    unique within a group (group first).
+
+    Rows are cut into value buckets whose totals give each bucket its offset,
+    so no task holds more than a bucket of a group."""
+    df = materialize(df, "running-totals")  # counted, cut and summed below: computed once
     n = df.count()
     ordered = F.col(order).desc() if descending else F.col(order).asc()
-    if n <= chunk_rows:
-        w = Window.orderBy(ordered).rowsBetween(UNB, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(prefix + c) for c in sum_cols])
+    groups = list(groups)
     from pyspark.ml.feature import Bucketizer
 
     # Equal-count value buckets from approximate quantiles (a bounded list of
     # split points); a value always falls into exactly one bucket.
-    nb = max(2, math.ceil(8 * n / chunk_rows))
+    nb = max(2, math.ceil(n / bucket_rows))
     probs = [i / nb for i in range(1, nb)]
     cuts = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * nb))))
     splits = [-math.inf] + cuts + [math.inf]
@@ -275,17 +286,17 @@ def running_totals(df: DataFrame, order: str, sum_cols: list[str], descending: b
     bcol = (F.lit(nbk - 1) - F.col("_bk")) if descending else F.col("_bk")
     data = data.withColumn("_b", bcol.cast("long")).drop("_bk")
     # bucket offsets by a two-level prefix sum (no window over all buckets)
-    tot = (data.groupBy("_b").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
+    tot = (data.groupBy(*groups, "_b").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
            .withColumn("_cb", F.floor(F.col("_b") / F.lit(COARSE))))
-    ctot = tot.groupBy("_cb").agg(*[F.sum("_t_" + c).alias("_ct_" + c) for c in sum_cols])
-    wcb = Window.orderBy("_cb").rowsBetween(UNB, -1)
-    ctot = ctot.select("_cb", *[F.coalesce(F.sum("_ct_" + c).over(wcb), F.lit(0)).alias("_co_" + c)
-                                for c in sum_cols])
-    wb = Window.partitionBy("_cb").orderBy("_b").rowsBetween(UNB, -1)
-    offs = tot.join(F.broadcast(ctot), "_cb").select(
-        "_b", *[(F.col("_co_" + c) + F.coalesce(F.sum("_t_" + c).over(wb), F.lit(0))).alias("_o_" + c)
-                for c in sum_cols])
-    data = data.join(_maybe_broadcast(offs, nbk, max_broadcast_rows), "_b")
-    w = Window.partitionBy("_b").orderBy(ordered).rowsBetween(UNB, 0)
+    ctot = tot.groupBy(*groups, "_cb").agg(*[F.sum("_t_" + c).alias("_ct_" + c) for c in sum_cols])
+    wcb = Window.partitionBy(*groups).orderBy("_cb").rowsBetween(UNB, -1)
+    ctot = ctot.select(*groups, "_cb", *[F.coalesce(F.sum("_ct_" + c).over(wcb), F.lit(0)).alias("_co_" + c)
+                                         for c in sum_cols])
+    wb = Window.partitionBy(*groups, "_cb").orderBy("_b").rowsBetween(UNB, -1)
+    offs = tot.join(ctot, [*groups, "_cb"]).select(
+        *groups, "_b", *[(F.col("_co_" + c) + F.coalesce(F.sum("_t_" + c).over(wb), F.lit(0))).alias("_o_" + c)
+                         for c in sum_cols])
+    data = data.join(offs, [*groups, "_b"])
+    w = Window.partitionBy(*groups, "_b").orderBy(ordered).rowsBetween(UNB, 0)
     return data.select(*[F.col(c) for c in df.columns],
                        *[(F.sum(c).over(w) + F.col("_o_" + c)).alias(prefix + c) for c in sum_cols])

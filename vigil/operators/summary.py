@@ -115,9 +115,11 @@ def categorical_profile(df: DataFrame, dims: Sequence[str], measure: str,
         F.count_distinct(distinct_of).cast("long").alias("n_distinct"),
         F.avg(measure).alias("avg_measure"),
         F.max(measure).cast("double").alias("max_measure"),
+        *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)],
     )
-    dim_name = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dims])
-    dim_value = F.coalesce(*[F.col(d).cast("string") for d in dims])
+    # the grouping flags name the dimension; a null in its value is a value
+    dim_name = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, F.lit(d)) for i, d in enumerate(dims)])
+    dim_value = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, F.col(d).cast("string")) for i, d in enumerate(dims)])
     return prof.select(dim_name.alias("dimension"), dim_value.alias("value"),
                        "n_rows", "n_distinct", "avg_measure", "max_measure")
 
@@ -203,11 +205,12 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
     pos = F.lit(float(p)) * (F.col("_n") - 1)
     st = (st.withColumn("_k0", F.floor(pos).cast("long")).withColumn("_k1", F.ceil(pos).cast("long"))
           .withColumn("_pos", pos.cast("double")).withColumn("_below", F.lit(0).cast("long"))
-          .withColumn("_band", F.col("_n")))
+          .withColumn("_band", F.col("_n")).withColumn("_ends", F.lit(False)))
     from vigil.session import materialize
-    st = st.persist()  # one row per group; recomputed from lineage if lost
+    st = materialize(st, "percentile-groups")
     for _ in range(max_rounds):
         wide = st.filter((F.col("_band") > max_collect) & (F.col("_hi") > F.col("_lo")))
+        wide = wide.filter(~F.col("_ends"))
         n_wide = wide.count()
         if n_wide == 0:
             break
@@ -224,23 +227,34 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, o
         # bins holding rank k0 .. rank k1 form the new bracket
         keep = hist.filter((F.col("_end") > F.col("_k0")) & (F.col("_start") <= F.col("_k1")))
         nb = keep.groupBy(*keys).agg(F.min("_bmin").alias("_nlo"), F.max("_bmax").alias("_nhi"),
-                                     F.min("_start").alias("_nbelow"), F.sum("_c").alias("_nband"))
+                                     F.min("_start").alias("_nbelow"), F.sum("_c").alias("_nband"),
+                                     # rank k0 is the last of one bin and k1 the first of the next
+                                     ((F.count(F.lit(1)) == 2) & (F.min("_end") == F.first("_k1"))).alias("_split"),
+                                     F.min("_bmax").alias("_vlo"), F.max("_bmin").alias("_vhi"))
         st = materialize(
             st.join(nb, keys, "left").select(
                 *keys, "_n", "_k0", "_k1", "_pos",
-                F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
+                F.when(F.col("_split"), F.col("_vlo")).otherwise(F.coalesce("_nlo", "_lo")).alias("_lo"),
+                F.when(F.col("_split"), F.col("_vhi")).otherwise(F.coalesce("_nhi", "_hi")).alias("_hi"),
+                (F.col("_ends") | F.coalesce("_split", F.lit(False))).alias("_ends"),
                 F.coalesce("_nbelow", "_below").alias("_below"), F.coalesce("_nband", "_band").alias("_band")),
             "percentile-brackets")
-    n_st = st.count()
-    sb = F.broadcast(st) if n_st <= max_broadcast_rows else st
+    else:
+        raise RuntimeError(f"percentile brackets not narrow after {max_rounds} rounds")
+    # a bracket of one value needs no list; a rank pair that straddles two
+    # bins is answered from the bins' ends
+    listed = st.filter((F.col("_lo") < F.col("_hi")) & ~F.col("_ends"))
+    n_st = listed.count()
+    sb = F.broadcast(listed) if n_st <= max_broadcast_rows else listed
     band = (base.join(sb.select(*keys, "_lo", "_hi"), keys)
             .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
             .groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_vals")))
     res = st.join(band, keys, "left")
     i0 = (F.col("_k0") - F.col("_below") + 1).cast("int")
     i1 = (F.col("_k1") - F.col("_below") + 1).cast("int")
-    lo_v = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.element_at("_vals", i0))
-    hi_v = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.element_at("_vals", i1))
+    known = F.col("_ends") | (F.col("_lo") == F.col("_hi"))
+    lo_v = F.when(known, F.col("_lo")).otherwise(F.element_at("_vals", i0))
+    hi_v = F.when(known, F.col("_hi")).otherwise(F.element_at("_vals", i1))
     interp = F.when(F.col("_k0") == F.col("_k1"), lo_v).when(lo_v == hi_v, lo_v).otherwise(
         (F.col("_k1") - F.col("_pos")) * lo_v + (F.col("_pos") - F.col("_k0")) * hi_v)
     return res.select(*keys, interp.alias(out))

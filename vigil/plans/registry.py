@@ -25,8 +25,6 @@ def query(name: str, oracle: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            # helper tables cached by an earlier query are not reused: free them
-            spark.catalog.clearCache()
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if oracle is not None:

@@ -32,11 +32,16 @@ def scan_table(spark: SparkSession, sf_dir: str, name: str,
 
 
 def write_replace(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
-    """Replace a table (the reference's ``to_sql(if_exists='replace')``).
-    Overwrite is atomic per job commit; partitioned output lets later reads
-    prune by the partition column."""
-    writer = df.write.mode("overwrite")
+    """Replace a table (``to_sql(if_exists='replace')`` semantics).
+
+    Overwrite removes the old files before the new ones are committed: a reader
+    at that moment, or after a failed job, finds no table. Partitioned output
+    lets later reads prune by the partition column; rows are rebalanced by it
+    first (a large partition gets several files, none one per task)."""
     cols = list(partition_by)
+    if cols:
+        df = df.hint("rebalance", *cols)
+    writer = df.write.mode("overwrite")
     if cols:
         writer = writer.partitionBy(*cols)
     writer.parquet(path)
