@@ -13,8 +13,8 @@ two tree nodes at most that of their upper corners.
 3. Every class is first compared with one smaller class of its tiles. In tiles
    that still hold several components, a packed R-tree over the points finds
    the pairs of different components whose bound allows a link.
-4. Pairs that pass the bound are verified on the whole shingle sets; links
-   make components.
+4. Pairs that pass the bound are verified on the whole shingle sets, which are
+   sent to groups of pairs, not to pairs; links make components.
 
 Pairs within one component are never formed, so a group of copies costs as
 much as its members. Large tiles are compared in blocks.
@@ -41,12 +41,14 @@ from vigil.llm.components import components
 from vigil.llm.grouping import whole_groups
 from vigil.session import materialize
 
-#: Coordinates of the points.
-GROUPS = 64
+#: Coordinates of the points; a count of FULL stands for any count from it on.
+GROUPS, FULL = 256, 255
 #: Members of a tile compared in one block; of a leaf of the tree.
 BLOCK, LEAF = 2048, 16
-#: Ids of sets to fetch that are broadcast; more are joined by shuffle.
-MAX_BROADCAST_IDS = 1 << 20
+#: Pairs of one centre verified in one group.
+CENTRE = 512
+#: Rows (set, group) of sets to fetch that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 1 << 20
 
 
 class Join:
@@ -123,14 +125,19 @@ def set_id(v: np.ndarray) -> int:
 
 
 def point(v: np.ndarray) -> bytes:
-    return np.bincount((T.mix(v ^ np.uint64(0x5BF03635)) & np.uint64(GROUPS - 1)).astype(np.int64),
-                       minlength=GROUPS).astype("<u4").tobytes()
+    """Size and group counts of a set."""
+    group = (T.mix(v ^ np.uint64(0x5BF03635)) % np.uint64(GROUPS)).astype(np.int64)
+    counts = np.minimum(np.bincount(group, minlength=GROUPS), FULL).astype(np.uint8)
+    return len(v).to_bytes(8, "little") + counts.tobytes()
 
 
-def _points(col: pa.Array) -> np.ndarray:
-    if not len(col):
-        return np.zeros((0, GROUPS), dtype=np.int64)
-    return np.frombuffer(b"".join(col.to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+def _points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and points whose full coordinates bound nothing."""
+    raw = np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(len(col), GROUPS + 8)
+    size = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
+    counts = raw[:, 8:].astype(np.int16)
+    counts[counts == FULL] = 1 << 14
+    return size, counts
 
 
 def _describe(width: int):
@@ -166,8 +173,8 @@ def _bounded(join: Join):
     """Pairs whose summed coordinate minima allow a link."""
     def run(batches):
         for batch in batches:
-            a, b = (_points(batch.column(k)) for k in (2, 3))
-            keep = np.minimum(a, b).sum(axis=1) >= join.needed(a.sum(axis=1), b.sum(axis=1))
+            (m, a), (n, b) = (_points(batch.column(k)) for k in (2, 3))
+            keep = np.minimum(a, b).sum(axis=1, dtype=np.int64) >= join.needed(m, n)
             yield batch.select([0, 1]).filter(pa.array(keep))
     return run
 
@@ -176,45 +183,45 @@ class Tree:
     """Packed R-tree over points: leaves of LEAF points next to each other in
     size and in their leading coordinates."""
 
-    def __init__(self, points: np.ndarray):
-        size = points.sum(axis=1)
+    def __init__(self, size: np.ndarray, points: np.ndarray):
         self.order = np.lexsort((*points.T[:4], size))
-        p, at = points[self.order], np.arange(0, len(points), LEAF)
-        self.points, self.at = p, np.append(at, len(points))
-        self.upper = np.maximum.reduceat(p, at, axis=0)
-        self.least = np.minimum.reduceat(size[self.order], at)
-        self.most = np.maximum.reduceat(size[self.order], at)
+        self.size, self.points = size[self.order], points[self.order]
+        at = np.arange(0, len(points), LEAF)
+        self.at = np.append(at, len(points))
+        self.upper = np.maximum.reduceat(self.points, at, axis=0)
+        self.least = np.minimum.reduceat(self.size, at)
+        self.most = np.maximum.reduceat(self.size, at)
 
     def pairs(self, other: Tree, join: Join):
         """(rows of self, rows of other) of leaf pairs that may hold links."""
         for i in range(len(self.at) - 1):
-            bound = np.minimum(self.upper[i], other.upper).sum(axis=1)
+            bound = np.minimum(self.upper[i], other.upper).sum(axis=1, dtype=np.int64)
             ok = bound >= join.needed(self.least[i], other.least)
             ok &= (self.most[i] * 100 >= join.percent * other.least) & (other.most * 100 >= join.percent * self.least[i])
             for j in np.flatnonzero(ok):
-                yield slice(self.at[i], self.at[i + 1]), slice(other.at[j], other.at[j + 1])
+                if other is not self or j >= i:
+                    yield slice(self.at[i], self.at[i + 1]), slice(other.at[j], other.at[j + 1])
 
 
-def tile_pairs(join: Join, sid: np.ndarray, comp: np.ndarray, points: np.ndarray, side: np.ndarray | None):
+def tile_pairs(join: Join, sid: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray,
+               side: np.ndarray | None) -> np.ndarray:
     """Pairs of one tile (or of the two blocks of it that ``side`` names)
     of different components whose bound allows a link."""
-    left = np.arange(len(sid)) if side is None else np.flatnonzero(~side)
-    right = left if side is None else np.flatnonzero(side)
-    if not len(left) or not len(right):
-        return np.zeros((2, 0), dtype=np.int64)
-    one = Tree(points[left])
-    two = one if side is None else Tree(points[right])
-    l, r = left[one.order], right[two.order]
-    out = []
-    for a, b in one.pairs(two, join):
-        x, y = one.points[a], two.points[b]
-        over = np.minimum(x[:, None], y[None]).sum(axis=2)
-        ok = over >= join.needed(x.sum(axis=1)[:, None], y.sum(axis=1)[None])
-        ok &= comp[l[a]][:, None] != comp[r[b]][None]
-        i, j = np.nonzero(ok)
-        u, v = sid[l[a][i]], sid[r[b][j]]
-        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+    left = np.arange(len(sid)) if side is None else np.flatnonzero(side == 0)
+    right = left if side is None else np.flatnonzero(side == 1)
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    if len(left) and len(right):
+        one = Tree(size[left], points[left])
+        two = one if side is None else Tree(size[right], points[right])
+        l, r = left[one.order], right[two.order]
+        for a, b in one.pairs(two, join):
+            over = np.minimum(one.points[a][:, None], two.points[b][None]).sum(axis=2, dtype=np.int64)
+            ok = over >= join.needed(one.size[a][:, None], two.size[b][None])
+            ok &= comp[l[a]][:, None] != comp[r[b]][None]
+            i, j = np.nonzero(ok)
+            u, v = sid[l[a][i]], sid[r[b][j]]
+            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+    return np.concatenate(out, axis=1)
 
 
 def _tile_join(join: Join):
@@ -223,42 +230,57 @@ def _tile_join(join: Join):
         for rows, groups in whole_groups(batches, "tile"):
             sid, comp = rows.column("sid").to_numpy(), rows.column("comp").to_numpy()
             side = rows.column("side").to_numpy()
-            points = _points(rows.column("point").combine_chunks())
+            points = rows.column("point").combine_chunks()
             found = [np.zeros((2, 0), dtype=np.int64)]
             for a, b in groups:
                 s = side[a:b]
-                found.append(tile_pairs(join, sid[a:b], comp[a:b], points[a:b], None if (s < 0).all() else s == 1))
+                found.append(tile_pairs(join, sid[a:b], comp[a:b], *_points(points.slice(a, b - a)),
+                                        None if (s < 0).all() else s))
             a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     return run
 
 
 def _verify(join: Join):
+    """Sorted by group: rows (grp, a, null, shingles) are sets, rows (grp, a,
+    b, null) pairs of them -> linked pairs."""
+    def overlap(u: np.ndarray, v: np.ndarray) -> int:
+        if len(u) > len(v):
+            u, v = v, u
+        return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                over = int((v[at] == u).sum())
-                keep.append(100 * over >= join.percent * (len(u) + len(v) - over))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for rows, groups in whole_groups(batches, "grp"):
+            left, right, data = (rows.column(k).to_pylist() for k in ("a", "b", "shingles"))
+            links = []
+            for i, j in groups:
+                sets = {left[k]: np.frombuffer(data[k], dtype=np.uint64) for k in range(i, j) if right[k] is None}
+                for k in range(i, j):
+                    if right[k] is not None:
+                        u, v = sets[left[k]], sets[right[k]]
+                        over = overlap(u, v)
+                        if 100 * over >= join.percent * (len(u) + len(v) - over):
+                            links.append((left[k], right[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
     return run
 
 
 def _fetch(width: int):
-    """(wanted sid, text) -> (sid, shingles) where the text is that set."""
+    """(wanted set, its groups, text) -> one row a group with the set, where
+    the text is that set."""
     def run(batches):
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            for part in T.slices(batch.column(1)):
-                sets = shingle_sets(part, width)
-                ok = [i for i, v in enumerate(sets) if len(v) and set_id(v) == wanted[part.first + i]]
+            wanted, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in T.slices(batch.column(2)):
+                cols: tuple[list, list, list] = ([], [], [])
+                for i, v in enumerate(shingle_sets(part, width)):
+                    if len(v) and set_id(v) == wanted[part.first + i]:
+                        for g in groups[part.first + i]:
+                            for c, x in zip(cols, (g, wanted[part.first + i], v.tobytes())):
+                                c.append(x)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([wanted[part.first + i] for i in ok], pa.int64()),
-                    pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["sid", "shingles"])
+                    pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(cols[0]), pa.int64()),
+                    pa.array(cols[2], pa.binary())], names=["grp", "a", "b", "shingles"])
     return run
 
 
@@ -281,37 +303,42 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     tile = Window.partitionBy("key")
     tiles = materialize(keyed.select("key", "sid", F.min("sid").over(tile).alias("lead"),
                                      F.max("sid").over(tile).alias("top")).where("lead < top").drop("top"), "jaccard-tiles")
-
     points = classes.select("sid", "point")
 
-    def with_points(pairs: DataFrame) -> DataFrame:
-        return pairs.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
-            "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
-
-    stars = tiles.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = materialize(with_points(stars), "jaccard-stars")
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among ``pairs``: the sets of their members are made from the
-        texts of one document each."""
+        """Links among ``pairs``. A pair goes to the group of its centre, the
+        smallest set next to either end, so that dense families share a group;
+        a set is made from one document's text and sent once to each of its
+        groups. Centres with many pairs have several groups."""
         pairs = materialize(pairs, f"jaccard-{name}-pairs")
-        want = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        want = materialize(want.join(classes.select("sid", "rid"), "sid"), f"jaccard-{name}-want")
-        small = want.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-        sets = materialize(own.select("rid", "text").join(F.broadcast(want) if small else want, "rid").select(
-            "sid", "text").mapInArrow(_fetch(width), "sid long, shingles binary"), f"jaccard-{name}-sets")
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(
+        ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(
+            pairs.select(F.col("a").alias("x"), F.col("a").alias("y")))
+        centre = ends.groupBy("x").agg(F.min("y").alias("m"))
+        homes = pairs.join(centre.toDF("a", "ma"), "a").join(centre.toDF("b", "mb"), "b").select(
+            "a", "b", F.least("ma", "mb").alias("m"))
+        load = homes.groupBy("m").agg(F.countDistinct("b").alias("k")).select(
+            "m", F.ceil(F.col("k") / CENTRE).alias("parts"))
+        homes = materialize(homes.join(load, "m").select("a", "b", F.xxhash64(
+            "m", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("grp")), f"jaccard-{name}-homes")
+        members = homes.select("grp", F.col("a").alias("sid")).unionByName(homes.select("grp", F.col("b").alias("sid"))).distinct()
+        want = materialize(members.groupBy("sid").agg(F.collect_list("grp").alias("groups")).join(
+            classes.select("sid", "rid"), "sid"), f"jaccard-{name}-want")
+        size = want.agg(F.sum(F.size("groups") + 1)).first()[0] or 0
+        sets = own.select("rid", "text").join(F.broadcast(want) if size <= MAX_BROADCAST_ROWS else want, "rid").select(
+            "sid", "groups", "text").mapInArrow(_fetch(width), "grp long, a long, b long, shingles binary")
+        rows = sets.unionByName(homes.select("grp", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+        return materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(
             _verify(rule), "a long, b long").distinct(), f"jaccard-{name}-links")
 
+    first = tiles.where("sid != lead").groupBy(F.col("sid").alias("b")).agg(F.min("lead").alias("a"))
+    first = first.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
+        "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
     links = verified(first, "first")
     comps = materialize(components(links), "jaccard-comps")
     placed = tiles.select("key", "sid").join(comps.toDF("sid", "comp"), "sid", "left").select(
-        "key", "sid", F.coalesce("comp", "sid").alias("comp")).distinct()
-    per_tile = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-    open_tiles = placed.join(per_tile.where("lo < hi").select(
-        "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "key")
+        "key", "sid", F.coalesce("comp", "sid").alias("comp"))
+    open_tiles = placed.select("key", "sid", "comp", F.min("comp").over(tile).alias("lo"), F.max("comp").over(tile).alias("hi"),
+                               F.ceil(F.count("*").over(tile) / BLOCK).cast("int").alias("blocks")).where("lo < hi")
     # a tile of several blocks is compared block by block; rows go to the blocks they meet
     mine = F.expr("cast(pmod(xxhash64(sid), blocks) as int)")
     spread = open_tiles.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -322,7 +349,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         .otherwise(1).alias("side"))
     spread = spread.join(points, "sid").repartition("tile").sortWithinPartitions("tile")
     rest = spread.select("tile", "sid", "comp", "side", "point").mapInArrow(_tile_join(rule), "a long, b long").distinct()
-    more = verified(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    more = verified(rest, "rest")
     final = components(links.unionByName(more))
 
     label = light.join(final.toDF("sid", "comp"), "sid", "left").select(

@@ -218,7 +218,7 @@ def fit(train: DataFrame, text_col: str = "text"):
     for r in table:
         levels[r["q"]] = levels.get(r["q"], 0) + r["k"]
     bits, low = _plan(levels)
-    size, head = 0, 64  # words of level head and up are broadcast
+    size, head = 0, 63  # words of level head and up are broadcast
     for q, k in sorted(((r["q"], r["k"]) for r in table if r["word"]), reverse=True):
         if size + k > HEAD_WORDS:
             break
