@@ -132,7 +132,8 @@ def test_rule_analysis_case(spark):
 
 
 def test_reply_parsing_falls_back(spark):
-    df = spark.createDataFrame([(1, '{"root_cause_classification": "error_storm", "confidence_score": 0.9}'),
+    df = spark.createDataFrame([(1, '{"root_cause_classification": "error_storm", "confidence_score": 0.9, '
+                                    '"root_cause_explanation": "x", "supporting_evidence": ["e"], "recommended_actions": ["a"]}'),
                                 (2, "not json")], "event_id long, reply string")
     out = inc.analyze_batch(df.withColumn("anomaly_type", F.lit("cpu_spike")), reply_col="reply")
     rows = {r["event_id"]: r for r in out.collect()}

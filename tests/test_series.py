@@ -57,7 +57,7 @@ def test_running_totals_bucketed(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).cast("double").alias("s"),
                                      (F.col("id") % 3).alias("x"))
     a = running_totals(df, "s", ["x"], descending=True).toPandas().sort_values("s", ascending=False)
-    b = running_totals(df, "s", ["x"], descending=True, chunk_rows=500).toPandas().sort_values("s", ascending=False)
+    b = running_totals(df, "s", ["x"], descending=True, bucket_rows=500).toPandas().sort_values("s", ascending=False)
     assert list(a["cum_x"]) == list(b["cum_x"]) == list(np.cumsum(a["x"]))
 
 

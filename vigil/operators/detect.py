@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.operators.series import running_totals
+from vigil.operators.series import SeriesSpec, row_index, running_totals
 
 # The 42 detector inputs, in reference order.
 FEATURE_COLS = (
@@ -184,37 +184,22 @@ class IsolationForestModel:
 
 def iforest_sample(df: DataFrame, cols: Sequence[str], id_col: str, n_trees: int = N_TREES,
                    max_samples: int = MAX_SAMPLES, seed: int = SEED) -> tuple[DataFrame, int]:
-    """Bootstrap rows of every tree's sample, keyed by ``tree_id``.
-
-    Each (tree, row) gets a Poisson(psi / pool) copy count, which is sampling
-    with replacement of ~psi rows per tree. Counts come from a hash of
-    (seed, tree, row id) through the Poisson inverse CDF, so the same seed
-    gives the same sample for any partitioning. A hash pre-filter first keeps
-    a bounded pool of rows (~1.5 · trees · psi)."""
+    """Bootstrap rows of every tree's sample, keyed by ``tree_id``: exactly
+    psi draws with replacement a tree, whatever the table's size.
+
+    Draw (tree, k) takes the row at position hash(seed, tree, k) mod n in the
+    order of ``id_col`` (unique), so the same seed gives the same sample for
+    any partitioning. The draws (trees × psi rows, bounded by the model) are
+    broadcast against the row positions."""
+    spark = df.sparkSession
+    spec = SeriesSpec(keys=(), order=id_col, tiebreak=id_col, back=0, forward=0)
+    rows = row_index(df.select(F.col(id_col), *[F.col(c).cast("double") for c in cols]), spec, "_pos", None)
     n = df.count()
     psi = int(min(max_samples, n))
-    pool_frac = min(1.0, 1.5 * n_trees * psi / max(n, 1))
-    lam = min(1.0, psi / max(pool_frac * n, 1.0))
-
-    def unit(*parts) -> Column:
-        h = F.xxhash64(F.lit(seed), *parts)
-        return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
-
-    # Poisson(lam) inverse CDF: copies = number of cumulative levels passed
-    levels, term, cum = [], math.exp(-lam), 0.0
-    for k in range(8):
-        cum += term
-        levels.append(cum)
-        term *= lam / (k + 1)
-    pool = df.select(F.col(id_col), *[F.col(c).cast("double") for c in cols])
-    if pool_frac < 1.0:
-        pool = pool.filter(unit(F.lit(-1), F.col(id_col)) < pool_frac)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    u = unit(F.col("tree_id"), F.col(id_col))
-    copies = sum((u >= F.lit(c)).cast("int") for c in levels)
-    sampled = (pool.select("*", tree).withColumn("_copies", copies).filter(F.col("_copies") > 0)
-               .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_rep"))
-    return sampled, psi
+    draws = spark.range(n_trees * psi).select(
+        F.floor(F.col("id") / max(psi, 1)).cast("int").alias("tree_id"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(n, 1))).alias("_pos"))
+    return rows.join(F.broadcast(draws), "_pos").drop("_pos"), psi
 
 
 def iforest_fit(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, id_col: str = "event_id",
@@ -262,9 +247,10 @@ def iforest_raw_udf(model: IsolationForestModel):
     return score
 
 
-def iforest_score(df: DataFrame, model: IsolationForestModel, out: str = "iso_raw") -> DataFrame:
+def iforest_score(df: DataFrame, model: IsolationForestModel, out: str = "iso_raw", prefix: str = "") -> DataFrame:
+    """Score the columns named ``prefix`` + feature."""
     udf = iforest_raw_udf(model)
-    return df.withColumn(out, udf(F.struct(*[F.col(c).cast("double") for c in model.cols])))
+    return df.withColumn(out, udf(F.struct(*[F.col(prefix + c).cast("double") for c in model.cols])))
 
 
 # --- reconstruction (PCA) detector ---------------------------------------------------
@@ -285,10 +271,10 @@ def reconstruction_fit(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, k: int
     return ReconstructionModel(model.pc.toArray(), cols)
 
 
-def reconstruction_error(model: ReconstructionModel) -> Column:
+def reconstruction_error(model: ReconstructionModel, prefix: str = "") -> Column:
     """Mean squared residual after projecting onto the subspace:
     (‖x‖² − ‖Vᵀx‖²) / d, as one JVM expression."""
-    xs = [F.col(c).cast("double") for c in model.cols]
+    xs = [F.col(prefix + c).cast("double") for c in model.cols]
     sq = xs[0] * xs[0]
     for x in xs[1:]:
         sq = sq + x * x
@@ -303,8 +289,8 @@ def reconstruction_error(model: ReconstructionModel) -> Column:
     return F.greatest(sq - proj, F.lit(0.0)) / F.lit(float(len(xs)))
 
 
-def reconstruction_score(df: DataFrame, model: ReconstructionModel, out: str = "ae_raw") -> DataFrame:
-    return df.withColumn(out, reconstruction_error(model))
+def reconstruction_score(df: DataFrame, model: ReconstructionModel, out: str = "ae_raw", prefix: str = "") -> DataFrame:
+    return df.withColumn(out, reconstruction_error(model, prefix))
 
 
 # --- ensemble ------------------------------------------------------------------------

@@ -4,7 +4,7 @@ retraining (SURVEY §2.10, §2.12, §2.15)."""
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,33 +126,46 @@ def q_ensemble_weight_search(spark, sf_dir):
 
 # --- detectors (randomised / iterative: rows-only) ----------------------------------------
 
-def _fit_detectors(spark, sf_dir, n_trees: int = dt.N_TREES):
-    df = materialize(detector_frame(spark, sf_dir))
+def _fit_iforest(df: DataFrame):
     train = _train_rows(df).dropna(subset=FEATS)
-    iso_stats = dt.standardize_fit(train, FEATS)
-    iso_model = dt.iforest_fit(dt.standardize(train, iso_stats), FEATS, "event_id", n_trees=n_trees)
-    normal = train.filter(F.col("is_anomaly") == 0)
-    ae_stats = dt.standardize_fit(normal, FEATS)
-    ae_model = dt.reconstruction_fit(dt.standardize(normal, ae_stats), FEATS, k=16)
-    return df, iso_stats, iso_model, ae_stats, ae_model
-
-
-def score_batch(df: DataFrame, iso_stats, iso_model, ae_stats, ae_model) -> DataFrame:
-    """iso / ae raw scores on one batch, each min-max normalised over it."""
-    base = dt.fill_features(df.select("event_id", "service", "timestamp", "is_anomaly", "anomaly_type", "split", *FEATS))
-    iso = dt.iforest_score(dt.standardize(base, iso_stats, prefix="i_").select(
-        "event_id", *[F.col("i_" + c).alias(c) for c in FEATS]), iso_model, "iso_raw").select("event_id", "iso_raw")
-    ae = dt.reconstruction_score(dt.standardize(base, ae_stats), ae_model, "ae_raw").select(
-        "event_id", "service", "timestamp", "is_anomaly", "anomaly_type", "split", "ae_raw")
-    both = ae.join(iso, "event_id").persist()
-    both, _, _ = dt.batch_minmax(both, "iso_raw", "iso_score")
-    both, _, _ = dt.batch_minmax(both, "ae_raw", "ae_score")
-    return both
+    stats = dt.standardize_fit(train, FEATS)
+    return stats, dt.iforest_fit(dt.standardize(train, stats), FEATS, "event_id")
+
+
+def _fit_reconstruction(df: DataFrame):
+    normal = _train_rows(df).dropna(subset=FEATS).filter(F.col("is_anomaly") == 0)
+    stats = dt.standardize_fit(normal, FEATS)
+    return stats, dt.reconstruction_fit(dt.standardize(normal, stats), FEATS, k=16)
+
+
+def _fit_detectors(spark, sf_dir):
+    df = materialize(detector_frame(spark, sf_dir))
+    return (df, *_fit_iforest(df), *_fit_reconstruction(df))
+
+
+SCORED = ("event_id", "service", "timestamp", "is_anomaly", "anomaly_type", "split")
+
+
+def score_batch(df: DataFrame, iso=None, ae=None) -> DataFrame:
+    """Raw scores of the given detectors, each a pair (scaler, model), in one
+    projection of the batch, then min-max normalised over it."""
+    out = dt.fill_features(df.select(*SCORED, *FEATS))
+    scores = []
+    if iso:
+        out = dt.iforest_score(dt.standardize(out, iso[0], prefix="i_"), iso[1], "iso_raw", "i_")
+        scores.append("iso")
+    if ae:
+        out = dt.reconstruction_score(dt.standardize(out, ae[0], prefix="a_"), ae[1], "ae_raw", "a_")
+        scores.append("ae")
+    out = materialize(out.select(*SCORED, *[f"{s}_raw" for s in scores]), "scores")
+    for s in scores:
+        out, _, _ = dt.batch_minmax(out, f"{s}_raw", f"{s}_score")
+    return out
 
 
 @query("iforest_fit")
 def q_iforest_fit(spark, sf_dir):
-    _, _, model, _, _ = _fit_detectors(spark, sf_dir)
+    _, model = _fit_iforest(materialize(detector_frame(spark, sf_dir)))
     nodes = spark.createDataFrame(model.nodes)
     return nodes.groupBy("tree_id").agg(F.count(F.lit(1)).cast("long").alias("n_nodes"),
                                         F.sum((F.col("feature") < 0).cast("long")).alias("n_leaves"),
@@ -161,16 +174,15 @@ def q_iforest_fit(spark, sf_dir):
 
 @query("iforest_score")
 def q_iforest_score(spark, sf_dir):
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
-    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
-    return publish(s.select("event_id", "iso_score"))
+    df = materialize(detector_frame(spark, sf_dir))
+    return publish(score_batch(df, iso=_fit_iforest(df)).select("event_id", "iso_score"))
 
 
 @query("iforest_predict")
 def q_iforest_predict(spark, sf_dir):
     """Threshold = best F1 on the validation scores; published score 4 digits."""
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
-    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
+    df = materialize(detector_frame(spark, sf_dir))
+    s = score_batch(df, iso=_fit_iforest(df))
     best = ev.best_f1_threshold(ev.pr_curve(s.filter(F.col("split") == "validation"), "iso_score", "is_anomaly"))
     thr = best.collect()[0]["threshold"]
     return s.select("event_id", F.round("iso_score", 4).alias("anomaly_score"),
@@ -179,7 +191,7 @@ def q_iforest_predict(spark, sf_dir):
 
 @query("reconstruction_fit")
 def q_reconstruction_fit(spark, sf_dir):
-    _, _, _, _, ae_model = _fit_detectors(spark, sf_dir, n_trees=1)
+    _, ae_model = _fit_reconstruction(materialize(detector_frame(spark, sf_dir)))
     V = ae_model.components
     rows = [(j, float((V[:, j] ** 2).sum()), FEATS[int(abs(V[:, j]).argmax())]) for j in range(V.shape[1])]
     return publish(spark.createDataFrame(rows, "component int, squared_norm double, top_feature string"))
@@ -187,9 +199,8 @@ def q_reconstruction_fit(spark, sf_dir):
 
 @query("reconstruction_score")
 def q_reconstruction_score(spark, sf_dir):
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=20)
-    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
-    return publish(s.select("event_id", "ae_score"))
+    df = materialize(detector_frame(spark, sf_dir))
+    return publish(score_batch(df, ae=_fit_reconstruction(df)).select("event_id", "ae_score"))
 
 
 @query("ensemble_model_report")
@@ -197,7 +208,7 @@ def q_ensemble_model_report(spark, sf_dir):
     """Full detector pipeline: weights searched on validation, threshold
     chosen on validation, report on the test part."""
     df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
-    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
+    s = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model))
     pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score",
                                      "is_anomaly").collect()[0]
     w_iso, w_ae = float(pick["w_iso"]), float(pick["w_ae"])
@@ -216,9 +227,9 @@ def _forecast_frame(spark, sf_dir):
     return fc.forecast_split(fc.forecast_frame(p, SPEC, dropna=True))
 
 
-def _fit_forecaster(spark, sf_dir, max_iter: int = 20):
+def _fit_forecaster(spark, sf_dir):
     frame = materialize(_forecast_frame(spark, sf_dir))
-    model = fc.forecast_fit(frame.filter(F.col("split") == "train"), max_iter=max_iter)
+    model = fc.forecast_fit(frame.filter(F.col("split") == "train"))
     return frame, model
 
 
@@ -238,8 +249,12 @@ def q_forecast_predict(spark, sf_dir):
 
 @query("forecast_recent")
 def q_forecast_recent(spark, sf_dir):
+    """The last four labelled rows of every series, with the model's error on
+    the test part."""
     frame, model = _fit_forecaster(spark, sf_dir)
-    return publish(fc.forecast_recent(model, frame, 4))
+    test = fc.forecast_predict(model, frame.filter(F.col("split") == "test"))
+    mape = ev.regression_report(test, "actual_cpu", "prediction").select(F.round("mape", 2).alias("model_mape"))
+    return publish(fc.forecast_recent(model, frame, 4).join(F.broadcast(mape)))  # the report is one row
 
 
 @query("artifact_roundtrip")
@@ -249,15 +264,15 @@ def q_artifact_roundtrip(spark, sf_dir):
     with the loaded models. Published: loaded-model scores and whether they
     equal the in-memory models' scores."""
     from pyspark.ml import PipelineModel
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=20)
-    base = scratch_path(spark, "artifacts")
+    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
+    base = scratch_path(spark, f"artifacts/{uuid.uuid4().hex}")
     dt.save_detectors(spark, base + "/detectors", iso_stats, iso_model, ae_stats, ae_model,
                       {"w_iso": dt.DEFAULT_W_ISO, "w_ae": dt.DEFAULT_W_AE})
     l_iso_stats, l_iso, l_ae_stats, l_ae, meta = dt.load_detectors(spark, base + "/detectors")
-    before = score_batch(df, iso_stats, iso_model, ae_stats, ae_model).select(
+    before = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model)).select(
         "event_id", F.col("iso_score").alias("iso0"), F.col("ae_score").alias("ae0"))
-    after = score_batch(df, l_iso_stats, l_iso, l_ae_stats, l_ae)
-    frame, model = _fit_forecaster(spark, sf_dir, max_iter=5)
+    after = score_batch(df, (l_iso_stats, l_iso), (l_ae_stats, l_ae))
+    frame, model = _fit_forecaster(spark, sf_dir)
     model.write().overwrite().save(base + "/forecaster")
     loaded = PipelineModel.load(base + "/forecaster")
     fc_before = model.transform(frame).select("event_id", F.col("prediction").alias("p0"))
@@ -280,8 +295,8 @@ def q_retrain_if_drift(spark, sf_dir):
     state = {}
 
     def detectors():
-        df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=50)
-        return {"scored": score_batch(df, iso_stats, iso_model, ae_stats, ae_model)}
+        df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
+        return {"scored": score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model))}
 
     def ensemble(det):
         s = det["scored"]
@@ -293,7 +308,7 @@ def q_retrain_if_drift(spark, sf_dir):
         return rep.collect()[0].asDict()
 
     def forecaster():
-        frame, model = _fit_forecaster(spark, sf_dir, max_iter=10)
+        frame, model = _fit_forecaster(spark, sf_dir)
         pred = fc.forecast_predict(model, frame.filter(F.col("split") == "test"))
         return ev.regression_report(pred, "actual_cpu", "prediction").collect()[0].asDict()
 
@@ -315,8 +330,8 @@ def q_model_top_anomalies(spark, sf_dir):
     look-back of 24 h, top 50 by ensemble score with the reference's record
     fields and the total flagged."""
     from vigil.operators.summary import lookback_filter, top_anomalies
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir, n_trees=100)
-    s = score_batch(df, iso_stats, iso_model, ae_stats, ae_model)
+    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
+    s = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model))
     pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score",
                                      "is_anomaly").collect()[0]
     w_iso, w_ae = float(pick["w_iso"]), float(pick["w_ae"])
