@@ -9,13 +9,15 @@ scores of ``operators.detect`` plug into the same operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import features as fe
-from vigil.operators.summary import minmax_normalize
+from vigil.operators.detect import minmax_expr
 from vigil.plans import sql as S
-from vigil.session import materialize
+from vigil.session import scratch_path
 from vigil.sources.panel import load_panel
 
 SPEC = fe.default_spec()
@@ -29,17 +31,33 @@ def zscore_features(panel: DataFrame, position: bool = False) -> DataFrame:
     return fe.feat_composite(fe.feat_zscore(r))
 
 
-def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel + composite z-score + batch-normalised score. The feature pass
-    is written once to the shared checkpoint folder: the batch min/max, the
-    look-back anchor, flagged counts and the output all read that table
-    instead of re-running the window pass (an opaque pandas stage cannot be
-    column-pruned away)."""
+#: (application, source) -> (path of the table, least and largest composite).
+_BUILT: dict[tuple[str, str], tuple[str, float, float]] = {}
+
+
+def build_scores(spark: SparkSession, sf_dir: str) -> None:
+    """Write the feature/score table of a source: panel, composite z-score and
+    its range. Rows are laid out by time, so a look-back reads only the files
+    (and row groups) of its window."""
     panel = load_panel(spark, sf_dir)
-    feats = zscore_features(panel)
-    base = materialize(feats.select(*panel.columns, "composite_zscore"), "scored")
-    out = minmax_normalize(base, "composite_zscore", "_s", eps=1e-9)
-    return out.withColumn(SCORE, F.round(F.col("_s"), 4)).drop("_s")
+    feats = zscore_features(panel).select(*panel.columns, "composite_zscore")
+    path = scratch_path(spark, f"scores/{uuid.uuid4().hex}")
+    feats.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.parquet(path)
+    r = spark.read.parquet(path).agg(F.min("composite_zscore").alias("lo"), F.max("composite_zscore").alias("hi")).first()
+    _BUILT[spark.sparkContext.applicationId, sf_dir] = (path, r["lo"], r["hi"])
+
+
+def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel + composite z-score + batch-normalised score, read from the
+    source's score table: the first question of an application builds it, later
+    ones read the columns and the time window they need. Call
+    ``build_scores`` again after the source has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        build_scores(spark, sf_dir)
+    path, lo, hi = _BUILT[key]
+    score = F.lit(None).cast("double") if lo is None else minmax_expr(F.col("composite_zscore"), lo, hi, 1e-9)
+    return spark.read.parquet(path).withColumn(SCORE, F.round(score, 4))
 
 
 # SQL twin: CTE ``scored`` with the panel columns, composite_zscore and score.
