@@ -12,12 +12,14 @@ two tree nodes at most that of their upper corners.
    the same for both partners, so no linked pair is missed.
 3. Every class is first compared with one smaller class of its tiles. In tiles
    that still hold several components, a packed R-tree over the points finds
-   the pairs of different components whose bound allows a link.
-4. Pairs that pass the bound are verified on the whole shingle sets, which are
-   sent to groups of pairs, not to pairs; links make components.
+   which components have members whose bound allows a link.
+4. Those components (large ones in units of bounded size) are verified on the
+   whole shingle sets until a link is found. Sets are sent to groups of
+   components, not to pairs; links make components.
 
-Pairs within one component are never formed, so a group of copies costs as
-much as its members. Large tiles are compared in blocks.
+Pairs of sets are never written, and within one component never formed, so a
+group of copies costs as much as its members. Large tiles are compared in
+blocks.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing (each is its own component); rows with equal sets link whatever their
@@ -45,8 +47,12 @@ from vigil.session import materialize
 GROUPS, FULL = 256, 255
 #: Members of a tile compared in one block; of a leaf of the tree.
 BLOCK, LEAF = 2048, 16
-#: Pairs of one centre verified in one group.
+#: Members of a unit (a component or a part of a large one).
+UNIT = 1024
+#: Units next to one centre that are verified in one group.
 CENTRE = 512
+#: Unit pairs a task holds to write each of them once.
+HELD = 1 << 20
 #: Rows (set, group) of sets to fetch that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 1 << 20
 
@@ -203,84 +209,103 @@ class Tree:
                     yield slice(self.at[i], self.at[i + 1]), slice(other.at[j], other.at[j + 1])
 
 
-def tile_pairs(join: Join, sid: np.ndarray, comp: np.ndarray, size: np.ndarray, points: np.ndarray,
-               side: np.ndarray | None) -> np.ndarray:
-    """Pairs of one tile (or of the two blocks of it that ``side`` names)
-    of different components whose bound allows a link."""
-    left = np.arange(len(sid)) if side is None else np.flatnonzero(side == 0)
+def tile_pairs(join: Join, comp: np.ndarray, unit: np.ndarray, size: np.ndarray, points: np.ndarray,
+               side: np.ndarray | None) -> set[tuple[int, int]]:
+    """Unit pairs of one tile (or of the two blocks of it that ``side`` names)
+    in different components with members whose bound allows a link."""
+    left = np.arange(len(unit)) if side is None else np.flatnonzero(side == 0)
     right = left if side is None else np.flatnonzero(side == 1)
-    out = [np.zeros((2, 0), dtype=np.int64)]
+    out: set[tuple[int, int]] = set()
     if len(left) and len(right):
         one = Tree(size[left], points[left])
         two = one if side is None else Tree(size[right], points[right])
         l, r = left[one.order], right[two.order]
         for a, b in one.pairs(two, join):
+            ok = comp[l[a]][:, None] != comp[r[b]][None]
+            if not ok.any():
+                continue
             over = np.minimum(one.points[a][:, None], two.points[b][None]).sum(axis=2, dtype=np.int64)
-            ok = over >= join.needed(one.size[a][:, None], two.size[b][None])
-            ok &= comp[l[a]][:, None] != comp[r[b]][None]
+            ok &= over >= join.needed(one.size[a][:, None], two.size[b][None])
             i, j = np.nonzero(ok)
-            u, v = sid[l[a][i]], sid[r[b][j]]
-            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-    return np.concatenate(out, axis=1)
+            out.update(zip(unit[l[a][i]].tolist(), unit[r[b][j]].tolist()))
+    return {(min(x), max(x)) for x in out}
 
 
 def _tile_join(join: Join):
-    """Rows (tile, sid, comp, side, point) sorted by tile -> pairs."""
+    """Rows (tile, comp, unit, side, point) sorted by tile -> unit pairs."""
+    def batch(pairs):
+        rows = sorted(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
     def run(batches):
+        held: set[tuple[int, int]] = set()
         for rows, groups in whole_groups(batches, "tile"):
-            sid, comp = rows.column("sid").to_numpy(), rows.column("comp").to_numpy()
+            comp, unit = rows.column("comp").to_numpy(), rows.column("unit").to_numpy()
             side = rows.column("side").to_numpy()
             points = rows.column("point").combine_chunks()
-            found = [np.zeros((2, 0), dtype=np.int64)]
             for a, b in groups:
                 s = side[a:b]
-                found.append(tile_pairs(join, sid[a:b], comp[a:b], *_points(points.slice(a, b - a)),
-                                        None if (s < 0).all() else s))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held |= tile_pairs(join, comp[a:b], unit[a:b], *_points(points.slice(a, b - a)),
+                                   None if (s < 0).all() else s)
+            if len(held) > HELD:
+                yield batch(held)
+                held = set()
+        yield batch(held)
     return run
 
 
 def _verify(join: Join):
-    """Sorted by group: rows (grp, a, null, shingles) are sets, rows (grp, a,
-    b, null) pairs of them -> linked pairs."""
-    def overlap(u: np.ndarray, v: np.ndarray) -> int:
+    """Sorted by group: rows (grp, a, null, unit, shingles) are sets of a
+    unit, rows (grp, a, b, null, null) pairs of units -> one linked pair of
+    sets for each pair of units that has any."""
+    def linked(u: np.ndarray, v: np.ndarray) -> bool:
         if len(u) > len(v):
             u, v = v, u
-        return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+        over = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+        return 100 * over >= join.percent * (len(u) + len(v) - over)
 
     def run(batches):
         for rows, groups in whole_groups(batches, "grp"):
-            left, right, data = (rows.column(k).to_pylist() for k in ("a", "b", "shingles"))
+            left, right, units, data = (rows.column(k).to_pylist() for k in ("a", "b", "unit", "shingles"))
             links = []
             for i, j in groups:
-                sets = {left[k]: np.frombuffer(data[k], dtype=np.uint64) for k in range(i, j) if right[k] is None}
+                members: dict[int, list[int]] = {}
+                sets: dict[int, np.ndarray] = {}
+                for k in range(i, j):
+                    if right[k] is None and left[k] not in sets:
+                        sets[left[k]] = np.frombuffer(data[k], dtype=np.uint64)
+                        members.setdefault(units[k], []).append(left[k])
+                own = {u: (ids, *_points(pa.array([point(sets[x]) for x in ids]))) for u, ids in members.items()}
                 for k in range(i, j):
                     if right[k] is not None:
-                        u, v = sets[left[k]], sets[right[k]]
-                        over = overlap(u, v)
-                        if 100 * over >= join.percent * (len(u) + len(v) - over):
-                            links.append((left[k], right[k]))
+                        (xs, m, p), (ys, n, q) = own[left[k]], own[right[k]]
+                        for x, size, at in zip(xs, m, p):
+                            near = np.minimum(at, q).sum(axis=1, dtype=np.int64) >= join.needed(size, n)
+                            link = next((ys[t] for t in np.flatnonzero(near) if linked(sets[x], sets[ys[t]])), None)
+                            if link is not None:
+                                links.append((x, link))
+                                break
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
     return run
 
 
 def _fetch(width: int):
-    """(wanted set, its groups, text) -> one row a group with the set, where
-    the text is that set."""
+    """(wanted set, its unit and groups, text) -> one row a group with the
+    set, where the text is that set."""
     def run(batches):
         for batch in batches:
-            wanted, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in T.slices(batch.column(2)):
-                cols: tuple[list, list, list] = ([], [], [])
+            wanted, units, groups = (batch.column(k).to_pylist() for k in range(3))
+            for part in T.slices(batch.column(3)):
+                cols: tuple[list, list, list, list] = ([], [], [], [])
                 for i, v in enumerate(shingle_sets(part, width)):
                     if len(v) and set_id(v) == wanted[part.first + i]:
                         for g in groups[part.first + i]:
-                            for c, x in zip(cols, (g, wanted[part.first + i], v.tobytes())):
+                            for c, x in zip(cols, (g, wanted[part.first + i], units[part.first + i], v.tobytes())):
                                 c.append(x)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.nulls(len(cols[0]), pa.int64()),
-                    pa.array(cols[2], pa.binary())], names=["grp", "a", "b", "shingles"])
+                    pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
+                    names=["grp", "a", "b", "unit", "shingles"])
     return run
 
 
@@ -305,11 +330,12 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
                                      F.max("sid").over(tile).alias("top")).where("lead < top").drop("top"), "jaccard-tiles")
     points = classes.select("sid", "point")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among ``pairs``. A pair goes to the group of its centre, the
-        smallest set next to either end, so that dense families share a group;
-        a set is made from one document's text and sent once to each of its
-        groups. Centres with many pairs have several groups."""
+    def verified(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+        """Links between the units of ``pairs`` (a, b); ``members`` are their
+        sets (sid, unit). A pair goes to the group of its centre, the smallest
+        unit next to either end, so that dense families share a group; a set is
+        made from one document's text and sent once to each of its groups.
+        Centres with many units have several groups."""
         pairs = materialize(pairs, f"jaccard-{name}-pairs")
         ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(
             pairs.select(F.col("a").alias("x"), F.col("a").alias("y")))
@@ -320,24 +346,31 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
             "m", F.ceil(F.col("k") / CENTRE).alias("parts"))
         homes = materialize(homes.join(load, "m").select("a", "b", F.xxhash64(
             "m", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("grp")), f"jaccard-{name}-homes")
-        members = homes.select("grp", F.col("a").alias("sid")).unionByName(homes.select("grp", F.col("b").alias("sid"))).distinct()
-        want = materialize(members.groupBy("sid").agg(F.collect_list("grp").alias("groups")).join(
-            classes.select("sid", "rid"), "sid"), f"jaccard-{name}-want")
+        groups = homes.select("grp", F.col("a").alias("unit")).unionByName(homes.select("grp", F.col("b").alias("unit")))
+        groups = groups.distinct().groupBy("unit").agg(F.collect_list("grp").alias("groups"))
+        want = materialize(members.join(groups, "unit").join(classes.select("sid", "rid"), "sid"), f"jaccard-{name}-want")
         size = want.agg(F.sum(F.size("groups") + 1)).first()[0] or 0
         sets = own.select("rid", "text").join(F.broadcast(want) if size <= MAX_BROADCAST_ROWS else want, "rid").select(
-            "sid", "groups", "text").mapInArrow(_fetch(width), "grp long, a long, b long, shingles binary")
-        rows = sets.unionByName(homes.select("grp", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+            "sid", "unit", "groups", "text").mapInArrow(
+            _fetch(width), "grp long, a long, b long, unit long, shingles binary")
+        rows = sets.unionByName(homes.select("grp", "a", "b", F.lit(None).cast("long").alias("unit"),
+                                             F.lit(None).cast("binary").alias("shingles")))
         return materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(
             _verify(rule), "a long, b long").distinct(), f"jaccard-{name}-links")
 
     first = tiles.where("sid != lead").groupBy(F.col("sid").alias("b")).agg(F.min("lead").alias("a"))
     first = first.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
         "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
-    links = verified(first, "first")
-    comps = materialize(components(links), "jaccard-comps")
-    placed = tiles.select("key", "sid").join(comps.toDF("sid", "comp"), "sid", "left").select(
-        "key", "sid", F.coalesce("comp", "sid").alias("comp"))
-    open_tiles = placed.select("key", "sid", "comp", F.min("comp").over(tile).alias("lo"), F.max("comp").over(tile).alias("hi"),
+    links = verified(first, classes.select("sid", F.col("sid").alias("unit")), "first")
+
+    comps = components(links)
+    parts = comps.groupBy("comp").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
+    comps = materialize(comps.join(parts, "comp").select(F.col("node").alias("sid"), "comp", F.when(
+        F.col("parts") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("node"), "parts"))).alias("unit")),
+        "jaccard-comps")
+    placed = tiles.select("key", "sid").join(comps, "sid", "left").select(
+        "key", "sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("unit", "sid").alias("unit"))
+    open_tiles = placed.select("*", F.min("comp").over(tile).alias("lo"), F.max("comp").over(tile).alias("hi"),
                                F.ceil(F.count("*").over(tile) / BLOCK).cast("int").alias("blocks")).where("lo < hi")
     # a tile of several blocks is compared block by block; rows go to the blocks they meet
     mine = F.expr("cast(pmod(xxhash64(sid), blocks) as int)")
@@ -345,11 +378,12 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     spread = spread.select(
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(
             F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("tile"),
-        "sid", "comp", F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
+        "sid", "comp", "unit", F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
         .otherwise(1).alias("side"))
     spread = spread.join(points, "sid").repartition("tile").sortWithinPartitions("tile")
-    rest = spread.select("tile", "sid", "comp", "side", "point").mapInArrow(_tile_join(rule), "a long, b long").distinct()
-    more = verified(rest, "rest")
+    rest = spread.select("tile", "comp", "unit", "side", "point").mapInArrow(_tile_join(rule), "a long, b long").distinct()
+    single = classes.select("sid").join(comps, "sid", "left_anti").select("sid", F.col("sid").alias("unit"))
+    more = verified(rest, single.unionByName(comps.select("sid", "unit")), "rest")
     final = components(links.unionByName(more))
 
     label = light.join(final.toDF("sid", "comp"), "sid", "left").select(
