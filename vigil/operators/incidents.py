@@ -430,7 +430,11 @@ def analysis_record(df: DataFrame, drop_similar: bool = True) -> DataFrame:
 
 def feedback_confusion(feedback: DataFrame) -> DataFrame:
     """Predicted vs corrected root cause; an uncorrected row counts as its
-    own prediction."""
+    own prediction. ``accuracy`` is the share of all rows whose prediction
+    stood."""
     corrected = F.coalesce(F.nullif(F.col("corrected_root_cause"), F.lit("")), F.col("predicted_root_cause"))
-    return feedback.groupBy(F.col("predicted_root_cause"), corrected.alias("actual_root_cause")).agg(
+    cells = feedback.groupBy(F.col("predicted_root_cause"), corrected.alias("actual_root_cause")).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
+    every = Window.partitionBy()  # over the cells: classes squared at most
+    stood = F.when(F.col("predicted_root_cause") == F.col("actual_root_cause"), F.col("n")).otherwise(0)
+    return cells.withColumn("accuracy", F.round(F.sum(stood).over(every) / F.sum("n").over(every), 4))

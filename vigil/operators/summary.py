@@ -60,9 +60,10 @@ def normal_only(df: DataFrame, label: str = "is_anomaly") -> DataFrame:
     return df.filter(F.col(label) == 0)
 
 
-def metrics_summary(window: DataFrame) -> DataFrame:
-    """The 10-field summary of a look-back window (one row)."""
+def metrics_summary(window: DataFrame, hours: int) -> DataFrame:
+    """The 10-field summary of a look-back window of ``hours`` (one row)."""
     return window.agg(
+        F.lit(hours).cast("int").alias("window_hours"),
         F.count(F.lit(1)).cast("long").alias("total_records"),
         F.round(F.avg("cpu_percent"), 2).alias("avg_cpu_percent"),
         F.round(F.avg("memory_percent"), 2).alias("avg_memory_percent"),

@@ -289,7 +289,9 @@ def q_feedback_summary(spark, sf_dir):
 
 @query("feedback_confusion", scored_sql(
     FEEDBACK_CTE + "SELECT predicted_root_cause, coalesce(nullif(corrected_root_cause, ''), predicted_root_cause) "
-    "AS actual_root_cause, CAST(count(*) AS BIGINT) AS n FROM fb GROUP BY 1, 2"))
+    "AS actual_root_cause, CAST(count(*) AS BIGINT) AS n, "
+    + S.R("sum(sum(CASE WHEN coalesce(nullif(corrected_root_cause, ''), predicted_root_cause) = predicted_root_cause "
+          "THEN 1.0 ELSE 0.0 END)) OVER () / sum(count(*)) OVER ()", 4) + " AS accuracy FROM fb GROUP BY 1, 2"))
 def q_feedback_confusion(spark, sf_dir):
     return feedback_confusion(feedback_frame(spark, sf_dir))
 

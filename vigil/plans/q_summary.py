@@ -114,7 +114,7 @@ def q_lookup_profile(spark, sf_dir):
 # --- aggregations -----------------------------------------------------------
 
 SUMMARY_SQL = _panel_sql(
-    f"SELECT CAST(count(*) AS BIGINT) AS total_records, {S.R(S.R('avg(cpu_percent)', 2))} AS avg_cpu_percent, "
+    f"SELECT CAST({HOURS} AS INT) AS window_hours, CAST(count(*) AS BIGINT) AS total_records, {S.R(S.R('avg(cpu_percent)', 2))} AS avg_cpu_percent, "
     f"{S.R(S.R('avg(memory_percent)', 2))} AS avg_memory_percent, "
     f"{S.R(S.R('avg(latency_p95_ms)', 2))} AS avg_latency_p95_ms, "
     f"{S.R(S.R('avg(error_rate)', 5))} AS avg_error_rate, {S.R(S.R('max(cpu_percent)', 2))} AS max_cpu_percent, "
@@ -125,7 +125,7 @@ SUMMARY_SQL = _panel_sql(
 
 @query("metrics_summary", SUMMARY_SQL)
 def q_metrics_summary(spark, sf_dir):
-    return publish(su.metrics_summary(su.lookback_filter(load_panel(spark, sf_dir), HOURS)))
+    return publish(su.metrics_summary(su.lookback_filter(load_panel(spark, sf_dir), HOURS), HOURS))
 
 
 @query("command_center_kpis", scored_sql(
@@ -243,11 +243,12 @@ def q_round_scores(spark, sf_dir):
 
 
 @query("top_anomalies", scored_sql(
-    f", flag AS (SELECT * FROM scored WHERE ensemble_score >= {THRESHOLD}) "
+    f", w AS (SELECT * FROM scored WHERE {SC_LOOKBACK}), flag AS (SELECT * FROM w WHERE ensemble_score >= {THRESHOLD}) "
     f"SELECT event_id, {TOP_FIELDS}, CAST((SELECT count(*) FROM flag) AS BIGINT) AS total_anomalies FROM flag "
     "ORDER BY ensemble_score DESC, event_id LIMIT 50"))
 def q_top_anomalies(spark, sf_dir):
-    top = su.top_anomalies(scored_panel(spark, sf_dir), SCORE, THRESHOLD, 50)
+    """Top 50 of the look-back window, with the number flagged in it."""
+    top = su.top_anomalies(su.lookback_filter(scored_panel(spark, sf_dir), HOURS), SCORE, THRESHOLD, 50)
     return publish(top.select("event_id", *_top_exprs(), "total_anomalies"))
 
 
