@@ -210,7 +210,7 @@ def test_stages_act_and_keep_columns(spark, tmp_path):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     top = docs.agg({"doc_id": "max"}).first()[0]
     clean = docs.where("length(text) > 500").first().text
-    extra = [(top + 1, None, None, "s", 0), (top + 2, "12 34", "en", "s", 5), (top + 3, f"{clean} {bench}", "en", "s", 0),
+    extra = [(top + 1, None, None, "s", 0), (top + 2, "12 34", "en", "s", 5), (top + 3, f"the story of it: {bench} and that is all of the story", "en", "s", 0),
              (top + 4, clean, "en", "s", len(clean)), (top + 4, clean, "en", "s", len(clean)),
              (top + 5, "the quick write to jo@example.com about that thing with the other one", "en", "s", 70), (None, "", None, None, None)]
     docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")

@@ -141,7 +141,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
         def run(batches):
             known = _window_set(shared, n)
             for batch in batches:
-                for part in T.slices(batch.column(1)):
+                texts = batch.column(0).field(text_col).cast(pa.string()) if whole_rows else batch.column(1)
+                for part in T.slices(texts):
                     w = T.Words(part, "alnum")
                     hit, items_of = known.scan(w)
                     edge = np.concatenate([[0], np.cumsum(hit)])
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
                         batch.column(0).slice(part.first, len(part)), pa.array(w.counts.astype(np.int64)),
                         pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([_summary(x) for x in ids]), pa.array(n_hit > 0)], names=names)
-        return own.mapInArrow(run, out_schema)
+        return (own.select("id") if whole_rows else own).mapInArrow(run, out_schema)
 
     # several blocks: runs of hit words and items per row and block, put together by row
     keyed = materialize(own.withColumn("at", F.monotonically_increasing_id()), "decontaminate")

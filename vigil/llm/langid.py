@@ -277,7 +277,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         langs, net = shared.value
         for batch in batches:
-            for part in T.slices(batch.column(2), 1 << 20):
+            texts = batch.column(0).field(text_col).cast(pa.string()) if whole_rows else batch.column(2)
+            for part in T.slices(texts, 1 << 20):
                 lettered = np.array([bool(_LETTER.search(part.text(i).decode("utf-8", "replace")))
                                      for i in range(len(part))], dtype=bool)
                 if net is None:
@@ -292,4 +293,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)),
                      pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=names)
 
-    return own.select("row" if whole_rows else "id", "held", "text").mapInArrow(run, schema)
+    return own.select(*(("row", "held") if whole_rows else ("id", "held", "text"))).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm.batches import small_batches
 from vigil.session import checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,7 @@ def query(name: str, oracle: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             checkpoint_dir(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if oracle:

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.batches import small_batches
 from vigil.session import materialize
 
 #: Least mean probability of the best language.
@@ -23,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without
     letters and those of no clear language go."""
     from vigil.llm.langid import UNKNOWN, identify
+    small_batches(spark)
     seen = identify(docs, whole_rows=True)
     return seen.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
@@ -31,6 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each component: the one of the smallest id (of rows
     that share it, the first). Documents without words all stay."""
     from vigil.llm.jaccard import join
+    small_batches(spark)
     at = f"row_{uuid.uuid4().hex}"
     named = docs.withColumn(at, F.monotonically_increasing_id())
     groups = join(named, row_col=at).where("n_shingles > 0")
@@ -47,6 +50,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     from vigil.llm.decontaminate import decontaminate
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items, whole_rows=True).where("not contaminated").select("row.*")
 
@@ -66,4 +70,5 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Encode every text; the result has the ids and both digests."""
     import public_tokenizers
     from vigil.llm.bpe import bpe
+    small_batches(spark)
     return bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
