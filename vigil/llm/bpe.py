@@ -33,7 +33,8 @@ from vigil.llm import textops as T
 
 MATRIX_BYTES = 256
 MATRIX_CELLS = 1 << 20
-CACHE_PIECES = 1 << 20
+#: Pieces a worker remembers before it starts anew.
+CACHE_PIECES = 1 << 18
 MAX_RANK_FILE = 64 << 20
 NONE = np.int64(1) << 40
 
