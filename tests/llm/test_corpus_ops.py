@@ -158,6 +158,19 @@ def test_bloom_filter_gives_levels_back():
     assert (found >= level).all() and (found == level).mean() > 0.8
 
 
+@pytest.mark.parametrize("head", [1 << 20, 30])
+def test_lm_scores_are_equal_beyond_the_broadcast_bound(spark, monkeypatch, head):
+    monkeypatch.setattr(ngram_lm, "HEAD_WORDS", head)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"W{int(rnd.paretovariate(0.7)) % 500}" for _ in range(rnd.randint(0, 80)))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None), (None, "w1 w1 zz")], "doc_id long, text string")
+    whole = {str(r.doc_id): r for r in score(df).collect()}
+    monkeypatch.setattr(ngram_lm, "MAX_BITS", 10)  # fewer than any filter has
+    for r in score(df).collect():
+        for a, b in zip(r, whole[str(r.doc_id)]):
+            assert a == (pytest.approx(b, rel=1e-9) if isinstance(b, float) else b)
+
+
 def test_lm_of_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert score(df.limit(0)).collect() == []

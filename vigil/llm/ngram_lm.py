@@ -7,10 +7,12 @@ put into the filter as the members (n-gram, 1) .. (n-gram, q), and probing
 level after level until the first miss gives the level back. Scores are bigram
 probabilities mixed with add-one word probabilities, all from such probes.
 
-The filter is built in segments on the executors and broadcast. Its size
-follows the number of members up to ``MAX_BITS``; past that the lowest levels
-are left out for all n-grams alike (``Filter.low``), which is coarser
-quantisation, not fewer documents.
+The filter is built in segments on the executors; its size follows the number
+of members and all levels are kept at every size. Up to ``MAX_BITS`` it is
+broadcast. Past that it stays where it is built: the distinct n-grams of the
+documents are sent to their segments, and the logarithms of the probabilities
+of their bigrams come back by a join (those of the most frequent bigrams, at
+most ``HEAD_WORDS``, by broadcast). Both ways probe the same bits.
 
 The base score needs exact word counts. Frequent words (the largest count
 threshold under which at most ``HEAD_WORDS`` qualify) are broadcast; all other
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import textops as T
+from vigil.llm.grouping import whole_groups
 from vigil.session import materialize
 
-SEG_BITS = 10  # the filter has 2**SEG_BITS segments, by the top bits of the hash
-MAX_BITS = 28
+SEG_BITS = 10  # a broadcast filter has 2**SEG_BITS segments, by the top bits of the hash
+MAX_BITS = 28  # of a broadcast filter
+SEG_MOST = 20  # log2 of the bits of a segment that is not broadcast; larger filters have more segments
 MIN_BITS = 17
 HASHES = 2
 HEAD_WORDS = 1 << 20
@@ -82,17 +86,36 @@ def _count(batches):
         yield flush()
 
 
+def _asked(batches):
+    """Bigrams of the texts: (h, the word they close, the word before it); a
+    text begins as often as it ends."""
+    for batch in batches:
+        for part in T.slices(batch.column(0)):
+            one, two, off = tokens(part)
+            before = np.empty_like(one)
+            before[1:] = one[:-1]
+            before[off[:-1]] = END & ~_ONE
+            h, at = np.unique(two, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, one[at], before[at])],
+                                             names=["h", "word", "before"])
+
+
+def _inner(h: np.ndarray, level: int, j: int, seg_bits: int) -> np.ndarray:
+    """Bit position in its segment of the member (h, level), hash j."""
+    inner = T.mix(h + np.uint64((level * HASHES + j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (inner & np.uint64((1 << seg_bits) - 1)).astype(np.int64)
+
+
 def _bits(h: np.ndarray, level: int, j: int, seg_bits: int) -> np.ndarray:
     """Bit position in the filter of the member (h, level), hash j."""
-    inner = T.mix(h + np.uint64((level * HASHES + j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    seg = h >> np.uint64(64 - SEG_BITS)
-    return ((seg << np.uint64(seg_bits)) | (inner & np.uint64((1 << seg_bits) - 1))).astype(np.int64)
+    seg = (h >> np.uint64(64 - SEG_BITS)).astype(np.int64)
+    return (seg << seg_bits) | _inner(h, level, j, seg_bits)
 
 
 class Filter:
     """Log-frequency Bloom filter: levels ``low`` and up of hashed n-grams."""
 
-    def __init__(self, data: np.ndarray, bits: int, low: int):
+    def __init__(self, data: np.ndarray, bits: int, low: int = 1):
         self.data, self.seg_bits, self.low = data, bits - SEG_BITS, low
 
     def _has(self, h: np.ndarray, level: int) -> np.ndarray:
@@ -148,49 +171,126 @@ def _build(seg_bits: int, low: int):
     return run
 
 
-def _plan(levels: dict[int, int]) -> tuple[int, int]:
-    """Filter size (log2 of bits) and lowest level for a count of n-grams per
-    level: 8 bits a member, up to 2**MAX_BITS bits."""
-    low = 1
-    while True:
-        members = sum(n * (q - low + 1) for q, n in levels.items() if q >= low)
-        if members * 6 <= 1 << MAX_BITS:
+def _plan(levels: dict[int, int]) -> int:
+    """Filter size (log2 of bits) for a count of n-grams per level: 8 bits a
+    member; 6 are enough where that lets the filter be broadcast."""
+    members = sum(n * q for q, n in levels.items())
+    bits = max(MIN_BITS, int(8 * members).bit_length())
+    return MAX_BITS if bits > MAX_BITS >= MIN_BITS and members * 6 <= 1 << MAX_BITS else bits
+
+
+def _probe(seg_bits: int):
+    """Rows (seg, h, q) sorted by segment, q = 0 being questions -> (h, level)
+    of the questions from the segment's members."""
+    def run(batches):
+        for rows, groups in whole_groups(batches, "seg"):
+            h, level = rows.column("h").to_numpy().view(np.uint64), rows.column("q").to_numpy()
+            for a, b in groups:
+                own, q = h[a:b], level[a:b]
+                data = np.zeros(1 << seg_bits, dtype=bool)
+                for k in range(1, int(q.max()) + 1):
+                    for j in range(HASHES):
+                        data[_inner(own[q >= k], k, j, seg_bits)] = True
+                asked = own[q == 0]
+                found, alive, k = np.zeros(len(asked), dtype=np.int32), np.arange(len(asked)), 1
+                while len(alive) and k < 64:
+                    for j in range(HASHES):
+                        alive = alive[data[_inner(asked[alive], k, j, seg_bits)]]
+                    found[alive] = k
+                    k += 1
+                yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(found)], names=["h", "q"])
+    return run
+
+
+def _pair_scores(docs: DataFrame, members: DataFrame, bits: int, total: int, words: int) -> DataFrame:
+    """All bigrams of ``docs`` (text): h, level, logarithm of the probability,
+    from a filter of ``members`` (h, q) that is probed segment by segment."""
+    seg_bits = min(bits - SEG_BITS, SEG_MOST)
+    seg = F.expr(f"shiftrightunsigned(h, {64 - (bits - seg_bits)})").alias("seg")
+    asked = materialize(docs.select("text").mapInArrow(_asked, "h long, word long, before long").groupBy("h").agg(
+        F.min("word").alias("word"), F.min("before").alias("before")), "ngram-asked")
+    single = asked.select(F.explode(F.array("word", "before")).alias("h")).distinct()
+    rows = members.select(seg, "h", "q").unionByName(
+        asked.select("h").unionByName(single).select(seg, "h", F.lit(0).alias("q")))
+    found = materialize(rows.repartition("seg").sortWithinPartitions("seg").mapInArrow(
+        _probe(seg_bits), "h long, q int"), "ngram-levels")
+    word = found.where("h % 2 = 0")
+    seen = lambda q: F.when(F.col(q) <= 1, F.col(q)).otherwise(F.pow(F.lit(2.0), F.col(q) - 0.5))
+    c2 = F.when(F.col("q") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("q") + 0.5))
+    p = MIX * c2 / F.greatest(F.lit(1.0), seen("qb").cast("double"), c2) + (1.0 - MIX) * (seen("qw") + 1.0) / (
+        total + words + 1.0)
+    return materialize(asked.join(found, "h").join(word.toDF("word", "qw"), "word").join(
+        word.toDF("before", "qb"), "before").select("h", "q", F.log10(p).alias("logp")), "ngram-pairs")
+
+
+def _head(levels: dict[int, int]) -> int:
+    """Least level from which on at most HEAD_WORDS n-grams are."""
+    size, head = 0, 64
+    for q, k in sorted(levels.items(), reverse=True):
+        if size + k > HEAD_WORDS:
             break
-        low += 1
-    return min(MAX_BITS, max(MIN_BITS, int(8 * members).bit_length())), low
+        size, head = size + k, q
+    return head
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and the second column, of HEAD_WORDS rows at most."""
+    top = table.toArrow()
+    h, x = (top.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], x[order]
+
+
+def _find(h: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``h`` is a key, and its value or 0."""
+    if not len(keys):
+        return np.zeros(len(h), bool), np.zeros(len(h))
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    known = keys[at] == h
+    return known, np.where(known, values[at], 0)
 
 
 class Model:
-    def __init__(self, head_h: np.ndarray, head_n: np.ndarray, total: int, words: int, bloom: Filter):
+    """``bloom`` is a broadcast filter, or the most frequent bigrams (sorted
+    hashes) and the logarithms of their probabilities."""
+
+    def __init__(self, head_h: np.ndarray, head_n: np.ndarray, total: int, words: int,
+                 bloom: Filter | tuple[np.ndarray, np.ndarray]):
         self.head_h, self.head_n, self.total, self.words, self.bloom = head_h, head_n, total, words, bloom
         self.floor = np.log10(total + words + 1)
 
     def score(self, part: T.Slice):
         """Per row: tokens, tokens known by the head, their base score, model
-        score; and the tokens the head lacks as (row, hash, times)."""
+        score; and the tokens and bigrams the heads lack as (row, hash, times)."""
         one, two, off = tokens(part)
         lens = np.diff(off)
         row = np.repeat(np.arange(len(part)), lens)
         vocab, which = np.unique(one, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.head_h, vocab), max(0, len(self.head_h) - 1))
-        in_head = self.head_h[at] == vocab if len(self.head_h) else np.zeros(len(vocab), bool)
-        exact = np.where(in_head, self.head_n[at] if len(self.head_h) else 0, 0)
+        in_head, exact = _find(vocab, self.head_h, self.head_n)
         base = np.where(in_head, np.log10(exact + 1.0) - self.floor, 0.0)
         known = in_head & (exact > 0)
-        seen = self.bloom.words(vocab)
-        p1 = (seen + 1.0) / (self.total + self.words + 1.0)
         pairs, pair_of = np.unique(two, return_inverse=True)
-        c2 = self.bloom.pairs(pairs)[pair_of]
-        c1 = np.empty(len(one))
-        c1[1:] = seen[which[:-1]]
-        c1[off[:-1]] = self.bloom.words(np.array([END & ~_ONE]))[0]  # a text begins as often as it ends
-        p = MIX * c2 / np.maximum(1.0, np.maximum(c1, c2)) + (1.0 - MIX) * p1[which]
+        if isinstance(self.bloom, Filter):
+            seen = self.bloom.words(vocab)
+            p1 = (seen + 1.0) / (self.total + self.words + 1.0)
+            c2 = self.bloom.pairs(pairs)[pair_of]
+            c1 = np.empty(len(one))
+            c1[1:] = seen[which[:-1]]
+            c1[off[:-1]] = self.bloom.words(np.array([END & ~_ONE]))[0]  # a text begins as often as it ends
+            logp = np.log10(MIX * c2 / np.maximum(1.0, np.maximum(c1, c2)) + (1.0 - MIX) * p1[which])
+            has_pair = np.ones(len(pairs), bool)
+        else:
+            has_pair, logp = _find(pairs, *self.bloom)
+            logp = logp[pair_of]
         sums = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  no row is without tokens
-        rest = np.flatnonzero(~in_head[which])
-        key = row[rest] * len(vocab) + which[rest]
-        key, times = np.unique(key, return_counts=True)
-        tail = (key // max(1, len(vocab)), vocab[key % max(1, len(vocab))], times)
-        return lens, sums(known[which].astype(np.int64)), sums(base[which]), sums(np.log10(p)), tail
+
+        def lacking(names, of, found):
+            rest = np.flatnonzero(~found[of])
+            key, times = np.unique(row[rest] * len(names) + of[rest], return_counts=True)
+            return key // max(1, len(names)), names[key % max(1, len(names))], times
+
+        tail = [np.concatenate(x) for x in zip(lacking(vocab, which, in_head), lacking(pairs, pair_of, has_pair))]
+        return lens, sums(known[which].astype(np.int64)), sums(base[which]), sums(logp), tail
 
 
 _MODELS: list[tuple] = []
@@ -198,16 +298,19 @@ _MODELS: list[tuple] = []
 
 def _model(shared) -> Model:
     if not _MODELS or _MODELS[0][0] is not shared:
-        head_h, head_n, total, words, data, bits, low = shared.value
-        _MODELS[:] = [(shared, Model(head_h, head_n, total, words, Filter(np.frombuffer(data, np.uint8), bits, low)))]
+        head_h, head_n, total, words, bloom = shared.value
+        if isinstance(bloom[0], bytes):
+            bloom = Filter(np.frombuffer(bloom[0], np.uint8), bloom[1])
+        _MODELS[:] = [(shared, Model(head_h, head_n, total, words, bloom))]
     return _MODELS[0][1]
 
 
-def fit(train: DataFrame, text_col: str = "text"):
-    """Counts of all training texts: a broadcast model, the table of word
-    counts (h, n), and the count from which words are in the broadcast."""
+def fit(train: DataFrame, docs: DataFrame):
+    """Counts of all training texts (``text``): a broadcast model, the table
+    (h, c, logp) of the words and bigrams of ``docs`` that it lacks, and the
+    tokens and words counted."""
     spark = train.sparkSession
-    found = train.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(_count, "h long, n long")
+    found = train.select("text").mapInArrow(_count, "h long, n long")
     counts = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h % 2 = 0"), "ngram-counts")
     level = F.floor(F.log2("n")).cast("int") + F.when(F.col("h") % 2 == 0, 1).otherwise(0)
     table = counts.groupBy((F.col("h") % 2 == 0).alias("word"), level.alias("q")).agg(
@@ -217,25 +320,26 @@ def fit(train: DataFrame, text_col: str = "text"):
     levels: dict[int, int] = {}
     for r in table:
         levels[r["q"]] = levels.get(r["q"], 0) + r["k"]
-    bits, low = _plan(levels)
-    size, head = 0, 63  # words of level head and up are broadcast
-    for q, k in sorted(((r["q"], r["k"]) for r in table if r["word"]), reverse=True):
-        if size + k > HEAD_WORDS:
-            break
-        size, head = size + k, q
-    least = 1 << (head - 1)  # a word of level q has a count of 2**(q-1) at least
-    segments = counts.select("h", level.alias("q")).where(f"q >= {low}").repartition(
-        F.expr(f"shiftrightunsigned(h, {64 - SEG_BITS})")).mapInArrow(_build(bits - SEG_BITS, low), "seg int, data binary")
-    data = np.zeros((1 << bits) >> 3, dtype=np.uint8)
-    size = (1 << (bits - SEG_BITS)) >> 3
-    for r in segments.collect():  # 2**MAX_BITS bits at most
-        data[r["seg"] * size:(r["seg"] + 1) * size] |= np.frombuffer(bytes(r["data"]), np.uint8)
-    top = counts.where(f"h % 2 = 0 and n >= {least}L").toArrow()  # HEAD_WORDS rows at most
-    head_h = np.asarray(top.column("h").combine_chunks() if top.num_rows else [], dtype=np.int64).view(np.uint64)
-    head_n = np.asarray(top.column("n").combine_chunks() if top.num_rows else [], dtype=np.int64)
-    order = np.argsort(head_h)
-    shared = spark.sparkContext.broadcast((head_h[order], head_n[order], total, words, data.tobytes(), bits, low))
-    return shared, counts.where(f"h % 2 = 0 and n < {least}L"), (total, words)
+    bits = _plan(levels)
+    least = 1 << (min(63, _head({r["q"]: r["k"] for r in table if r["word"]})) - 1)  # of level q: 2**(q-1) at least
+    rest = counts.where(f"h % 2 = 0 and n < {least}L").select(
+        "h", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp"))
+    members = counts.select("h", level.alias("q"))
+    if bits <= MAX_BITS:
+        segments = members.repartition(F.expr(f"shiftrightunsigned(h, {64 - SEG_BITS})")).mapInArrow(
+            _build(bits - SEG_BITS, 1), "seg int, data binary")
+        data = np.zeros((1 << bits) >> 3, dtype=np.uint8)
+        size = (1 << (bits - SEG_BITS)) >> 3
+        for r in segments.collect():  # 2**MAX_BITS bits at most
+            data[r["seg"] * size:(r["seg"] + 1) * size] |= np.frombuffer(bytes(r["data"]), np.uint8)
+        bloom: tuple = (data.tobytes(), bits)
+    else:
+        pairs = _pair_scores(docs, members, bits, total, words)
+        head = _head({r["q"]: r["count"] for r in pairs.groupBy("q").count().collect()})  # one row a level
+        bloom = _sorted(pairs.where(F.col("q") >= head).select("h", "logp"))
+        rest = rest.unionByName(pairs.where(F.col("q") < head).select("h", F.lit(None).cast("long").alias("c"), "logp"))
+    top = _sorted(counts.where(f"h % 2 = 0 and n >= {least}L"))
+    return spark.sparkContext.broadcast((*top, total, words, bloom)), rest, (total, words)
 
 
 def held_out(id_col: str):
@@ -247,7 +351,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base_score, score."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("held", held_out("id"))
-    shared, rare, (total, words) = fit(own.where("not held"))
+    shared, rare, (total, words) = fit(own.where("not held"), own)
     floor = float(np.log10(total + words + 1))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -269,15 +373,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     both(pa.array(lens.astype(np.int64)), none(pa.int64())),
                     both(pa.array(known), none(pa.int64())), both(pa.array(base), none(pa.float64())),
                     both(pa.array(logp), none(pa.float64()))],
-                    names=["row", "id", "held", "h", "times", "n_tokens", "known", "base", "logp"])
+                    names=["row", "id", "held", "h", "times", "n_tokens", "known", "base", "logp_row"])
 
     found = own.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text").mapInArrow(
-        run, f"row long, id {id_type}, held boolean, h long, times long, n_tokens long, known long, base double, logp double")
-    joined = found.join(rare.withColumnRenamed("n", "c"), "h", "left")
-    # a token without count adds log10(1) - floor
-    rest = F.expr(f"times * (log10(coalesce(c, 0) + 1D) - {floor!r}D)")
+        run, f"row long, id {id_type}, held boolean, h long, times long, n_tokens long, known long, base double, logp_row double")
+    joined = found.join(rare, "h", "left")
+    # a token without count adds log10(1) - floor; bigrams (odd) have no part in the base score
+    rest = F.expr(f"if(h % 2 = 0, times * (log10(coalesce(c, 0) + 1D) - {floor!r}D), 0D)")
+    logp = F.coalesce("logp_row", F.expr("times * logp"), F.lit(0.0))
     return joined.groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.coalesce("base", rest)).alias("base_score"), F.max("logp").alias("score")).drop("row")
+        F.sum(F.coalesce("base", rest)).alias("base_score"), F.sum(logp).alias("score")).drop("row")
