@@ -171,6 +171,17 @@ def test_lm_scores_are_equal_beyond_the_broadcast_bound(spark, monkeypatch, head
             assert a == (pytest.approx(b, rel=1e-9) if isinstance(b, float) else b)
 
 
+@pytest.mark.parametrize("bits", [ngram_lm.MAX_BITS, 10])
+def test_lm_knows_bigrams_seen_once(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_lm, "MAX_BITS", bits)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [i for i in range(100) if i not in held and zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    rows = [*zip(train, ["alpha beta", "gamma delta"]), *zip(held, ["alpha beta", "alpha delta"])]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].held_out and got[held[1]].held_out
+    assert got[held[0]].base_score == got[held[1]].base_score and got[held[0]].score > got[held[1]].score + 0.1
+
+
 def test_lm_of_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert score(df.limit(0)).collect() == []

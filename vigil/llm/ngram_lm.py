@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of all words and bigrams of the training documents are gathered with
-one shuffle. A count n is quantised to its level floor(log2 n), for words one
-level more, so that words seen once are members too; an n-gram of level q is
+one shuffle. A count n is quantised to its level 1 + floor(log2 n), so that
+n-grams seen once are members too; an n-gram of level q is
 put into the filter as the members (n-gram, 1) .. (n-gram, q), and probing
 level after level until the first miss gives the level back. Scores are bigram
 probabilities mixed with add-one word probabilities, all from such probes.
@@ -135,15 +135,11 @@ class Filter:
             level += 1
         return found
 
-    def words(self, h: np.ndarray) -> np.ndarray:
-        """Counts of words: the middle of their level."""
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of n-grams: the middle of their level."""
         q = self.level(h)
         return np.where(q <= 1, q, 2.0 ** (q - 0.5))
 
-    def pairs(self, h: np.ndarray) -> np.ndarray:
-        q = self.level(h)
-        return np.where(q == 0, 0.0, 2.0 ** (q + 0.5))
-
 
 def _build(seg_bits: int, low: int):
     def run(batches):
@@ -216,7 +212,7 @@ def _pair_scores(docs: DataFrame, members: DataFrame, bits: int, total: int, wor
         _probe(seg_bits), "h long, q int"), "ngram-levels")
     word = found.where("h % 2 = 0")
     seen = lambda q: F.when(F.col(q) <= 1, F.col(q)).otherwise(F.pow(F.lit(2.0), F.col(q) - 0.5))
-    c2 = F.when(F.col("q") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("q") + 0.5))
+    c2 = seen("q").cast("double")
     p = MIX * c2 / F.greatest(F.lit(1.0), seen("qb").cast("double"), c2) + (1.0 - MIX) * (seen("qw") + 1.0) / (
         total + words + 1.0)
     return materialize(asked.join(found, "h").join(word.toDF("word", "qw"), "word").join(
@@ -271,12 +267,12 @@ class Model:
         known = in_head & (exact > 0)
         pairs, pair_of = np.unique(two, return_inverse=True)
         if isinstance(self.bloom, Filter):
-            seen = self.bloom.words(vocab)
+            seen = self.bloom.counts(vocab)
             p1 = (seen + 1.0) / (self.total + self.words + 1.0)
-            c2 = self.bloom.pairs(pairs)[pair_of]
+            c2 = self.bloom.counts(pairs)[pair_of]
             c1 = np.empty(len(one))
             c1[1:] = seen[which[:-1]]
-            c1[off[:-1]] = self.bloom.words(np.array([END & ~_ONE]))[0]  # a text begins as often as it ends
+            c1[off[:-1]] = self.bloom.counts(np.array([END & ~_ONE]))[0]  # a text begins as often as it ends
             logp = np.log10(MIX * c2 / np.maximum(1.0, np.maximum(c1, c2)) + (1.0 - MIX) * p1[which])
             has_pair = np.ones(len(pairs), bool)
         else:
@@ -311,8 +307,8 @@ def fit(train: DataFrame, docs: DataFrame):
     tokens and words counted."""
     spark = train.sparkSession
     found = train.select("text").mapInArrow(_count, "h long, n long")
-    counts = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h % 2 = 0"), "ngram-counts")
-    level = F.floor(F.log2("n")).cast("int") + F.when(F.col("h") % 2 == 0, 1).otherwise(0)
+    counts = materialize(found.groupBy("h").agg(F.sum("n").alias("n")), "ngram-counts")
+    level = F.floor(F.log2("n")).cast("int") + 1
     table = counts.groupBy((F.col("h") % 2 == 0).alias("word"), level.alias("q")).agg(
         F.count("*").alias("k"), F.sum("n").alias("n")).collect()  # one row a level: at most 126
     total = sum(r["n"] for r in table if r["word"])
