@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vigil.llm import jaccard, ngram_lm, neardup, queries
+from vigil.llm import jaccard, ngram_lm, neardup, queries, stages
 from vigil.llm.components import components
 from vigil.llm.ngram_lm import score
 
@@ -276,6 +276,27 @@ def brute_jaccard_fast(rows):
     return [(str(d), len(s), least[g.find(i)] if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
+def test_jaccard_stage_keeps_its_rows_when_the_scan_is_cut_anew(spark, tmp_path, monkeypatch):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, text(i)) for i in range(40)] + [(100 + i, text(i)) for i in range(0, 40, 4)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(f"{tmp_path}/d")
+    real = jaccard.join
+
+    def join(*args, **kwargs):  # later scans pack all files into one partition
+        out = real(*args, **kwargs)
+        out = out.sparkSession.createDataFrame(out.collect(), out.schema)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(jaccard, "join", join)
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    try:
+        kept = stages.ngram_jaccard_join(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/d")
     for _, stage in corpus_pipeline.STAGES:

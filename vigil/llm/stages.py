@@ -1,7 +1,7 @@
 """The pipeline's stages: each applies one operator and acts on its result.
 
-``docs`` is a written table (as the pipeline gives it): a row's place in the
-scan names the row where ids may repeat or be null.
+Where ids may repeat or be null, rows are named by their place in one scan and
+written with their names before they are used.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from vigil.llm.jaccard import join
     small_batches(spark)
     at = f"row_{uuid.uuid4().hex}"
-    named = docs.withColumn(at, F.monotonically_increasing_id())
+    # written once: the names follow how the scan is cut, which differs between scans
+    named = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "pipeline-named")
     groups = join(named, row_col=at).where("n_shingles > 0")
     # in a component: rows of its id first; a component without ids is told by nothing but null
     own = groups.where("doc_id <=> component_id")
