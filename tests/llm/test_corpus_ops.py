@@ -101,6 +101,16 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     assert jaccard.join(df.limit(0)).collect() == []
 
 
+def test_points_of_very_long_sets_bound_no_link_away():
+    import pyarrow as pa
+    rule, v = jaccard.Join(4, 85), np.arange(4_700_000, dtype=np.uint64)
+    sets = [v, v[:-1000], v[:3000], v[:50]]
+    size, points = jaccard._points(pa.array([jaccard.point(x) for x in sets], pa.binary()))
+    assert size.tolist() == [len(x) for x in sets] and points.sum(axis=1).tolist() == size.tolist()
+    assert np.minimum(points[0], points[1]).sum(dtype=np.int64) >= rule.needed(size[0], size[1])
+    assert jaccard.tile_pairs(rule, np.array([1, 2]), np.array([1, 2]), size[:2], points[:2], None) == {(1, 2)}
+
+
 def test_tiles_miss_no_linked_pair():
     rule, rng = jaccard.Join(4, 85), np.random.default_rng(3)
     for n in [6, 7, 10, 15, 33, 80, 200, 900]:

@@ -43,7 +43,7 @@ from vigil.llm.components import components
 from vigil.llm.grouping import whole_groups
 from vigil.session import materialize
 
-#: Coordinates of the points; a count of FULL stands for any count from it on.
+#: Coordinates of the points; counts of FULL and more are written behind them.
 GROUPS, FULL = 256, 255
 #: Members of a tile compared in one block; of a leaf of the tree.
 BLOCK, LEAF = 2048, 16
@@ -131,18 +131,22 @@ def set_id(v: np.ndarray) -> int:
 
 
 def point(v: np.ndarray) -> bytes:
-    """Size and group counts of a set."""
+    """Size and group counts of a set: a byte a group, then 32 bits for each
+    group whose byte is FULL."""
     group = (T.mix(v ^ np.uint64(0x5BF03635)) % np.uint64(GROUPS)).astype(np.int64)
-    counts = np.minimum(np.bincount(group, minlength=GROUPS), FULL).astype(np.uint8)
-    return len(v).to_bytes(8, "little") + counts.tobytes()
+    counts = np.bincount(group, minlength=GROUPS)
+    low = np.minimum(counts, FULL).astype(np.uint8)
+    return len(v).to_bytes(8, "little") + low.tobytes() + counts[low == FULL].astype("<u4").tobytes()
 
 
 def _points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes, and points whose full coordinates bound nothing."""
-    raw = np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(len(col), GROUPS + 8)
+    """Sizes and group counts."""
+    data, width = col.to_pylist(), GROUPS + 8
+    raw = np.frombuffer(b"".join(x[:width] for x in data), dtype=np.uint8).reshape(len(data), width)
     size = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
-    counts = raw[:, 8:].astype(np.int16)
-    counts[counts == FULL] = 1 << 14
+    more = np.frombuffer(b"".join(x[width:] for x in data), dtype="<u4")
+    counts = raw[:, 8:].astype(np.int64 if len(more) else np.int16)
+    counts[counts == FULL] = more
     return size, counts
 
 
