@@ -235,6 +235,28 @@ def test_main_text_of_a_page():
         "things ,", "things,")
 
 
+def test_no_article_is_lost_by_the_names_around_it():
+    body = "<p>" + "Words of the article, many of them. " * 20 + "</p>"
+    rest = '<ul class="nav-links"><li><a href=a>one</a><li><a href=b>two</a></ul><div class="footer">All rights</div>'
+    want = " ".join(("Words of the article, many of them. " * 20).split())
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "sidebar"):
+        assert main_text(f'<div class="{name}"><article>{body}</article></div>{rest}') == want
+        assert main_text(f'<div class="{name}"><div>{body}</div></div>{rest}') == want
+    assert main_text(f'<form><main>{body}</main></form>{rest}') == want
+    for head in ('<header class="entry-header">', "<header class=header>"):
+        assert main_text(f"<article>{head}<h1>Title</h1></header>{body}</article>{rest}") == "Title " + want
+    for name in ("related-work", "social-history"):
+        page = f'<article>{body}<section class="{name}"><p>Told here.</p></section></article>{rest}'
+        assert main_text(page) == want + " Told here."
+    assert main_text(f'<article>{body}<ul class="related-posts"><li><a href=a>Another</a></ul></article>{rest}') == want
+    assert main_text(f'<div hidden><article>No</article></div><div class="ad">Buy this</div><article>{body}</article>') == want
+
+
+def test_a_long_footer_is_not_the_article_of_a_page_that_has_one():
+    page = "<article><h1>Few words.</h1><p>Here.</article><footer>" + "All rights reserved. " * 9 + "</footer>"
+    assert main_text(page) == "Few words. Here."
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain text"), (3, None, "plain text"), (None, "u", "<p>a<b>b</b> &lt;"),
             (4, "u", "<div>" * 3000 + "deep"), (5, "u", "<script>x"), (6, "u", "<p>" + "word " * 20000)]
