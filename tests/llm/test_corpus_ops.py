@@ -238,6 +238,27 @@ def test_embedding_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_labels_below_the_recall_are_compared_whole(spark, monkeypatch):
+    for name, value in (("AHEAD", 0), ("ROUNDS", 1), ("MAX_ROUNDS", 1), ("AUDIT", 40), ("BLOCK", 128)):
+        monkeypatch.setattr(neardup, name, value)  # a start that meets nothing
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 16))
+    rows = [(i, (base[i // 2] + rng.standard_normal(16) * 0.03).tolist(), i // 2 % 2) for i in range(600)]
+    n, g = brute_links([r[1] for r in rows], [r[2] for r in rows])
+    assert sum(n) > 500
+    least = {}
+    for i in reversed(range(600)):
+        least[g.find(i)] = i
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, n[i], least[g.find(i)]) for i in range(600)]
+
+
+def test_tables_follow_the_bits():
+    assert neardup.tables(0, 0.98) == neardup.tables(8, 0.98) == neardup.TABLES
+    met = (1 - math.acos(0.98) / math.pi) ** 21
+    assert (1 - met) ** neardup.tables(21, 0.98) <= neardup.APART
+
+
 # -- pipeline -----------------------------------------------------------
 def test_stages_act_and_keep_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
