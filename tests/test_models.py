@@ -182,3 +182,22 @@ def test_text_templates_render_like_python_format(spark):
     df = spark.createDataFrame([tuple(row.values())], "cpu double, err double, n int, name string")
     got = df.select(render(tpl, {k: F.col(k) for k in row}).alias("t")).collect()[0]["t"]
     assert got == tpl.format(**row)
+
+
+def test_forecaster_keeps_the_round_of_the_least_held_out_error(spark):
+    import numpy as np
+    from vigil.operators import forecast as fc
+    assert fc.best_round([5, 4, 4.5, 3.99, 4, 4, 4], 3) == (4, True) and fc.best_round([3, 2, 1], 3) == (3, False)
+    rng = np.random.default_rng(1)
+    cols = fc.feature_cols()
+    x = rng.standard_normal((600, len(cols)))
+    rows = [(*map(float, r), float(30 * r[0] + 10 * r[1] + rng.standard_normal()), i % 5 == 0) for i, r in enumerate(x)]
+    train = spark.createDataFrame(rows, [*cols, "target", "is_validation"]).coalesce(1).cache()
+    one = fc.forecast_fit(train, max_iter=30)
+    two = fc.forecast_fit(train.withColumn("is_validation", F.col("is_validation")), max_iter=30)
+    errors = lambda m: m.stages[-1].evaluateEachIteration(m.stages[0].transform(train.where("is_validation")), "squared")
+    found = errors(one)
+    assert one.stages[-1].getNumTrees == len(found) > 5 and min(found) == found[-1]
+    assert errors(two) == found
+    got = one.transform(train.where("is_validation")).selectExpr("avg(power(prediction - target, 2))").first()[0]
+    assert abs(got - found[-1]) < 1e-6 * got
