@@ -166,3 +166,9 @@ FROM embeddings m JOIN c ON c.a = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.secret_scan import scan
+    return scan(table(spark, sf_dir, "documents"))
