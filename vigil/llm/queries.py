@@ -172,3 +172,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.secret_scan import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, len(embedding) AS dim,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, e.r AS er, e.vec_id AS id, e.label = a.label AS same,
+             CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+      FROM e a JOIN e ON a.r <> e.r AND a.dim = e.dim WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id, er) AS k FROM s WHERE same)
+      WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id, s.er) AS rank
+      FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.hard_negatives import hard_negatives
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
