@@ -198,3 +198,39 @@ FROM n WHERE rank <= 3
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.hard_negatives import hard_negatives
     return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH k AS (SELECT DISTINCT conv_id AS c, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT,
+           [ascii(x)::UBIGINT for x in string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, b: list_reduce(
+           list_prepend(xor(a, b), [i::UBIGINT for i in range(8)]), lambda z, i: CASE WHEN z & 1 = 1
+           THEN xor(z >> 1, 3988292384::UBIGINT) ELSE z >> 1 END)), 4294967295::UBIGINT) % 9 AS BIGINT) AS h
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS pos, m, b FROM (
+  SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS m,
+         strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL)),
+u AS (SELECT k.c, 0 AS own, t.pos, t.m, t.b FROM k JOIN t ON t.c = k.c - k.c % 5 AND t.pos < k.h
+      UNION ALL SELECT k.c, 1, t.pos, t.m, t.b FROM k JOIN t ON t.c = k.c AND t.pos >= k.h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, m, b FROM u),
+s AS (SELECT c, list(m ORDER BY d) AS s FROM r GROUP BY c),
+pre AS (SELECT r.c, r.d, r.b, md5(array_to_string(list_slice(s.s, 1, r.d), ',')) AS p FROM r JOIN s USING (c)
+        UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT d, p, min(c) AS conv, count(*) AS n, any_value(b) AS b FROM pre GROUP BY d, p),
+up AS (SELECT n.d, n.p, n.conv, n.n, n.b, q.p AS up FROM n LEFT JOIN pre q ON q.c = n.conv AND q.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS kids FROM up WHERE d > 0 GROUP BY ALL),
+below AS (SELECT a.d, a.p, sum(CASE WHEN kids.kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.b) AS saved
+  FROM n LEFT JOIN kids ON kids.d = n.d AND kids.p = n.p JOIN pre a ON a.c = n.conv AND a.d <= n.d GROUP BY a.d, a.p),
+ends AS (SELECT d, p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (
+  SELECT c, max(d) AS d, arg_max(p, d) AS p FROM pre GROUP BY c) GROUP BY d, p)
+SELECT up.conv AS conv_id, CAST(up.d AS BIGINT) AS depth, par.conv AS parent_conv_id, up.n AS n_convs,
+       coalesce(kids.kids, 0) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM up JOIN below ON below.d = up.d AND below.p = up.p LEFT JOIN kids ON kids.d = up.d AND kids.p = up.p
+LEFT JOIN n par ON par.d = up.d - 1 AND par.p = up.up LEFT JOIN ends ON ends.d = up.d AND ends.p = up.p
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.prefix_trie import trie
+    return trie(table(spark, sf_dir, "conversations"))
