@@ -352,3 +352,50 @@ def test_registered_names():
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_lm_score_equals_a_plain_bloom_model(spark):
+    """Counts, bits, levels and mixture restated one n-gram at a time."""
+    import pyarrow as pa
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.8)) % 300}" for _ in range(rnd.randint(0, 60)))) for i in range(150)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    def grams(text):
+        (part,) = ngram_lm.T.slices(pa.array([text]))
+        one, two, _ = ngram_lm.tokens(part)
+        return [int(x) for x in one], [int(x) for x in two]
+    each = [grams(t) for _, t in rows]
+    counts = Counter(g for x, h in zip(each, held) if not h for g in (*x[0], *x[1]))
+    words = {g: n for g, n in counts.items() if g % 2 == 0}
+    members = sum(n.bit_length() for n in counts.values())  # 1 + floor(log2 n) levels
+    bits = max(ngram_lm.MIN_BITS, (8 * members).bit_length())
+    inner = bits - ngram_lm.SEG_BITS
+
+    def place(g, level, j):
+        at = mix((g + ((level * ngram_lm.HASHES + j + 1) * 0x9E3779B97F4A7C15 & mask)) & mask) & ((1 << inner) - 1)
+        return (g >> 64 - ngram_lm.SEG_BITS, at)
+    stored = {place(g, q, j) for g, n in counts.items() for q in range(1, n.bit_length() + 1) for j in range(ngram_lm.HASHES)}
+
+    def seen(g):
+        q = 0
+        while q < 63 and all(place(g, q + 1, j) in stored for j in range(ngram_lm.HASHES)):
+            q += 1
+        return q if q <= 1 else 2 ** (q - 0.5)
+    total, kinds = sum(words.values()), len(words)
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, _), (one, two) in zip(rows, each):
+        want, before = 0.0, one[-1]  # a text begins as often as it ends
+        for w, g in zip(one, two):
+            c2, p1 = seen(g), (seen(w) + 1) / (total + kinds + 1)
+            want += math.log10(ngram_lm.MIX * c2 / max(1, seen(before), c2) + (1 - ngram_lm.MIX) * p1)
+            before = w
+        assert got[i] == pytest.approx(want, rel=1e-9)

@@ -8,11 +8,12 @@ level after level until the first miss gives the level back. Scores are bigram
 probabilities mixed with add-one word probabilities, all from such probes.
 
 The filter is built in segments on the executors; its size follows the number
-of members and all levels are kept at every size. Up to ``MAX_BITS`` it is
-broadcast. Past that it stays where it is built: the distinct n-grams of the
-documents are sent to their segments, and the logarithms of the probabilities
-of their bigrams come back by a join (those of the most frequent bigrams, at
-most ``HEAD_WORDS``, by broadcast). Both ways probe the same bits.
+of members and all levels are kept at every size. Up to ``MAX_BITS`` (128 MB)
+it is broadcast. Past that it stays where it is built: the distinct n-grams of
+the documents are sent to their segments, and the logarithms of the
+probabilities of their bigrams come back by a join (those of the most frequent
+bigrams, at most ``HEAD_WORDS``, by broadcast). Both ways probe the same bits;
+the second one's work and disk grow in proportion to the corpus, too.
 
 The base score needs exact word counts. Frequent words (the largest count
 threshold under which at most ``HEAD_WORDS`` qualify) are broadcast; all other
@@ -37,7 +38,7 @@ from vigil.llm.grouping import whole_groups
 from vigil.session import materialize
 
 SEG_BITS = 10  # a broadcast filter has 2**SEG_BITS segments, by the top bits of the hash
-MAX_BITS = 28  # of a broadcast filter
+MAX_BITS = 30  # of a broadcast filter
 SEG_MOST = 20  # log2 of the bits of a segment that is not broadcast; larger filters have more segments
 MIN_BITS = 17
 HASHES = 2
@@ -49,6 +50,10 @@ BEGIN = np.uint64(0x2545F4914F6CDD1D)
 _ONE = np.uint64(1)
 
 
+def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return T.mix(before * np.uint64(0x9FB21C651E98DF25) + word) | _ONE
+
+
 def tokens(part: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then the end of each row), of the bigrams
     they close, and each row's first token. Word hashes are even, bigram
@@ -63,7 +68,7 @@ def tokens(part: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(out)
     before[1:] = out[:-1]
     before[off[:-1]] = BEGIN
-    return out, T.mix(before * np.uint64(0x9FB21C651E98DF25) + out) | _ONE, off
+    return out, pair(before, out), off
 
 
 def _count(batches):
@@ -87,17 +92,27 @@ def _count(batches):
 
 
 def _asked(batches):
-    """Bigrams of the texts: (h, the word they close, the word before it); a
-    text begins as often as it ends."""
+    """Bigrams of the texts: (the word they close, the word before it, or
+    BEGIN). Their hash follows from both and is not sent."""
     for batch in batches:
         for part in T.slices(batch.column(0)):
             one, two, off = tokens(part)
             before = np.empty_like(one)
             before[1:] = one[:-1]
-            before[off[:-1]] = END & ~_ONE
-            h, at = np.unique(two, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, one[at], before[at])],
-                                             names=["h", "word", "before"])
+            before[off[:-1]] = BEGIN
+            _, at = np.unique(two, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (one[at], before[at])],
+                                             names=["word", "before"])
+
+
+def _named(batches):
+    """(word, before) with the hash of the bigram; a text begins as often as it
+    ends, so the count of BEGIN is that of END."""
+    for batch in batches:
+        word, before = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        h = pair(before, word)
+        before = np.where(before == BEGIN, END & ~_ONE, before)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, word, before)], names=["h", "word", "before"])
 
 
 def _inner(h: np.ndarray, level: int, j: int, seg_bits: int) -> np.ndarray:
@@ -203,8 +218,8 @@ def _pair_scores(docs: DataFrame, members: DataFrame, bits: int, total: int, wor
     from a filter of ``members`` (h, q) that is probed segment by segment."""
     seg_bits = min(bits - SEG_BITS, SEG_MOST)
     seg = F.expr(f"shiftrightunsigned(h, {64 - (bits - seg_bits)})").alias("seg")
-    asked = materialize(docs.select("text").mapInArrow(_asked, "h long, word long, before long").groupBy("h").agg(
-        F.min("word").alias("word"), F.min("before").alias("before")), "ngram-asked")
+    asked = materialize(docs.select("text").mapInArrow(_asked, "word long, before long").distinct().mapInArrow(
+        _named, "h long, word long, before long"), "ngram-asked")
     single = asked.select(F.explode(F.array("word", "before")).alias("h")).distinct()
     rows = members.select(seg, "h", "q").unionByName(
         asked.select("h").unionByName(single).select(seg, "h", F.lit(0).alias("q")))
@@ -359,12 +374,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 at = pa.array(row)
                 rows = batch.column(0).slice(part.first, len(part))
                 none = lambda kind: pa.nulls(len(row), kind)
+                # a document's own row has a key as well, an odd one that is spread: no key is shared by all
+                own_key = T.mix(np.asarray(rows).view(np.uint64)) | _ONE
                 both = lambda a, b: pa.concat_arrays([a, b])
                 ids, held = (batch.column(k).slice(part.first, len(part)) for k in (1, 2))
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([
                     both(rows, rows.take(at)), both(ids, none(ids.type)), both(held, none(pa.bool_())),
-                    both(pa.nulls(n, pa.int64()), pa.array(h.view(np.int64))),
+                    both(pa.array(own_key.view(np.int64)), pa.array(h.view(np.int64))),
                     both(pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))),
                     both(pa.array(lens.astype(np.int64)), none(pa.int64())),
                     both(pa.array(known), none(pa.int64())), both(pa.array(base), none(pa.float64())),
@@ -376,7 +393,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     joined = found.join(rare, "h", "left")
     # a token without count adds log10(1) - floor; bigrams (odd) have no part in the base score
     rest = F.expr(f"if(h % 2 = 0, times * (log10(coalesce(c, 0) + 1D) - {floor!r}D), 0D)")
-    logp = F.coalesce("logp_row", F.expr("times * logp"), F.lit(0.0))
+    logp = F.coalesce("logp_row", F.expr("times * logp"), F.lit(0.0))  # a document's own row has logp_row
     return joined.groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
