@@ -159,7 +159,6 @@ class Filter:
 def _build(seg_bits: int, low: int):
     def run(batches):
         segs: dict[int, np.ndarray] = {}
-        size = (1 << seg_bits) >> 3
         for batch in batches:
             h = np.asarray(batch.column(0)).view(np.uint64)
             level = np.asarray(batch.column(1))
@@ -172,13 +171,14 @@ def _build(seg_bits: int, low: int):
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(seg)]):
                     if a == b:
                         continue
-                    data = segs.setdefault(int(seg[a]), np.zeros(size, dtype=np.uint8))
+                    if int(seg[a]) not in segs:
+                        segs[int(seg[a])] = np.zeros(1 << seg_bits, dtype=bool)
                     for j in range(HASHES):
-                        at = _bits(own[a:b], q, j, seg_bits) & ((1 << seg_bits) - 1)
-                        np.bitwise_or.at(data, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                        segs[int(seg[a])][_inner(own[a:b], q, j, seg_bits)] = True
         for s, data in segs.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary())],
-                                             names=["seg", "data"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([s], pa.int32()), pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())],
+                names=["seg", "data"])
     return run
 
 
