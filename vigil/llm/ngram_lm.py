@@ -337,20 +337,22 @@ def fit(train: DataFrame, docs: DataFrame):
         "h", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp"))
     members = counts.select("h", level.alias("q"))
     if bits <= MAX_BITS:
-        segments = members.repartition(F.expr(f"shiftrightunsigned(h, {64 - SEG_BITS})")).mapInArrow(
-            _build(bits - SEG_BITS, 1), "seg int, data binary")
+        segments = materialize(members.repartition(F.expr(f"shiftrightunsigned(h, {64 - SEG_BITS})")).mapInArrow(
+            _build(bits - SEG_BITS, 1), "seg int, data binary"), "ngram-filter")
         data = np.zeros((1 << bits) >> 3, dtype=np.uint8)
         size = (1 << (bits - SEG_BITS)) >> 3
-        for r in segments.collect():  # 2**MAX_BITS bits at most
-            data[r["seg"] * size:(r["seg"] + 1) * size] |= np.frombuffer(bytes(r["data"]), np.uint8)
+        for r in segments.toLocalIterator():  # 2**MAX_BITS bits at most, some files at a time
+            data[r["seg"] * size:(r["seg"] + 1) * size] |= np.frombuffer(r["data"], np.uint8)
         bloom: tuple = (data.tobytes(), bits)
+        del data
     else:
         pairs = _pair_scores(docs, members, bits, total, words)
         head = _head({r["q"]: r["count"] for r in pairs.groupBy("q").count().collect()})  # one row a level
         bloom = _sorted(pairs.where(F.col("q") >= head).select("h", "logp"))
         rest = rest.unionByName(pairs.where(F.col("q") < head).select("h", F.lit(None).cast("long").alias("c"), "logp"))
     top = _sorted(counts.where(f"h % 2 = 0 and n >= {least}L"))
-    return spark.sparkContext.broadcast((*top, total, words, bloom)), rest, (total, words)
+    shared = spark.sparkContext.broadcast((*top, total, words, bloom))
+    return shared, rest, (total, words)
 
 
 def held_out(id_col: str):
