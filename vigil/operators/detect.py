@@ -7,9 +7,9 @@
   ``groupBy(tree_id).applyInPandas`` over at most ~``max_samples`` rows; the
   node table (bounded by trees × (2·max_samples − 1)) is shipped to a
   vectorised pandas UDF that scores Arrow batches.
-* Reconstruction detector: MLlib PCA on standardized normal rows (a linear
-  autoencoder spans the principal subspace); the per-row squared residual
-  ‖x‖² − ‖Vᵀx‖² is a plain column expression.
+* Reconstruction detector: an autoencoder trained on standardized normal rows
+  (``network``). Beside it a linear one: MLlib PCA, whose per-row squared
+  residual ‖x‖² − ‖Vᵀx‖² is a plain column expression.
 * Ensemble: weighted blend of batch-min-max-normalised scores, with the
   weight grid searched in one grouped PR computation.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators import network
 from vigil.operators.series import SeriesSpec, row_index, running_totals
 
 # The 42 detector inputs, in reference order.
@@ -253,25 +254,25 @@ def iforest_score(df: DataFrame, model: IsolationForestModel, out: str = "iso_ra
     return df.withColumn(out, udf(F.struct(*[F.col(prefix + c).cast("double") for c in model.cols])))
 
 
-# --- reconstruction (PCA) detector ---------------------------------------------------
+# --- reconstruction detectors ----------------------------------------------------------
 
 @dataclass
-class ReconstructionModel:
+class SubspaceModel:
     components: np.ndarray  # d × k, orthonormal columns
     cols: tuple[str, ...]
 
 
-def reconstruction_fit(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, k: int = 16) -> ReconstructionModel:
+def subspace_fit(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, k: int = 16) -> SubspaceModel:
     """Principal subspace of the (already standardized) training rows."""
     from pyspark.ml.feature import PCA, VectorAssembler
     cols = tuple(cols)
     k = min(k, len(cols))
     va = VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="keep")
     model = PCA(k=k, inputCol="_x", outputCol="_p").fit(va.transform(df.select(*cols)))
-    return ReconstructionModel(model.pc.toArray(), cols)
+    return SubspaceModel(model.pc.toArray(), cols)
 
 
-def reconstruction_error(model: ReconstructionModel, prefix: str = "") -> Column:
+def subspace_error(model: SubspaceModel, prefix: str = "") -> Column:
     """Mean squared residual after projecting onto the subspace:
     (‖x‖² − ‖Vᵀx‖²) / d, as one JVM expression."""
     xs = [F.col(prefix + c).cast("double") for c in model.cols]
@@ -289,8 +290,19 @@ def reconstruction_error(model: ReconstructionModel, prefix: str = "") -> Column
     return F.greatest(sq - proj, F.lit(0.0)) / F.lit(float(len(xs)))
 
 
-def reconstruction_score(df: DataFrame, model: ReconstructionModel, out: str = "ae_raw", prefix: str = "") -> DataFrame:
-    return df.withColumn(out, reconstruction_error(model, prefix))
+def subspace_score(df: DataFrame, model: SubspaceModel, out: str = "pca_raw", prefix: str = "") -> DataFrame:
+    return df.withColumn(out, subspace_error(model, prefix))
+
+
+def reconstruction_fit(df: DataFrame, cols: Sequence[str] = FEATURE_COLS, seed: int = SEED, **more) -> network.Network:
+    """Autoencoder of the (already standardized) training rows."""
+    return network.fit(df, cols, seed, **more)
+
+
+def reconstruction_score(df: DataFrame, model: network.Network, out: str = "ae_raw", prefix: str = "") -> DataFrame:
+    """Mean squared reconstruction error of the columns ``prefix`` + input."""
+    udf = network.errors_udf(model)
+    return df.withColumn(out, udf(F.struct(*[F.col(prefix + c).cast("double") for c in model.cols])))
 
 
 # --- ensemble ------------------------------------------------------------------------
@@ -348,42 +360,3 @@ def join_predictions(pred: DataFrame, raw: DataFrame, on: Sequence[str] = ("time
     j = pred.join(r, list(on), "left")
     return j.fillna({"ground_truth_anomaly": 0, "anomaly_type": "normal"}).withColumn(
         "ground_truth_anomaly", F.col("ground_truth_anomaly").cast("int"))
-
-
-# --- artefacts ---------------------------------------------------------------------
-
-def save_detectors(spark, path: str, iso_stats: dict, iso_model: IsolationForestModel, ae_stats: dict,
-                   ae_model: ReconstructionModel, meta: dict | None = None) -> None:
-    """Scalers, forest nodes, principal components and a one-row metadata
-    table under ``path`` (all bounded by model size, not data size)."""
-    import json
-    rows = [(c, "iso", m, s) for c, (m, s) in iso_stats.items()] + \
-           [(c, "ae", m, s) for c, (m, s) in ae_stats.items()]
-    spark.createDataFrame(rows, "feature string, scaler string, mean double, std double") \
-        .coalesce(1).write.mode("overwrite").parquet(path + "/scalers")
-    spark.createDataFrame(iso_model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path + "/forest")
-    V = ae_model.components
-    comp = [(ae_model.cols[i], j, float(V[i, j])) for i in range(V.shape[0]) for j in range(V.shape[1])]
-    spark.createDataFrame(comp, "feature string, component int, loading double") \
-        .coalesce(1).write.mode("overwrite").parquet(path + "/components")
-    info = {"iso_cols": list(iso_model.cols), "psi": iso_model.psi, "ae_cols": list(ae_model.cols),
-            **(meta or {})}
-    spark.createDataFrame([(json.dumps(info),)], "metadata string").coalesce(1) \
-        .write.mode("overwrite").json(path + "/metadata")
-
-
-def load_detectors(spark, path: str):
-    import json
-    info = json.loads(spark.read.json(path + "/metadata").collect()[0]["metadata"])
-    sc = spark.read.parquet(path + "/scalers").toPandas()
-    iso_stats = {r.feature: (r.mean, r.std) for r in sc[sc.scaler == "iso"].itertuples()}
-    ae_stats = {r.feature: (r.mean, r.std) for r in sc[sc.scaler == "ae"].itertuples()}
-    iso_stats = {c: iso_stats[c] for c in info["iso_cols"]}
-    ae_stats = {c: ae_stats[c] for c in info["ae_cols"]}
-    nodes = spark.read.parquet(path + "/forest").toPandas()
-    iso_model = IsolationForestModel(nodes, tuple(info["iso_cols"]), int(info["psi"]))
-    comp = spark.read.parquet(path + "/components").toPandas()
-    pos = {c: i for i, c in enumerate(info["ae_cols"])}
-    V = np.zeros((len(pos), int(comp["component"].max()) + 1))
-    V[comp["feature"].map(pos).to_numpy(), comp["component"].to_numpy()] = comp["loading"].to_numpy()
-    return iso_stats, iso_model, ae_stats, ReconstructionModel(V, tuple(info["ae_cols"])), info

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from vigil.operators import detect as dt
 from vigil.operators import evaluate as ev
 from vigil.operators import features as fe
 from vigil.operators import forecast as fc
+from vigil.operators import ml
 from vigil.operators import quality as qa
+from vigil.operators.registry import GateFailed, Registry, threshold_gate
 from vigil.plans import sql as S
 from vigil.plans.registry import query
 from vigil.plans.scored import SPEC, zscore_features
@@ -135,7 +138,13 @@ def _fit_iforest(df: DataFrame):
 def _fit_reconstruction(df: DataFrame):
     normal = _train_rows(df).dropna(subset=FEATS).filter(F.col("is_anomaly") == 0)
     stats = dt.standardize_fit(normal, FEATS)
-    return stats, dt.reconstruction_fit(dt.standardize(normal, stats), FEATS, k=16)
+    return stats, dt.reconstruction_fit(dt.standardize(normal, stats), FEATS)
+
+
+def _fit_subspace(df: DataFrame):
+    normal = _train_rows(df).dropna(subset=FEATS).filter(F.col("is_anomaly") == 0)
+    stats = dt.standardize_fit(normal, FEATS)
+    return stats, dt.subspace_fit(dt.standardize(normal, stats), FEATS, k=16)
 
 
 def _fit_detectors(spark, sf_dir):
@@ -146,7 +155,7 @@ def _fit_detectors(spark, sf_dir):
 SCORED = ("event_id", "service", "timestamp", "is_anomaly", "anomaly_type", "split")
 
 
-def score_batch(df: DataFrame, iso=None, ae=None) -> DataFrame:
+def score_batch(df: DataFrame, iso=None, ae=None, pca=None) -> DataFrame:
     """Raw scores of the given detectors, each a pair (scaler, model), in one
     projection of the batch, then min-max normalised over it."""
     out = dt.fill_features(df.select(*SCORED, *FEATS))
@@ -157,6 +166,9 @@ def score_batch(df: DataFrame, iso=None, ae=None) -> DataFrame:
     if ae:
         out = dt.reconstruction_score(dt.standardize(out, ae[0], prefix="a_"), ae[1], "ae_raw", "a_")
         scores.append("ae")
+    if pca:
+        out = dt.subspace_score(dt.standardize(out, pca[0], prefix="p_"), pca[1], "pca_raw", "p_")
+        scores.append("pca")
     out = materialize(out.select(*SCORED, *[f"{s}_raw" for s in scores]), "scores")
     for s in scores:
         out, _, _ = dt.batch_minmax(out, f"{s}_raw", f"{s}_score")
@@ -191,10 +203,9 @@ def q_iforest_predict(spark, sf_dir):
 
 @query("reconstruction_fit")
 def q_reconstruction_fit(spark, sf_dir):
-    _, ae_model = _fit_reconstruction(materialize(detector_frame(spark, sf_dir)))
-    V = ae_model.components
-    rows = [(j, float((V[:, j] ** 2).sum()), FEATS[int(abs(V[:, j]).argmax())]) for j in range(V.shape[1])]
-    return publish(spark.createDataFrame(rows, "component int, squared_norm double, top_feature string"))
+    """Mean training loss of each epoch."""
+    _, model = _fit_reconstruction(materialize(detector_frame(spark, sf_dir)))
+    return publish(spark.createDataFrame([(i + 1, x) for i, x in enumerate(model.losses)], "epoch int, loss double"))
 
 
 @query("reconstruction_score")
@@ -206,9 +217,10 @@ def q_reconstruction_score(spark, sf_dir):
 @query("ensemble_model_report")
 def q_ensemble_model_report(spark, sf_dir):
     """Full detector pipeline: weights searched on validation, threshold
-    chosen on validation, report on the test part."""
+    chosen on validation, report on the test part; beside it the average
+    precision of each detector and of the linear reconstruction."""
     df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
-    s = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model))
+    s = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model), _fit_subspace(df))
     pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score",
                                      "is_anomaly").collect()[0]
     w_iso, w_ae = float(pick["w_iso"]), float(pick["w_ae"])
@@ -217,7 +229,9 @@ def q_ensemble_model_report(spark, sf_dir):
     thr = ev.best_f1_threshold(ev.pr_curve(val, "ensemble_score", "is_anomaly")).collect()[0]["threshold"]
     test = blended.filter(F.col("split") == "test")
     rep = ev.classification_report(test, "ensemble_score", "is_anomaly", float(thr))
-    return publish(rep.withColumn("w_iso", F.lit(round(w_iso, 2))).withColumn("w_ae", F.lit(round(w_ae, 2))))
+    each = {f"{c}_average_precision": F.lit(float(ev.average_precision(ev.pr_curve(test, f"{c}_score", "is_anomaly")).first()[0]))
+            for c in ("iso", "ae", "pca")}
+    return publish(rep.withColumn("w_iso", F.lit(round(w_iso, 2))).withColumn("w_ae", F.lit(round(w_ae, 2))).withColumns(each))
 
 
 # --- forecaster (randomised / iterative: rows-only) --------------------------------------
@@ -259,68 +273,118 @@ def q_forecast_recent(spark, sf_dir):
 
 @query("artifact_roundtrip")
 def q_artifact_roundtrip(spark, sf_dir):
-    """Save detectors (scalers, forest nodes, components, metadata) and the
+    """Save the detectors (scalers, forest, network: one pipeline) and the
     forecaster under the shared checkpoint folder, load them back and score
     with the loaded models. Published: loaded-model scores and whether they
     equal the in-memory models' scores."""
-    from pyspark.ml import PipelineModel
-    df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
+    df, *detectors = _fit_detectors(spark, sf_dir)
     base = scratch_path(spark, f"artifacts/{uuid.uuid4().hex}")
-    dt.save_detectors(spark, base + "/detectors", iso_stats, iso_model, ae_stats, ae_model,
-                      {"w_iso": dt.DEFAULT_W_ISO, "w_ae": dt.DEFAULT_W_AE})
-    l_iso_stats, l_iso, l_ae_stats, l_ae, meta = dt.load_detectors(spark, base + "/detectors")
-    before = score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model)).select(
-        "event_id", F.col("iso_score").alias("iso0"), F.col("ae_score").alias("ae0"))
-    after = score_batch(df, (l_iso_stats, l_iso), (l_ae_stats, l_ae))
-    frame, model = _fit_forecaster(spark, sf_dir)
-    model.write().overwrite().save(base + "/forecaster")
-    loaded = PipelineModel.load(base + "/forecaster")
-    fc_before = model.transform(frame).select("event_id", F.col("prediction").alias("p0"))
-    fc_after = loaded.transform(frame).select("event_id", F.col("prediction").alias("p1"))
-    scores = after.join(before, "event_id").join(fc_after, "event_id", "left").join(fc_before, "event_id", "left")
-    return publish(scores.select(
+    frame, forecaster = _fit_forecaster(spark, sf_dir)
+    rows = materialize(dt.fill_features(df.select(*SCORED, *FEATS)), "artifact-rows")
+
+    def scores(model, name):
+        raw = materialize(model.transform(rows).select("event_id", "iso_raw", "ae_raw"), name)
+        for c in ("iso", "ae"):
+            raw, _, _ = dt.batch_minmax(raw, f"{c}_raw", f"{c}_score")
+        return raw
+
+    saved = ml.detector_model(*detectors)
+    saved.write().overwrite().save(base + "/detectors")
+    forecaster.write().overwrite().save(base + "/forecaster")
+    loaded, loaded_fc = PipelineModel.load(base + "/detectors"), PipelineModel.load(base + "/forecaster")
+    before = scores(saved, "artifact-before").select("event_id", F.col("iso_score").alias("iso0"), F.col("ae_score").alias("ae0"))
+    after = scores(loaded, "artifact-after")
+    both = forecaster.transform(frame).withColumnRenamed("prediction", "p0")
+    both = loaded_fc.transform(both).select("event_id", "p0", F.col("prediction").alias("p1"))
+    return publish(after.join(before, "event_id").join(both, "event_id", "left").select(
         "event_id", F.round("iso_score", 4).alias("iso_score"), F.round("ae_score", 4).alias("ae_score"),
         F.round("p1", 2).alias("forecast_cpu"),
         ((F.col("iso_score") == F.col("iso0")) & (F.col("ae_score") == F.col("ae0"))
          & F.coalesce(F.col("p0") == F.col("p1"), F.lit(True))).alias("same_as_saved"),
-        F.lit(float(meta["w_iso"])).alias("w_iso")))
+        F.lit(dt.DEFAULT_W_ISO).alias("w_iso")))
 
 
-@query("retrain_if_drift")
-def q_retrain_if_drift(spark, sf_dir):
-    """Drift check → detectors retrain only on drift → forecaster always →
-    gate. Published: one row of what ran and the gate outcome."""
+# --- registry, gate and retraining ---------------------------------------------------------
+
+DETECTOR_GATE = threshold_gate(least={"precision": ev.MIN_PRECISION})
+FORECAST_GATE = threshold_gate(most={"mape": ev.MAX_MAPE})
+
+
+def _retrain(spark, sf_dir):
+    """One retraining: the models in force are the default blend and the lag-1
+    forecast (version 1); candidates are registered and promoted if they pass
+    their gate, which raises otherwise."""
+    base = scratch_path(spark, f"registry/{uuid.uuid4().hex}")
+    registry = Registry(spark, base + "/table")
     split = qa.temporal_split(load_panel(spark, sf_dir), SPEC, 0.8)
     drift = qa.drift_shift(split, keys=["service"])
-    state = {}
+    failed: dict[str, str] = {}
+
+    def candidate(name, path, metrics, settings, gate):
+        version = registry.register(name, path, metrics, settings)
+        try:
+            registry.promote(name, version, gate)
+        except GateFailed as e:  # the version before stays in force
+            failed[name] = str(e)
+
+    def blend(scored, w_iso, w_ae):
+        b = scored.withColumn("e", dt.ensemble_score(F.col("iso_score"), F.col("ae_score"), w_iso, w_ae))
+        best = ev.best_f1_threshold(ev.pr_curve(b.filter(F.col("split") == "validation"), "e", "is_anomaly")).first()
+        return ev.classification_report(b.filter(F.col("split") == "test"), "e", "is_anomaly",
+                                        float(best["threshold"])).first().asDict()
 
     def detectors():
-        df, iso_stats, iso_model, ae_stats, ae_model = _fit_detectors(spark, sf_dir)
-        return {"scored": score_batch(df, (iso_stats, iso_model), (ae_stats, ae_model))}
+        df, *models = _fit_detectors(spark, sf_dir)
+        ml.detector_model(*models).write().overwrite().save(base + "/detectors")
+        return {"scored": score_batch(df, models[:2], models[2:])}
 
     def ensemble(det):
         s = det["scored"]
-        pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score",
-                                         "is_anomaly").collect()[0]
-        b = s.withColumn("e", dt.ensemble_score(F.col("iso_score"), F.col("ae_score"), pick["w_iso"], pick["w_ae"]))
-        thr = ev.best_f1_threshold(ev.pr_curve(b.filter(F.col("split") == "validation"), "e", "is_anomaly")).collect()[0]
-        rep = ev.classification_report(b.filter(F.col("split") == "test"), "e", "is_anomaly", float(thr["threshold"]))
-        return rep.collect()[0].asDict()
+        default = blend(s, dt.DEFAULT_W_ISO, dt.DEFAULT_W_AE)
+        registry.promote("detector", registry.register("detector", base + "/detectors", default, {
+            "w_iso": dt.DEFAULT_W_ISO, "w_ae": dt.DEFAULT_W_AE}))
+        pick = dt.ensemble_weight_search(s.filter(F.col("split") == "validation"), "iso_score", "ae_score", "is_anomaly").first()
+        report = blend(s, pick["w_iso"], pick["w_ae"])
+        candidate("detector", base + "/detectors", report, {"w_iso": pick["w_iso"], "w_ae": pick["w_ae"]}, DETECTOR_GATE)
+        return report
 
     def forecaster():
         frame, model = _fit_forecaster(spark, sf_dir)
-        pred = fc.forecast_predict(model, frame.filter(F.col("split") == "test"))
-        return ev.regression_report(pred, "actual_cpu", "prediction").collect()[0].asDict()
-
-    def evaluate(ens, fcst):
-        state["precision"] = ens.get("precision")
-        state["mape"] = fcst.get("mape")
-        state["passed"] = (ens.get("precision") is None or ens["precision"] >= ev.MIN_PRECISION) and \
-            fcst["mape"] <= ev.MAX_MAPE
-
-    out = qa.retrain_if_drift(drift, detectors, forecaster, ensemble, evaluate)
-    return spark.createDataFrame([(bool(out["drift"]), state.get("precision"), state.get("mape"), bool(state["passed"]))],
-                                 "drift boolean, precision double, mape double, passed boolean")
+        model.write().overwrite().save(base + "/forecaster")
+        test = fc.forecast_predict(model, frame.filter(F.col("split") == "test"))
+        lag = f"{fc.TARGET}_lag_1"
+        registry.promote("forecaster", registry.register("forecaster", "", ev.regression_report(
+            test, "actual_cpu", lag).first().asDict(), {"model": "lag 1"}))
+        report = ev.regression_report(test, "actual_cpu", "prediction", lag).first().asDict()
+        candidate("forecaster", base + "/forecaster", report, {"rounds": len(model.stages[0].model().trees)}, FORECAST_GATE)
+        return report
+
+    out = qa.retrain_if_drift(drift, detectors, forecaster, ensemble, lambda *_: None)
+    return registry, out, failed
+
+
+@query("retrain_if_drift")
+def q_retrain_if_drift(spark, sf_dir):
+    """Drift check → detectors retrain only on drift → forecaster always →
+    gate. Published: one row of what ran, what passed and the versions in
+    force (a version that fails its gate is registered, not promoted)."""
+    registry, out, failed = _retrain(spark, sf_dir)
+    held = {m: (registry.promoted(m) or {}).get("version") for m in ("detector", "forecaster")}
+    return spark.createDataFrame(
+        [(bool(out["drift"]), out.get("ensemble", {}).get("precision"), out["forecast"]["mape"], not failed,
+          held["detector"], held["forecaster"], "; ".join(failed.values()))],
+        "drift boolean, precision double, mape double, passed boolean, detector_version long, forecaster_version long, "
+        "failed string")
+
+
+@query("model_registry")
+def q_model_registry(spark, sf_dir):
+    """Every version of the retrained models with its stored metrics and
+    whether it is in force."""
+    registry, _, _ = _retrain(spark, sf_dir)
+    metric = lambda c: F.col("metrics")[c].alias(c)
+    return publish(registry.status().select("model", "version", "promoted", *[metric(c) for c in (
+        "precision", "recall", "f1", "average_precision", "threshold", "mae", "rmse", "mape", "mape_improvement_pct")]))
 
 
 @query("model_top_anomalies")
