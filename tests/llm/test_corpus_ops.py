@@ -399,3 +399,46 @@ def test_lm_score_equals_a_plain_bloom_model(spark):
             want += math.log10(ngram_lm.MIX * c2 / max(1, seen(before), c2) + (1 - ngram_lm.MIX) * p1)
             before = w
         assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_tree_descent_keeps_every_pair_that_the_bound_allows():
+    rule, rng = jaccard.Join(4, 85), np.random.default_rng(11)
+    size = rng.integers(1, 400, 700)
+    points = np.stack([np.bincount(rng.integers(0, jaccard.GROUPS, n), minlength=jaccard.GROUPS) for n in size]).astype(np.int16)
+    points[350:] = points[:350]  # copies, so that pairs remain
+    size = points.sum(axis=1, dtype=np.int64)
+
+    def allowed(a, b):
+        over = np.minimum(points[a][:, None], points[b][None]).sum(axis=2, dtype=np.int64)
+        return over >= rule.needed(size[a][:, None], size[b][None])
+    one, two = jaccard.Tree(size, points), jaccard.Tree(size[:90], points[:90])
+    assert len(one.levels) == 3 and len(two.levels) == 2 and len(one.levels[-1][0]) == 1
+    for a, b in ((one, one), (one, two), (two, one)):
+        seen = np.zeros((len(a.order), len(b.order)), bool)
+        leaves = list(a.pairs(b, rule))
+        for p, q in leaves:
+            seen[np.ix_(a.order[p], b.order[q])] = True
+        if a is b:
+            seen |= seen.T
+        assert not (allowed(a.order, b.order)[np.ix_(np.argsort(a.order), np.argsort(b.order))] & ~seen).any()
+        assert 0 < len(leaves) < (len(a.levels[0][0]) * len(b.levels[0][0])) * 0.7
+
+
+def test_stage_keeps_texts_that_share_an_id_with_others(spark):
+    words = [f"w{i}" for i in range(80)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, text), (1, other), (2, text + " end"), (3, other + " end"), (None, "x " + text), (None, "lone text of five words")]
+    kept = stages.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), SF).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[5]], key=str)
+
+
+def test_clashing_columns_pass_through_every_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    extra = docs.selectExpr("*", "doc_id as row", "'h' as held", "'a' as at", "1 as id", "'c' as comp", "2 as sid", "'k' as key",
+                            "3 as n", "'x' as lang_pred", "'y' as _spans")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, SF), stage(spark, extra, SF)
+        assert out.columns == extra.columns, name
+        assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, out.select(*docs.columns).collect()), key=str)
+        assert out.where("row <=> doc_id and held = 'h' and comp = 'c'").count() == out.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, SF).count() == docs.count()

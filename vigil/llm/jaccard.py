@@ -10,16 +10,19 @@ two tree nodes at most that of their upper corners.
    (size band, group, contents). Groups with few shingles are left out unless a
    set has so many of them that all agreeing groups could be such; the rule is
    the same for both partners, so no linked pair is missed.
-3. Every class is first compared with one smaller class of its tiles. In tiles
-   that still hold several components, a packed R-tree over the points finds
-   which components have members whose bound allows a link.
-4. Those components (large ones in units of bounded size) are verified on the
+3. Each tile has a lead; every class is compared with the lead that it shares
+   most tiles with. The first leads are the classes in most tiles (the middle of
+   a family of near copies), later rounds draw others at random. Links make
+   components, and tiles within one component are closed.
+4. In tiles that still hold several components, a packed R-tree over the points
+   finds which components have members whose bound allows a link.
+5. Those components (large ones in units of bounded size) are verified on the
    whole shingle sets until a link is found. Sets are sent to groups of
-   components, not to pairs; links make components.
+   components, not to pairs; a group's shingles are bounded.
 
-Pairs of sets are never written, and within one component never formed, so a
-group of copies costs as much as its members. Large tiles are compared in
-blocks.
+A round writes one pair a class. After the rounds most families are one
+component each, and within a component no pair is formed, so a group of copies
+costs as much as its members. Large tiles are compared in blocks.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing (each is its own component); rows with equal sets link whatever their
@@ -35,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import textops as T
@@ -49,8 +52,10 @@ GROUPS, FULL = 256, 255
 BLOCK, LEAF = 2048, 16
 #: Members of a unit (a component or a part of a large one).
 UNIT = 1024
-#: Units next to one centre that are verified in one group.
-CENTRE = 512
+#: Shingles of the units next to one centre that are verified in one group.
+GROUP_SHINGLES = 1 << 22
+#: Rounds of comparing every class with one lead.
+ROUNDS = 4
 #: Unit pairs a task holds to write each of them once.
 HELD = 1 << 20
 #: Rows (set, group) of sets to fetch that are broadcast; more are joined by shuffle.
@@ -191,26 +196,51 @@ def _bounded(join: Join):
 
 class Tree:
     """Packed R-tree over points: leaves of LEAF points next to each other in
-    size and in their leading coordinates."""
+    size and in their leading coordinates, inner nodes of LEAF nodes. Level 0
+    are the leaves; a level holds the upper corner, the least and largest size
+    of each node and where its children begin."""
 
     def __init__(self, size: np.ndarray, points: np.ndarray):
         self.order = np.lexsort((*points.T[:4], size))
         self.size, self.points = size[self.order], points[self.order]
-        at = np.arange(0, len(points), LEAF)
-        self.at = np.append(at, len(points))
-        self.upper = np.maximum.reduceat(self.points, at, axis=0)
-        self.least = np.minimum.reduceat(self.size, at)
-        self.most = np.maximum.reduceat(self.size, at)
+        self.levels: list[tuple] = []
+        upper, least, most = self.points, self.size, self.size
+        while not self.levels or len(upper) > 1:
+            at = np.arange(0, len(upper), LEAF)
+            upper, least, most = np.maximum.reduceat(upper, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((upper, least, most, np.append(at, len(self.levels[-1][0]) if self.levels else len(size))))
+
+    def level(self, k: int) -> tuple:
+        """Level ``k``; above the root, the root as its own parent."""
+        if k < len(self.levels):
+            return self.levels[k]
+        upper, least, most, _ = self.levels[-1]
+        return upper, least, most, np.array([0, 1])
 
     def pairs(self, other: Tree, join: Join):
-        """(rows of self, rows of other) of leaf pairs that may hold links."""
-        for i in range(len(self.at) - 1):
-            bound = np.minimum(self.upper[i], other.upper).sum(axis=1, dtype=np.int64)
-            ok = bound >= join.needed(self.least[i], other.least)
-            ok &= (self.most[i] * 100 >= join.percent * other.least) & (other.most * 100 >= join.percent * self.least[i])
-            for j in np.flatnonzero(ok):
-                if other is not self or j >= i:
-                    yield slice(self.at[i], self.at[i + 1]), slice(other.at[j], other.at[j + 1])
+        """(rows of self, rows of other) of leaf pairs that may hold links, by
+        descending both trees at once."""
+        top = max(len(self.levels), len(other.levels)) - 1
+        i = j = np.zeros(1, dtype=np.int64)
+        for k in range(top, -1, -1):
+            one, two = self.level(k), other.level(k)
+            ok = np.zeros(len(i), dtype=bool)
+            for a in range(0, len(i), 4096):
+                p, q = i[a:a + 4096], j[a:a + 4096]
+                bound = np.minimum(one[0][p], two[0][q]).sum(axis=1, dtype=np.int64)
+                fits = bound >= join.needed(one[1][p], two[1][q])
+                fits &= (one[2][p] * 100 >= join.percent * two[1][q]) & (two[2][q] * 100 >= join.percent * one[1][p])
+                ok[a:a + 4096] = fits
+            i, j = i[ok], j[ok]
+            if k:  # children of both; within one tree each pair of nodes once
+                m, n = one[3][i + 1] - one[3][i], two[3][j + 1] - two[3][j]
+                at = np.repeat(np.arange(len(i)), m * n)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(m * n) - m * n, m * n)
+                i, j = one[3][i][at] + place // n[at], two[3][j][at] + place % n[at]
+                if other is self:
+                    i, j = i[j >= i], j[j >= i]
+        for p, q in zip(i.tolist(), j.tolist()):
+            yield slice(self.levels[0][3][p], self.levels[0][3][p + 1]), slice(other.levels[0][3][q], other.levels[0][3][q + 1])
 
 
 def tile_pairs(join: Join, comp: np.ndarray, unit: np.ndarray, size: np.ndarray, points: np.ndarray,
@@ -316,8 +346,9 @@ def _fetch(width: int):
 def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
          row_col: str | None = None) -> DataFrame:
     """Per document: ``id_col`` (an integer), n_shingles, component_id and, if
-    given, the long column ``row_col`` (as ``row``)."""
-    rule = Join(width, percent)
+    ``row_col`` is given, this long column (as ``row``) and ``comp``, the
+    component itself (ids may repeat; null for an empty set)."""
+    rule, spark = Join(width, percent), docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"),
@@ -326,12 +357,18 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     light = materialize(own.select("doc", "text", "rid", "row").mapInArrow(
         _describe(width), "doc long, rid long, row long, n long, sid long, point binary"), "jaccard-light")
     classes = light.where("sid is not null").groupBy("sid").agg(
-        F.min("rid").alias("rid"), F.first("point").alias("point"))
+        F.min("rid").alias("rid"), F.first("point").alias("point"), F.first("n").alias("n"))
 
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+    # keys of several classes by a partial aggregate, so that no key is one task's
     keyed = own.select("text").mapInArrow(_tile_keys(rule), "key long, sid long")
-    tile = Window.partitionBy("key")
-    tiles = materialize(keyed.select("key", "sid", F.min("sid").over(tile).alias("lead"),
-                                     F.max("sid").over(tile).alias("top")).where("lead < top").drop("top"), "jaccard-tiles")
+    shared = materialize(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(
+        "lo < hi").select("key"), "jaccard-keys")
+    tiles = materialize(keyed.join(small(shared, shared.count()), "key").distinct(), "jaccard-tiles")
+    # a class in many shared tiles is in the middle of its family
+    tiles = tiles.join(tiles.groupBy("sid").agg(F.count("*").alias("deg")), "sid")
     points = classes.select("sid", "point")
 
     def verified(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -339,15 +376,16 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         sets (sid, unit). A pair goes to the group of its centre, the smallest
         unit next to either end, so that dense families share a group; a set is
         made from one document's text and sent once to each of its groups.
-        Centres with many units have several groups."""
+        Centres with many shingles around them have several groups."""
         pairs = materialize(pairs, f"jaccard-{name}-pairs")
         ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(
             pairs.select(F.col("a").alias("x"), F.col("a").alias("y")))
         centre = ends.groupBy("x").agg(F.min("y").alias("m"))
         homes = pairs.join(centre.toDF("a", "ma"), "a").join(centre.toDF("b", "mb"), "b").select(
             "a", "b", F.least("ma", "mb").alias("m"))
-        load = homes.groupBy("m").agg(F.countDistinct("b").alias("k")).select(
-            "m", F.ceil(F.col("k") / CENTRE).alias("parts"))
+        weight = members.join(classes.select("sid", "n"), "sid").groupBy("unit").agg(F.sum("n").alias("w"))
+        near = homes.select("m", F.explode(F.array("a", "b")).alias("unit")).distinct()
+        load = near.join(weight, "unit").groupBy("m").agg(F.ceil(F.sum("w") / GROUP_SHINGLES).alias("parts"))
         homes = materialize(homes.join(load, "m").select("a", "b", F.xxhash64(
             "m", F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")).alias("grp")), f"jaccard-{name}-homes")
         groups = homes.select("grp", F.col("a").alias("unit")).unionByName(homes.select("grp", F.col("b").alias("unit")))
@@ -362,20 +400,37 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         return materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(
             _verify(rule), "a long, b long").distinct(), f"jaccard-{name}-links")
 
-    first = tiles.where("sid != lead").groupBy(F.col("sid").alias("b")).agg(F.min("lead").alias("a"))
-    first = first.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
-        "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
-    links = verified(first, classes.select("sid", F.col("sid").alias("unit")), "first")
+    # rounds: every class with the lead of another component that it shares most tiles with
+    single = classes.select("sid", F.col("sid").alias("unit"))
+    links = spark.createDataFrame([], "a long, b long")
+    comps = spark.createDataFrame([], "sid long, comp long")
+    for r in range(ROUNDS):
+        placed = tiles.join(comps, "sid", "left").select("key", "sid", "deg", F.coalesce("comp", "sid").alias("comp"))
+        rank = F.struct("deg", "sid") if r == 0 else F.struct(F.xxhash64(F.lit(r), "sid"), "sid")
+        heads = materialize(placed.groupBy("key").agg(
+            F.max_by(F.struct(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp")), rank).alias("h"),
+            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "h.*"), "jaccard-heads")
+        asked = placed.join(small(heads, heads.count()), "key").where("comp != lead_comp").groupBy("sid", "lead").agg(
+            F.count("*").alias("shared")).groupBy("sid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
+        asked = asked.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+        asked = asked.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
+            "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
+        found = verified(asked, single, f"round{r}")
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        comps = materialize(components(links).toDF("sid", "comp"), "jaccard-comps")
 
-    comps = components(links)
     parts = comps.groupBy("comp").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
-    comps = materialize(comps.join(parts, "comp").select(F.col("node").alias("sid"), "comp", F.when(
-        F.col("parts") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("node"), "parts"))).alias("unit")),
-        "jaccard-comps")
-    placed = tiles.select("key", "sid").join(comps, "sid", "left").select(
+    units = materialize(comps.join(parts, "comp").select("sid", "comp", F.when(
+        F.col("parts") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("sid"), "parts"))).alias("unit")),
+        "jaccard-units")
+    placed = tiles.join(units, "sid", "left").select(
         "key", "sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("unit", "sid").alias("unit"))
-    open_tiles = placed.select("*", F.min("comp").over(tile).alias("lo"), F.max("comp").over(tile).alias("hi"),
-                               F.ceil(F.count("*").over(tile) / BLOCK).cast("int").alias("blocks")).where("lo < hi")
+    still = materialize(placed.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(
+        "lo < hi").select("key", "blocks"), "jaccard-open")
+    open_tiles = placed.join(small(still, still.count()), "key")
     # a tile of several blocks is compared block by block; rows go to the blocks they meet
     mine = F.expr("cast(pmod(xxhash64(sid), blocks) as int)")
     spread = open_tiles.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -386,8 +441,8 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         .otherwise(1).alias("side"))
     spread = spread.join(points, "sid").repartition("tile").sortWithinPartitions("tile")
     rest = spread.select("tile", "comp", "unit", "side", "point").mapInArrow(_tile_join(rule), "a long, b long").distinct()
-    single = classes.select("sid").join(comps, "sid", "left_anti").select("sid", F.col("sid").alias("unit"))
-    more = verified(rest, single.unionByName(comps.select("sid", "unit")), "rest")
+    alone = classes.select("sid").join(comps, "sid", "left_anti").select("sid", F.col("sid").alias("unit"))
+    more = verified(rest, alone.unionByName(units.select("sid", "unit")), "rest")
     final = components(links.unionByName(more))
 
     label = light.join(final.toDF("sid", "comp"), "sid", "left").select(
@@ -395,5 +450,5 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     least = label.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
     out = label.join(least, "comp", "left").select(
         F.col("doc").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"), "row")
-    return out if row_col is not None else out.drop("row")
+        F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"), "row", "comp")
+    return out if row_col is not None else out.drop("row", "comp")

@@ -30,19 +30,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of the smallest id (of rows
-    that share it, the first). Documents without words all stay."""
+    """One document of each component: the one of the smallest id (null ids
+    last; of rows that share it, the first). Documents without words all stay."""
     from vigil.llm.jaccard import join
     small_batches(spark)
     at = f"row_{uuid.uuid4().hex}"
     # written once: the names follow how the scan is cut, which differs between scans
     named = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "pipeline-named")
-    groups = join(named, row_col=at).where("n_shingles > 0")
-    # in a component: rows of its id first; a component without ids is told by nothing but null
-    own = groups.where("doc_id <=> component_id")
-    first = own.where("component_id is not null").groupBy("component_id").agg(F.min("row").alias("first"))
-    gone = groups.join(first, "component_id", "left").where(
-        "component_id is not null and row != first").select(F.col("row").alias(at))
+    groups = materialize(join(named, row_col=at).where("comp is not null").select("comp", "doc_id", "row"), "pipeline-groups")
+    # of a component the row of the smallest id (null last), of these the first
+    first = groups.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))
+    gone = groups.join(first, "comp").where("row != first.row").select(F.col("row").alias(at))
     gone = materialize(gone, "pipeline-gone")
     small = gone.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     return named.join(F.broadcast(gone) if small else gone, at, "left_anti").select(*[f"`{c}`" for c in docs.columns])
