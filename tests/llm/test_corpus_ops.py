@@ -442,3 +442,16 @@ def test_clashing_columns_pass_through_every_stage(spark):
         assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, out.select(*docs.columns).collect()), key=str)
         assert out.where("row <=> doc_id and held = 'h' and comp = 'c'").count() == out.count()
     assert corpus_pipeline.STAGES[-1][1](spark, extra, SF).count() == docs.count()
+
+
+def test_keys_of_several_sets_are_kept_once_whatever_the_batches():
+    import pyarrow as pa
+    rnd = random.Random(3)
+    for _ in range(200):
+        rows = sorted((rnd.randrange(6), rnd.randrange(4)) for _ in range(rnd.randrange(1, 30)))
+        want = sorted({r for r in rows if len({s for k, s in rows if k == r[0]}) > 1})
+        cuts = [0, *sorted(rnd.randrange(len(rows) + 1) for _ in range(4)), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in (0, 1)], names=["key", "sid"])
+                   for a, b in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for b in jaccard._crowded(batches) for r in b.to_pylist()]
+        assert got == want

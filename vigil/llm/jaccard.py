@@ -54,7 +54,8 @@ BLOCK, LEAF = 2048, 16
 UNIT = 1024
 #: Shingles of the units next to one centre that are verified in one group.
 GROUP_SHINGLES = 1 << 22
-#: Rounds of comparing every class with one lead.
+#: Most rounds of comparing every class with one lead; a round in which most
+#: of them link is the last.
 ROUNDS = 4
 #: Unit pairs a task holds to write each of them once.
 HELD = 1 << 20
@@ -184,6 +185,28 @@ def _tile_keys(join: Join):
     return run
 
 
+def _crowded(batches):
+    """Rows sorted by (key, sid) -> each pair once, of keys with several sets.
+    Only one row is held at a time, however many share a key."""
+    held = None  # the last row so far: its key, set and whether it was given out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sid = (batch.column(k).to_numpy() for k in (0, 1))
+        if held is not None:
+            key, sid = np.append(held[0], key), np.append(held[1], sid)
+        new = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+        key, sid = key[new], sid[new]
+        same = key[1:] == key[:-1]
+        crowd = np.append(False, same) | np.append(same, False)
+        if held is not None:
+            crowd[0] &= not held[2]
+        last = bool(crowd[-1]) or (held is not None and held[2] and len(key) == 1)
+        out = np.flatnonzero(crowd)
+        held = (key[-1], sid[-1], last)
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(sid[out])], names=["key", "sid"])
+
+
 def _bounded(join: Join):
     """Pairs whose summed coordinate minima allow a link."""
     def run(batches):
@@ -358,17 +381,9 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         _describe(width), "doc long, rid long, row long, n long, sid long, point binary"), "jaccard-light")
     classes = light.where("sid is not null").groupBy("sid").agg(
         F.min("rid").alias("rid"), F.first("point").alias("point"), F.first("n").alias("n"))
-
-    def small(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-    # keys of several classes by a partial aggregate, so that no key is one task's
     keyed = own.select("text").mapInArrow(_tile_keys(rule), "key long, sid long")
-    shared = materialize(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(
-        "lo < hi").select("key"), "jaccard-keys")
-    tiles = materialize(keyed.join(small(shared, shared.count()), "key").distinct(), "jaccard-tiles")
-    # a class in many shared tiles is in the middle of its family
-    tiles = tiles.join(tiles.groupBy("sid").agg(F.count("*").alias("deg")), "sid")
+    tiles = materialize(keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(
+        _crowded, "key long, sid long"), "jaccard-tiles")
     points = classes.select("sid", "point")
 
     def verified(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -377,7 +392,6 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         unit next to either end, so that dense families share a group; a set is
         made from one document's text and sent once to each of its groups.
         Centres with many shingles around them have several groups."""
-        pairs = materialize(pairs, f"jaccard-{name}-pairs")
         ends = pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(
             pairs.select(F.col("a").alias("x"), F.col("a").alias("y")))
         centre = ends.groupBy("x").agg(F.min("y").alias("m"))
@@ -405,21 +419,26 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "sid long, comp long")
     for r in range(ROUNDS):
-        placed = tiles.join(comps, "sid", "left").select("key", "sid", "deg", F.coalesce("comp", "sid").alias("comp"))
-        rank = F.struct("deg", "sid") if r == 0 else F.struct(F.xxhash64(F.lit(r), "sid"), "sid")
-        heads = materialize(placed.groupBy("key").agg(
-            F.max_by(F.struct(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp")), rank).alias("h"),
+        placed = tiles.join(comps, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+        if r == 0:  # a class in many tiles is in the middle of its family
+            ranked = placed.join(tiles.groupBy("sid").agg(F.count("*").alias("rank")), "sid")
+        else:
+            ranked = placed.withColumn("rank", F.xxhash64(F.lit(r), "sid"))
+        heads = materialize(ranked.groupBy("key").agg(
+            F.max_by(F.struct(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp")), F.struct("rank", "sid")).alias("h"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "h.*"), "jaccard-heads")
-        asked = placed.join(small(heads, heads.count()), "key").where("comp != lead_comp").groupBy("sid", "lead").agg(
+        asked = placed.join(heads, "key").where("comp != lead_comp").groupBy("sid", "lead").agg(
             F.count("*").alias("shared")).groupBy("sid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
         asked = asked.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
-        asked = asked.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
-            "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long")
+        asked = materialize(asked.join(points.toDF("a", "pa"), "a").join(points.toDF("b", "pb"), "b").select(
+            "a", "b", "pa", "pb").mapInArrow(_bounded(rule), "a long, b long"), "jaccard-asked")
         found = verified(asked, single, f"round{r}")
-        if not found.limit(1).count():
-            break
         links = links.unionByName(found)
-        comps = materialize(components(links).toDF("sid", "comp"), "jaccard-comps")
+        new = found.count()
+        if new:
+            comps = materialize(components(links).toDF("sid", "comp"), "jaccard-comps")
+        if 2 * new >= asked.count():  # most are linked; or nothing is left to ask
+            break
 
     parts = comps.groupBy("comp").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
     units = materialize(comps.join(parts, "comp").select("sid", "comp", F.when(
@@ -430,7 +449,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     still = materialize(placed.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(
         "lo < hi").select("key", "blocks"), "jaccard-open")
-    open_tiles = placed.join(small(still, still.count()), "key")
+    open_tiles = placed.join(still, "key")
     # a tile of several blocks is compared block by block; rows go to the blocks they meet
     mine = F.expr("cast(pmod(xxhash64(sid), blocks) as int)")
     spread = open_tiles.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -440,7 +459,8 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         "sid", "comp", "unit", F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
         .otherwise(1).alias("side"))
     spread = spread.join(points, "sid").repartition("tile").sortWithinPartitions("tile")
-    rest = spread.select("tile", "comp", "unit", "side", "point").mapInArrow(_tile_join(rule), "a long, b long").distinct()
+    rest = materialize(spread.select("tile", "comp", "unit", "side", "point").mapInArrow(
+        _tile_join(rule), "a long, b long").distinct(), "jaccard-pairs")
     alone = classes.select("sid").join(comps, "sid", "left_anti").select("sid", F.col("sid").alias("unit"))
     more = verified(rest, alone.unionByName(units.select("sid", "unit")), "rest")
     final = components(links.unionByName(more))
