@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -306,3 +307,88 @@ def test_language_id_edge_cases(spark):
     assert identify(df.limit(0)).collect() == []
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in identify(unlabelled).collect()} == {("und", 0.0)}
+
+
+def test_page_parts_beside_the_article():
+    body = "<p>" + "A sentence of the article, with commas and words. " * 8 + "</p>"
+    want = " ".join(("A sentence of the article, with commas and words. " * 8).split())
+    for name in ("ad-slot", "main-nav", "user-comments", "responses", "reviews", "google-ad-unit", "top-banner", "post-comments"):
+        for part in (f'<div class="{name}">Some <b>words</b> that are not of it</div>',
+                     f'<section id="{name}"><p>Some words</p><p>more of them here</p></section>'):
+            assert main_text(f"<article>{body}{part}</article>") == want, name
+            assert main_text(f"<div><div>{body}</div>{part}</div>") == want, name
+    for name in ("has-comments", "related-work", "no-sidebar", "article-header", "social-history", "ad-hoc"):
+        assert main_text(f'<article><div class="{name}">Title here</div>{body}</article>') == "Title here " + want, name
+    assert main_text(f"<article>{body}<figure><img><figcaption>A caption</figcaption></figure></article>") == want + " A caption"
+    assert main_text(f"<article>{body}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") in (
+        want + " so x=1", want + " so x = 1")
+    assert main_text(f'<div data-2="style=display:none">{body}</div>') == want
+    assert main_text(f'<article>{body}<p data-v1="x class=sidebar y">Kept too</p></article>') == want + " Kept too"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+    n = 1_000_000
+    start = time.time()
+    for page in ("<p " + "x" * n + ">a</p>", "<p " + "a-" * (n // 2) + ">a</p>", '<a "' * (n // 4), "<a '\"" * (n // 5),
+                 "<script>" + "</script " * (n // 9), "<!--" * (n // 4), "<p" + " x" * (n // 2) + ">a</p>",
+                 "<p " + "a= " * (n // 3) + ">a</p>", "<" * n, "<div>" * (n // 20), "</p>" * (n // 4)):
+        main_text(page)
+    assert time.time() - start < 60
+
+
+def test_densities_and_selection_equal_a_plain_version():
+    """Counts, densities and the body path restated by recursion."""
+    from vigil.llm import html as H
+    rnd = random.Random(4)
+
+    def page(depth):
+        if depth == 0 or rnd.random() < 0.25:
+            return "word " * rnd.randrange(1, 30)
+        tag = rnd.choice(["div", "div", "span", "a", "ul"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(rnd.randrange(1, 5))) + f"</{tag}>"
+
+    def kids(x):
+        return [k for k in x.kids if not isinstance(k, str) and not k.drop]
+
+    def own(x):
+        return sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+
+    def chars(x):
+        return own(x) + sum(map(chars, kids(x)))
+
+    def tags(x):
+        return sum(1 + tags(k) for k in kids(x))
+
+    def link_chars(x):
+        return chars(x) if x.tag == "a" else sum(map(link_chars, kids(x)))
+
+    def link_tags(x):
+        return (x.tag == "a") + sum(map(link_tags, kids(x)))
+    for _ in range(60):
+        root = H.parse(page(5))
+
+        def density(x):
+            c, lc = chars(x), link_chars(x)
+            if not c:
+                return 0.0
+            ratio = c / max(1, lc) * max(1, tags(x)) / max(1, link_tags(x))
+            base = c / max(1, c - lc) * lc + link_chars(root) / max(1, chars(root)) * c + math.e
+            return c / max(1, tags(x)) * math.log(max(1.0, ratio)) / (1.0 + math.log(math.log(base)))
+
+        def all_(x):
+            return [x] + [y for k in kids(x) for y in all_(k)]
+        nodes = all_(root)
+        total = {x: sum(map(density, kids(x))) + own(x) for x in nodes}
+        got = H.select(root)
+        top = max(total.values())
+        best = next(x for x in nodes if total[x] == pytest.approx(top))
+        path, x = [density(root)], best
+        while x is not root:
+            path.append(density(x))
+            x = x.parent
+        while best is not root and density(best.parent) >= min(path):
+            best = best.parent
+        for x in nodes:
+            assert x.density == pytest.approx(density(x)) and x.total == pytest.approx(total[x])
+        assert got is best

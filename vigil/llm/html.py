@@ -2,8 +2,10 @@
 
 Each page becomes a small DOM. Elements that never hold article text (by tag,
 role or class) are left out of all counts. A class, id or role counts by its
-whole names; a name that only has such a word in it ("has-sidebar",
-"related-work") marks an element if most of its text is in links. An element
+whole names, or by their last word if that alone says what the element is
+("user-comments", "ad-slot"); a name that only has such a word in it
+("has-sidebar", "related-work") marks an element if most of its text is in
+links. An element
 that encloses an article or main element is never left out for its tag or
 names, nor is one that holds most of the page's text outside links (unless the
 page has an article element elsewhere), nor a header in an article for being
@@ -14,8 +16,12 @@ widened to its parents while their density reaches the least density on the
 path from it to the page body (an enclosing article or main element is taken
 whole).
 
+Every pattern is possessive or tried once a place, so markup of any length is
+read in linear time.
+
 Defined results: a null or empty page and one without text give the empty
-string; broken markup is read as far as it goes; no text is cut; repeated rows
+string; of equal density sums the first node in page order, outer before inner,
+is the body; broken markup is read as far as it goes; no text is cut; repeated rows
 keep their multiplicity; nulls in other columns stay; an empty table gives an
 empty table.
 """
@@ -30,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\s(hidden)\b", re.S)
+_ATTR = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.S)
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe xmp svg math".split())
+RAW = frozenset("script style textarea title template noscript iframe xmp".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var".split())
+_END = {x: re.compile(rf"</{x}\b", re.I) for x in RAW}
 DROP = RAW | frozenset("nav footer aside form button select option dialog menu head object audio video canvas "
-                       "figcaption map input datalist fieldset".split())
+                       "input datalist fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption "
                      "figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
@@ -51,10 +58,17 @@ NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising banner
                         "navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie "
                         "cookies consent notice popup modal newsletter subscribe share sharing social related "
                         "recommended comment comments disqus reply replies respond widget pagination pager login "
-                        "signup search toolbar contentinfo complementary".split())
+                        "signup search toolbar contentinfo complementary responses reviews remarks discussion".split())
+# Of these, words that tell what an element is as the last word of a name.
+LAST = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation "
+                 "menu breadcrumb breadcrumbs sidebar cookie cookies newsletter popup modal comment comments disqus "
+                 "replies responses reviews pagination pager".split())
+# First words of names that tell about something else in the page.
+OTHER = frozenset("has no with without not is hide show".split())
 # Words that only say where or in what shape an element stands.
 PLACE = frozenset("site top bottom left right inner outer wrap wrapper container box bar block area section list item "
-                  "items link links primary secondary global mobile desktop widget widgets".split())
+                  "items link links primary secondary global mobile desktop widget widgets slot unit zone "
+                  "space holder frame".split())
 _WORD = re.compile(r"[a-z]+")
 ARTICLE = frozenset(("article", "main"))
 HEADER = frozenset(("header", "masthead"))
@@ -77,13 +91,12 @@ def _attributes(tag: str) -> tuple[set[str], bool]:
     """Names in class, id and role, and whether the element is hidden."""
     words: set[str] = set()
     hidden = False
-    for m in _ATTR.finditer(tag):
-        if m[5]:
-            hidden = True
-            continue
+    for m in _ATTR.finditer(tag, _NAME.match(tag).end()):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
             words.update(value.split())
+        elif name == "hidden":
+            hidden = True
         elif name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
     return words, hidden
@@ -94,9 +107,11 @@ def _mark(names: set[str], ignore: frozenset[str] = frozenset()) -> int:
     only a part of a name does, or 0."""
     found = 0
     for name in names:
-        words = set(_WORD.findall(name))
+        order = _WORD.findall(name)
+        words = set(order)
         if marks := words & NOT_ARTICLE - ignore:
-            if words <= marks | PLACE:
+            last = next((w for w in reversed(order) if w not in PLACE), "")
+            if words <= marks | PLACE or last in LAST and order[0] not in OTHER:
                 return NAMED
             found = UNSURE
     return found
@@ -183,8 +198,9 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = _END[tag].search(page, at)
+            shut = page.find(">", end.end()) if end else -1
+            at = shut + 1 if shut >= 0 else n
             continue
         if tag in CLOSES_P and (x := enclosing(("p",), ("table", "td", "button"))) is not None:
             close(x)
