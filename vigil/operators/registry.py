@@ -45,6 +45,13 @@ class Registry:
         self._append("version", model, version, path, known, json.dumps(settings or {}))
         return version
 
+    def version(self, model: str, version: int) -> dict:
+        """One registered version."""
+        r = self.rows().where((F.col("model") == model) & (F.col("version") == version) & (F.col("kind") == "version")).first()
+        if r is None:
+            raise KeyError(f"{model} has no version {version}")
+        return r.asDict()
+
     def promoted(self, model: str) -> dict | None:
         """Version, path, metrics and settings in force."""
         r = self.rows().where((F.col("model") == model) & (F.col("kind") == "promoted")).orderBy(
@@ -54,9 +61,7 @@ class Registry:
     def promote(self, model: str, version: int, gate=None) -> None:
         """Put a version in force. ``gate(metrics)`` names what fails, if
         anything; then ``GateFailed`` is raised and nothing changes."""
-        r = self.rows().where((F.col("model") == model) & (F.col("version") == version) & (F.col("kind") == "version")).first()
-        if r is None:
-            raise KeyError(f"{model} has no version {version}")
+        r = self.version(model, version)
         failed = gate(r["metrics"]) if gate else []
         if failed:
             raise GateFailed(f"{model} version {version}: {', '.join(failed)}")
