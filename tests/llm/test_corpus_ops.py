@@ -455,3 +455,13 @@ def test_keys_of_several_sets_are_kept_once_whatever_the_batches():
                    for a, b in zip(cuts, cuts[1:])]
         got = [tuple(r.values()) for b in jaccard._crowded(batches) for r in b.to_pylist()]
         assert got == want
+
+
+def test_windows_shared_by_many_items(spark):
+    from vigil.llm.decontaminate import decontaminate
+    window = " ".join(f"w{i}" for i in range(10))
+    items = [(f"i{k}", window + f" own{k}") for k in range(500)]
+    docs = [(1, ("x " + window + " ") * 300), (2, "nothing of it"), (3, "y " * 200_000 + window)]
+    out = {r.doc_id: r for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"),
+                                              spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert (out[1].n_hit, out[1].n_items, out[2].n_hit, out[3].n_hit, out[3].n_items) == (3000, 500, 0, 10, 500)

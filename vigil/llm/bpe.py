@@ -92,6 +92,7 @@ class Codec:
                     keys.append(left << 32 | right)
                     values.append(rank)
         self.pairs = PairTable(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64))
+        self.token_of = {r: t for t, r in ranks.items()}
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.single < 0).any():
             raise ValueError("the rank table lacks single bytes")
@@ -157,12 +158,10 @@ class Codec:
         first = self.pairs.get(np.array(ids[:-1]), np.array(ids[1:]))
         heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r < NONE]
         heapq.heapify(heap)
-        token = {r: t for t, r in self.ranks.items()}
-
         def offer(i: int) -> None:
             k = after[i]
             if k < n:
-                r = self.ranks.get(token[ids[i]] + token[ids[k]])
+                r = self.ranks.get(self.token_of[ids[i]] + self.token_of[ids[k]])
                 if r is not None:
                     heapq.heappush(heap, (r, i, ids[i], ids[k]))
 

@@ -61,7 +61,15 @@ class WindowSet:
             bits = max(16, int(len(h) * 16).bit_length())
             seen = np.zeros(1 << bits, dtype=bool)
             seen[h & ((1 << bits) - 1)] = True
-            self.by_len[m] = (h, item, at, seen, (1 << bits) - 1)
+            # distinct windows: their words, and the items that have each
+            keys, first = np.unique(h, return_index=True)
+            windows: list[dict[bytes, np.ndarray]] = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)]):
+                own: dict[bytes, list[int]] = {}
+                for k in range(a, b):
+                    own.setdefault(b" ".join(self.words[item[k]][at[k]:at[k] + m]), []).append(int(item[k]))
+                windows.append({x: np.unique(y) for x, y in own.items()})
+            self.by_len[m] = (keys, windows, seen, (1 << bits) - 1)
 
     def scan(self, w: T.Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Mask of the words inside any occurring window, and the items that
@@ -74,23 +82,24 @@ class WindowSet:
         room = w.room()
         los, his = [], []
         data = None
-        for m, (h, item, at, seen, mask) in self.by_len.items():
+        for m, (keys, windows, seen, mask) in self.by_len.items():
             g = T.grams(sums, m).view(np.int64)
             p = np.flatnonzero(seen[g & mask] & (room[:len(g)] >= m))
-            first = np.searchsorted(h, g[p])
-            last = np.searchsorted(h, g[p], side="right")
-            ok = last > first
-            p, first, last = p[ok], first[ok], last[ok]
+            which = np.minimum(np.searchsorted(keys, g[p]), len(keys) - 1)
+            ok = keys[which] == g[p]
+            p, which = p[ok], which[ok]
             if len(p) and data is None:
                 data = w.part.data.tobytes().lower()
             rows = np.searchsorted(w.off, p, side="right") - 1
-            for i, a, b, r in zip(p.tolist(), first.tolist(), last.tolist(), rows.tolist()):
-                own = [data[s:e] for s, e in zip(w.starts[i:i + m], w.ends[i:i + m])]
-                same = [int(item[k]) for k in range(a, b) if self.words[item[k]][at[k]:at[k] + m] == own]
-                if same:
-                    items.setdefault(r, set()).update(same)
+            found: dict[tuple[int, int, bytes], None] = {}  # a window is looked up once a hit, its items once a row
+            for i, k, r in zip(p.tolist(), which.tolist(), rows.tolist()):
+                own = b" ".join(data[s:e] for s, e in zip(w.starts[i:i + m], w.ends[i:i + m]))
+                if own in windows[k]:
+                    found[r, k, own] = None
                     los.append(i)
                     his.append(i + m)
+            for r, k, own in found:
+                items.setdefault(r, set()).update(windows[k][own].tolist())
         if los:
             hit = T.covered(len(w), np.array(los), np.array(his))
         return hit, items

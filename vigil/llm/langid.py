@@ -11,8 +11,10 @@ Sample: about ``SAMPLE_DOCS`` documents per language, chosen by hash, of which
 document is labelled from its whole text.
 
 Defined results: ``und`` with score 0 for a text that is null or has no
-letter, and for all texts when nothing can be learned; repeated rows keep
-their multiplicity; a document without id is not held out; other columns are
+letter, and for all texts when nothing can be learned; of equally probable
+languages the first in alphabetical order; more than ``MAX_LANGS`` languages to
+learn raise an error; repeated rows keep their multiplicity and are learned from
+once; a document without id is not held out; other columns are
 ignored; an empty table gives an empty table.
 """
 
@@ -240,7 +242,8 @@ def train(docs: DataFrame) -> tuple[list[str], BiGRU | None]:
         return [], None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(
+    # equal rows are drawn together: one stands for them
+    rows = known.where(draw < share[F.col("lang")]).dropDuplicates(["id", "text", "lang"]).select("lang", "text").mapInArrow(
         _windows, "lang string, data binary").collect()  # about SAMPLE_DOCS * SAMPLE_WINDOWS a language
     langs = sorted(counts)
     rows = sorted((langs.index(r["lang"]), bytes(r["data"])) for r in rows if _LETTER_BYTE[np.frombuffer(r["data"], np.uint8)].any())

@@ -140,7 +140,7 @@ class Scanner:
         self.sam = Automaton(ids)
         self.phrases, self.templates = phrases, templates
         self.lengths = [len(t) for t in texts]
-        # words of the templates by hash, verified against their bytes
+        # words of the templates by their 64-bit hash
         col = pa.array([w.decode() for w in vocab])
         part = next(T.slices(col))
         h = T.Words(part, "alnum").hashes(lower=True)
