@@ -194,3 +194,24 @@ def test_forecaster_keeps_the_round_of_the_least_held_out_error(spark):
     assert 5 < len(fitted.trees) <= 60 and fitted.errors[len(fitted.trees) - 1] == min(fitted.errors)
     got = model.transform(train.where("is_validation")).selectExpr("avg(power(prediction - target, 2))").first()[0]
     assert got == pytest.approx(min(fitted.errors), rel=1e-9)
+
+
+def test_pivot_index_is_exact_and_skips_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8))
+    x = centres[rng.integers(12, size=600)] + 0.1 * rng.normal(size=(600, 8))
+    x[:40] = x[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    queries = df.where("id % 7 = 0")
+    for skip in (False, True):
+        a = inc.knn_incidents(queries, df, 4, "id", "id", "v", skip_self=skip).toPandas()
+        b = inc.knn_incidents(queries, df, 4, "id", "id", "v", max_broadcast_bytes=0, block_rows=100, skip_self=skip).toPandas()
+        key = ["query_id", "rank"]
+        a, b = a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True)
+        assert len(a) == 4 * queries.count() and np.allclose(a["similarity"], b["similarity"])
+        assert not skip or (a["query_id"] != a["corpus_id"]).all()
+    q = queries.select(F.col("id").alias("query_id"), "v")
+    _, seen = inc.knn_pivots(q, df.select(F.col("id").alias("corpus_id"), "v"), 4, pivots=30)
+    assert seen.count() < 0.5 * q.count() * 30 and seen.distinct().count() == seen.count()
+    none, _ = inc.knn_pivots(q, df.limit(0).select(F.col("id").alias("corpus_id"), "v"), 4)
+    assert none.count() == 0

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.text import render
+from vigil.session import materialize
 
 # The incident knowledge base (type, title, description,
 # root cause, resolution, impact, duration in minutes).
@@ -300,7 +301,8 @@ def _unit_rows(vecs) -> np.ndarray:
 _QUERY_BLOCK = 1024
 
 
-def _block_topk(qid: np.ndarray, Q: np.ndarray, cid: np.ndarray, Cm: np.ndarray, k: int) -> pd.DataFrame:
+def _block_topk(qid: np.ndarray, Q: np.ndarray, cid: np.ndarray, Cm: np.ndarray, k: int,
+                skip_self: bool = False) -> pd.DataFrame:
     if len(qid) == 0 or len(cid) == 0:
         return pd.DataFrame({"query_id": [], "corpus_id": [], "similarity": []})
     order = np.argsort(cid, kind="stable")  # ties go to the smaller corpus id
@@ -309,10 +311,12 @@ def _block_topk(qid: np.ndarray, Q: np.ndarray, cid: np.ndarray, Cm: np.ndarray,
     ids, cids, sims = [], [], []
     for at in range(0, len(qid), _QUERY_BLOCK):
         S = Q[at:at + _QUERY_BLOCK] @ Cm.T
+        if skip_self:
+            S[qid[at:at + _QUERY_BLOCK][:, None] == cid[None]] = -np.inf
         kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk][:, None]
         above, equal = S > kth, S == kth
         keep = above | (equal & (np.cumsum(equal, axis=1) <= kk - above.sum(axis=1, keepdims=True)))
-        qs, cs = np.nonzero(keep)
+        qs, cs = np.nonzero(keep & (S > -np.inf))
         ids.append(qid[at + qs])
         cids.append(cid[cs])
         sims.append(S[qs, cs])
@@ -320,14 +324,104 @@ def _block_topk(qid: np.ndarray, Q: np.ndarray, cid: np.ndarray, Cm: np.ndarray,
                          "similarity": np.concatenate(sims)})
 
 
+#: Pivots of the index: a sample of the corpus by hash, at most so many.
+PIVOTS = 256
+
+
+def _pivot_cells(pivots: np.ndarray, id_col: str):
+    """(id, v) -> (id, v, cell, dist): nearest pivot and the distance of the
+    unit vectors."""
+    def run(it):
+        for pdf in it:
+            if len(pdf):
+                x = _unit_rows(pdf["v"].tolist())
+                far = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + 1.0 - 2.0 * (x @ pivots.T)))
+                cell = far.argmin(axis=1)
+                yield pdf.assign(cell=cell, dist=far[np.arange(len(x)), cell])[[id_col, "v", "cell", "dist"]]
+    return run
+
+
+def knn_pivots(q: DataFrame, c: DataFrame, k: int, skip_self: bool = False, pivots: int = PIVOTS,
+               block_rows: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """Candidates (query_id, corpus_id, similarity) that hold the exact top k of
+    each query, and the cells each query visits (query_id, cell).
+
+    Corpus vectors are dealt to their nearest pivot. A query first searches the
+    cells around it until they hold enough rows; the k-th distance found bounds
+    the answer, and by the triangle inequality a cell can only beat it if the
+    query's distance to the pivot less the cell's radius is not larger. Cells
+    are cut into blocks; a (query block, cell block) pair is one task's group."""
+    spark = q.sparkSession
+    sample = c.orderBy(F.xxhash64("corpus_id"), "corpus_id").limit(pivots).select("v").collect()  # PIVOTS vectors
+    p = _unit_rows([r["v"] for r in sample])
+    placed = materialize(c.mapInPandas(_pivot_cells(p, "corpus_id"), "corpus_id long, v array<double>, cell int, dist double"),
+                         "knn-cells")
+    cells = placed.groupBy("cell").agg(F.max("dist").alias("r"), F.count("*").alias("n")).collect()  # a row a pivot at most
+    size = {r["cell"]: (r["r"], r["n"]) for r in cells}
+    parts = F.create_map(*[F.lit(x) for c_, (_, n) in size.items() for x in (c_, max(1, math.ceil(n / block_rows)))])
+    nq = max(1, math.ceil(q.count() / block_rows))
+    need = k + int(skip_self)
+
+    def ways(bounded: bool):
+        """Cells to visit: the nearest ones that hold enough rows, or all
+        others that may beat the bound ``far``."""
+        ids = np.array(sorted(size))
+        radius, n = (np.array([size[i][j] for i in ids]) for j in (0, 1))
+
+        def run(it):
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                x = _unit_rows(pdf["v"].tolist())
+                far = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + 1.0 - 2.0 * (x @ p[ids].T)))
+                order = np.argsort(far, axis=1, kind="stable")
+                held = np.cumsum(n[order], axis=1) - n[order]
+                first = np.zeros(far.shape, bool)
+                np.put_along_axis(first, order, held < need, axis=1)
+                go = first if not bounded else ~first & (far - radius <= pdf["far"].to_numpy(float)[:, None] + 1e-6)
+                i, j = np.nonzero(go)
+                if len(i):
+                    yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[i], "v": pdf["v"].iloc[i].tolist(), "cell": ids[j]})
+        return run
+
+    def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        return _block_topk(qpdf["query_id"].to_numpy(np.int64), _unit_rows(qpdf["v"].tolist()),
+                           cpdf["corpus_id"].to_numpy(np.int64), _unit_rows(cpdf["v"].tolist()), k, skip_self)
+
+    def visit(asked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        asked = materialize(asked, f"knn-{name}-asked")
+        qq = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1))).withColumn(
+            "qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
+        cc = placed.withColumn("part", F.pmod(F.xxhash64("corpus_id"), parts[F.col("cell")]).cast("int")).withColumn(
+            "qb", F.explode(F.expr(f"sequence(0L, {nq - 1}L)")))
+        keys = ["cell", "part", "qb"]
+        got = qq.groupBy(*keys).cogroup(cc.select(*keys, "corpus_id", "v").groupBy(*keys)).applyInPandas(
+            cell, "query_id long, corpus_id long, similarity double")
+        return materialize(got, f"knn-{name}"), asked.select("query_id", "cell")
+
+    if not size:
+        none = spark.createDataFrame([], "query_id long, corpus_id long, similarity double")
+        return none, spark.createDataFrame([], "query_id long, cell int")
+    kind = "query_id long, v array<double>, cell int"
+    one, seen = visit(q.mapInPandas(ways(False), kind), "near")
+    worst = Window.partitionBy("query_id").orderBy(F.desc("similarity"))
+    kth = one.withColumn("r", F.row_number().over(worst)).where(F.col("r") == k).select(
+        "query_id", F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("similarity"))).alias("far"))
+    open_ = q.join(kth, "query_id", "left").withColumn("far", F.coalesce("far", F.lit(3.0)))  # 3: beyond all
+    two, more = visit(open_.mapInPandas(ways(True), kind), "rest")
+    return one.unionByName(two), seen.unionByName(more)
+
+
 def knn_incidents(queries: DataFrame, corpus: DataFrame, k: int = 3, q_id: str = "query_id",
                   c_id: str = "corpus_id", vec: str = "embedding",
-                  max_broadcast_bytes: int = 8 << 20, block_rows: int = 8192) -> DataFrame:
+                  max_broadcast_bytes: int = 8 << 20, block_rows: int = 8192, skip_self: bool = False) -> DataFrame:
     """Exact cosine top-k corpus rows per query: (query_id, rank, corpus_id,
-    similarity, similarity_score = round(similarity, 3))."""
+    similarity, similarity_score = round(similarity, 3)). Few queries (checked)
+    are broadcast; more go through the pivot index. With ``skip_self`` a row
+    of the query's own id is no answer."""
     spark = queries.sparkSession
-    q = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(vec).alias("v"))
-    c = corpus.select(F.col(c_id).cast("long").alias("corpus_id"), F.col(vec).alias("v"))
+    q = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("v"))
+    c = corpus.select(F.col(c_id).cast("long").alias("corpus_id"), F.col(vec).cast("array<double>").alias("v"))
     out_schema = "query_id long, corpus_id long, similarity double"
     nq = q.count()
     dim_row = q.select(F.size("v").alias("d")).limit(1).collect()
@@ -343,22 +437,11 @@ def knn_incidents(queries: DataFrame, corpus: DataFrame, k: int = 3, q_id: str =
                 if len(pdf) == 0:
                     continue
                 Cm = _unit_rows(pdf["v"].tolist())
-                yield _block_topk(qid_, Q, pdf["corpus_id"].to_numpy(np.int64), Cm, k)
+                yield _block_topk(qid_, Q, pdf["corpus_id"].to_numpy(np.int64), Cm, k, skip_self)
 
         cand = c.mapInPandas(per_partition, out_schema)
     else:
-        nc = c.count()
-        QB, CB = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / block_rows))
-        qq = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(QB))).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1))))
-        cc = c.withColumn("cb", F.pmod(F.xxhash64("corpus_id"), F.lit(CB))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1))))
-
-        def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-            return _block_topk(qpdf["query_id"].to_numpy(np.int64), _unit_rows(qpdf["v"].tolist()),
-                               cpdf["corpus_id"].to_numpy(np.int64), _unit_rows(cpdf["v"].tolist()), k)
-
-        cand = qq.groupBy("qb", "cb").cogroup(cc.groupBy("qb", "cb")).applyInPandas(cell, out_schema)
+        cand, _ = knn_pivots(q, c, k, skip_self, block_rows=block_rows)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("corpus_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int"), "corpus_id", "similarity",

@@ -31,11 +31,20 @@ def zscore_features(panel: DataFrame, position: bool = False) -> DataFrame:
     return fe.feat_composite(fe.feat_zscore(r))
 
 
-#: (application, source) -> (path of the table, least and largest composite).
-_BUILT: dict[tuple[str, str], tuple[str, float, float]] = {}
+#: (application, source, its state) -> (path of the table, least and largest composite).
+_BUILT: dict[tuple, tuple[str, float, float]] = {}
 
 
-def build_scores(spark: SparkSession, sf_dir: str) -> None:
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number of files of the events and a sum over their names, sizes and
+    times, from the listing alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet")
+    mark = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    r = files.agg(F.count("*").alias("n"), mark.alias("h")).first()
+    return r["n"], r["h"]
+
+
+def build_scores(spark: SparkSession, sf_dir: str, key: tuple) -> None:
     """Write the feature/score table of a source: panel, composite z-score and
     its range. Rows are laid out by time, so a look-back reads only the files
     (and row groups) of its window."""
@@ -44,17 +53,17 @@ def build_scores(spark: SparkSession, sf_dir: str) -> None:
     path = scratch_path(spark, f"scores/{uuid.uuid4().hex}")
     feats.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.parquet(path)
     r = spark.read.parquet(path).agg(F.min("composite_zscore").alias("lo"), F.max("composite_zscore").alias("hi")).first()
-    _BUILT[spark.sparkContext.applicationId, sf_dir] = (path, r["lo"], r["hi"])
+    _BUILT[key] = (path, r["lo"], r["hi"])
 
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel + composite z-score + batch-normalised score, read from the
     source's score table: the first question of an application builds it, later
-    ones read the columns and the time window they need. Call
-    ``build_scores`` again after the source has changed."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    ones read the columns and the time window they need. A source whose files
+    have changed gets a new table."""
+    key = (spark.sparkContext.applicationId, sf_dir, source_state(spark, sf_dir))
     if key not in _BUILT:
-        build_scores(spark, sf_dir)
+        build_scores(spark, sf_dir, key)
     path, lo, hi = _BUILT[key]
     score = F.lit(None).cast("double") if lo is None else minmax_expr(F.col("composite_zscore"), lo, hi, 1e-9)
     return spark.read.parquet(path).withColumn(SCORE, F.round(score, 4))
