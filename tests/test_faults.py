@@ -13,27 +13,61 @@ from vigil.operators.summary import categorical_profile, exact_percentile
 from vigil.sources.panel import METRIC_COLS
 
 
-def test_stream_state_keeps_doubles_bit_for_bit():
-    """A flat line of thirds in two batches has z-scores of zero."""
-    from vigil.streaming import operators as so
+def test_stream_state_keeps_doubles_bit_for_bit(spark):
+    """A flat line of thirds in two releases has the features of one; the state
+    holds the waiting rows, 240 past ones and one timer."""
+    from vigil.streaming.live import PAST, Sequencer, frames
 
-    class State:
-        exists, value = False, None
+    class Rows(list):
+        def put(self, rows):
+            self[:] = rows
 
-        @property
         def get(self):
-            return self.value
+            return iter(list(self))
+        appendList = list.extend
 
-        def update(self, value):
-            self.exists, self.value = True, value
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+        def getListState(self, name, schema):
+            return Rows()
+
+        def listTimers(self):
+            return iter(sorted(self.timers))
+
+    class Mark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
 
     n = 310
     rows = pd.DataFrame({"event_id": np.arange(n), "timestamp": pd.date_range("2024-02-01", periods=n, freq="15s"),
                          "service": "s", "is_anomaly": 0, "anomaly_type": "normal", **{m: 1 / 3 for m in METRIC_COLS}})
-    run, state = so.make_online_features(so._stats()[0]), State()
-    whole = pd.concat(run(("s",), iter([rows]), State()), ignore_index=True)
-    parts = [pd.concat(run(("s",), iter([p]), state)) for p in (rows[:300], rows[300:])]
-    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
+    ms = (rows["timestamp"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+    handle, out = Handle(), []
+    state = Sequencer()
+    state.init(handle)
+    for lo, hi, at in ((0, 300, ms[290]), (300, n, ms[-1])):
+        list(state.handleInputRows(("s",), iter([rows[lo:hi].sample(frac=1, random_state=1)]), Mark(ms[290] if lo else 0)))
+        assert len(handle.timers) == 1
+        handle.timers.clear()
+        out += list(state.handleExpiredTimer(("s",), Mark(at), None))
+    assert [len(o) for o in out] == [291, PAST + 19] and len(state.past) == PAST and not state.waiting and not handle.timers
+    assert all(o["event_id"].is_monotonic_increasing and (o[list(METRIC_COLS)] == 1 / 3).all(axis=None) for o in out)
+
+    def features(o):
+        df = spark.createDataFrame(o).withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz"))
+        return frames(df).toPandas()
+    fresh = pd.concat([o[~o["past"]] for o in out])
+    whole = features(fresh).sort_values("event_id")
+    parts = pd.concat([features(o) for o in out]).sort_values("event_id")
+    assert len(whole) == len(parts) == n
+    for c in fe.feature_names():
+        assert np.array_equal(whole[c].to_numpy(float), parts[c].to_numpy(float), equal_nan=True), c
 
 
 def test_weight_search_sums_do_not_mix_weights(spark):
