@@ -21,22 +21,19 @@ def test_temporal_split_80_20(spark):
     assert out.loc[out["split"] == "train", "event_id"].max() < out.loc[out["split"] == "test", "event_id"].min()
 
 
-def test_threshold_in_unit_interval(spark):
-    rng = np.random.default_rng(0)
-    s = rng.uniform(0, 1, 1000)
-    df = spark.createDataFrame(pd.DataFrame({"score": s, "label": (s > 0.7).astype(int)}))
+def test_best_threshold_is_the_least_score_of_a_positive(spark):
+    """Scores in steps of 1/37; every row from 22/37 on is positive."""
+    k = np.arange(740) % 37
+    df = spark.createDataFrame(pd.DataFrame({"score": k / 37.0, "label": (k >= 22).astype(int)}))
     best = ev.best_f1_threshold(ev.pr_curve(df, "score", "label")).collect()[0]
-    assert 0 <= best["threshold"] <= 1 and best["f1"] == 1.0
+    assert best["threshold"] == 22 / 37.0 and best["f1"] == 1.0
 
 
-def test_separable_threshold_above_half(spark):
-    s = np.r_[np.full(900, 0.1), np.full(100, 0.9)]
-    y = np.r_[np.zeros(900), np.ones(100)].astype(int)
-    df = spark.createDataFrame(pd.DataFrame({"score": s, "label": y}))
-    best = ev.best_f1_threshold(ev.pr_curve(df, "score", "label")).collect()[0]
-    assert best["threshold"] > 0.5
-    ap = ev.average_precision(ev.pr_curve(df, "score", "label")).collect()[0][0]
-    assert ap == pytest.approx(1.0)
+def test_two_scores_that_separate(spark):
+    df = spark.range(240).selectExpr("if(id % 6 = 0, 0.8D, 0.25D) as score", "cast(id % 6 = 0 as int) as label")
+    curve = ev.pr_curve(df, "score", "label")
+    assert ev.best_f1_threshold(curve).collect()[0]["threshold"] == 0.8
+    assert ev.average_precision(curve).collect()[0][0] == pytest.approx(1.0)
 
 
 def test_average_precision_matches_definition(spark):
