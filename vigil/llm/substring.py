@@ -17,7 +17,11 @@ document with a smaller id.
 
 No pair of documents is ever formed: work is linear in the anchors. A task
 settles repeats within its own batch before the shuffle, so a passage with
-very many copies reaches the shuffle once a batch.
+very many copies reaches the shuffle once a batch. Anchors that very many rows
+have are counted first; they are dealt by anchor and surroundings, and where no
+smaller document has these, the runs over them are compared (3), so a common
+phrase is spread over as many groups as it has surroundings. All other anchors
+have less than ``OFTEN`` rows, or a few thousandths of all.
 
 Defined results: null and empty texts have no words; a document without id is
 never cut and cuts nothing; rows that repeat an id are no source for each
@@ -40,6 +44,12 @@ from vigil.session import materialize
 #: Words in an anchor.
 K = 6
 FULL, FRINGE, RUN = 0, 1, 2
+#: Rows from which an anchor is frequent, and the least share of all rows (1 in
+#: so many), which bounds the list of frequent anchors.
+OFTEN, OFTEN_SHARE = 1 << 16, 1 << 16
+#: Anchors counted at once, and the share of them (1 in so many) from which one
+#: is reported.
+COUNTED, REPORTED = 1 << 21, 1 << 12
 _KIND = 32  # a mark is kind << 32 | word position
 
 
@@ -80,10 +90,51 @@ def _unique_keys(n: int, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return T.mix(T.mix(doc.view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
 
 
-def _seeds(length: int):
+def _reported(length: int):
+    """Counts of the anchors that are common in a part of the texts; a null
+    anchor has the number of all."""
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            a, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n >= max(2, size // REPORTED)
+            return pa.RecordBatch.from_arrays([pa.array([None, *a[keep].tolist()], pa.int64()),
+                                               pa.array([size, *n[keep].tolist()], pa.int64())], names=["a", "n"])
+
+        for batch in batches:
+            for part in T.slices(batch.column(0)):
+                w = T.Words(part, "space")
+                sums = T.prefix(w.hashes())
+                at = anchors(sums, w.room(), length)
+                held.append(T.ranges(sums, at, at + K).view(np.int64))
+                size += len(at)
+                if size >= COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+    return run
+
+
+def frequent(base: DataFrame, length: int) -> np.ndarray:
+    """Anchors of very many rows of ``base`` (text), sorted: OFTEN_SHARE at
+    most. A row's anchor is missed only where less than one in REPORTED of the
+    anchors counted with it are the same."""
+    counts = materialize(base.select("text").mapInArrow(_reported(length), "a long, n long").groupBy("a").agg(
+        F.sum("n").alias("n")), "substring-common")
+    total = counts.where("a is null").agg(F.max("n")).first()[0] or 0
+    least = max(OFTEN, total // OFTEN_SHARE + 1)
+    rows = counts.where((F.col("n") >= least) & F.col("a").isNotNull()).select("a").collect()
+    return np.array(sorted(r["a"] for r in rows), dtype=np.int64)
+
+
+def _seeds(length: int, common):
     reach = length - K
 
     def run(batches):
+        often = common.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
             tags = np.asarray(batch.column(1))
@@ -100,10 +151,14 @@ def _seeds(length: int):
                 doc, tag = ids[part.first + row], tags[part.first + row]
                 pos = at - w.off[row]
                 done = _settle(a, c, doc)
+                known = np.zeros(len(a), dtype=bool)
+                if len(often):
+                    known = often[np.minimum(np.searchsorted(often, a), len(often) - 1)] == a
+                    a = np.where(known, T.mix(a.view(np.uint64) + T.mix(c.view(np.uint64))).view(np.int64), a)
                 a = np.where(done, _unique_keys(len(a), doc, pos), a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(c), pa.array(doc), pa.array(tag << 32 | pos), pa.array(done)],
-                    names=["a", "c", "doc", "at", "done"])
+                    [pa.array(a), pa.array(c), pa.array(doc), pa.array(tag << 32 | pos), pa.array(done), pa.array(known)],
+                    names=["a", "c", "doc", "at", "done", "often"])
     return run
 
 
@@ -188,16 +243,17 @@ def dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: s
     base = own.where("doc is not null").select(
         "own", "doc", F.expr("xxhash64(text) & 2147483647").alias("tag"), "text")
 
+    common = docs.sparkSession.sparkContext.broadcast(frequent(base, length))  # 512 KB at most
     seeds = base.select("doc", "tag", "text").mapInArrow(
-        _seeds(length), "a long, c long, doc long, at long, done boolean")
+        _seeds(length, common), "a long, c long, doc long, at long, done boolean, often boolean")
     same_anchor, same_place = Window.partitionBy("a"), Window.partitionBy("a", "c")
     met = seeds.select(
-        "doc", "at", (F.col("done") | (F.min("doc").over(same_place) < F.col("doc"))).alias("full"),
+        "doc", "at", "often", (F.col("done") | (F.min("doc").over(same_place) < F.col("doc"))).alias("full"),
         (F.min("doc").over(same_anchor) < F.max("doc").over(same_anchor)).alias("shared"),
         (F.min("c").over(same_anchor) < F.max("c").over(same_anchor)).alias("differ"))
     kind = F.when(F.col("full"), FULL).otherwise(FRINGE)
     split_at = [F.col("doc"), F.expr("shiftright(at, 32)").alias("tag")]
-    marks = materialize(met.where("full or (shared and differ)").select(
+    marks = materialize(met.where("full or often or (shared and differ)").select(
         *split_at, F.expr("at & 4294967295").alias("pos"), kind.cast("long").alias("kind")), "substring-marks")
     code = F.expr(f"shiftleft(kind, {_KIND}) | pos")
 
