@@ -5,7 +5,10 @@ through it word by word, which gives at each word the longest suffix that
 occurs in a template (the matching statistics). Only runs of words the
 templates know can extend a match, so runs are found with whole-array
 operations and only they are streamed. Long matches are chained in order of
-template position; the chain's covered share of a template is its score.
+template position; the chain's covered share of a template is its score. Of
+templates that share most of their matched words in the text, as the versions
+of one notice do, the one of the largest share gives its label (of equal ones
+the first in the list).
 
 Base phrases are templates too: a phrase stands where the matched suffix ends
 with it, which the automaton's suffix links tell.
@@ -54,13 +57,45 @@ TEMPLATES = (
      "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
      "the GNU General Public License for more details."),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-     "provided that the following conditions are met: Redistributions of source code must retain the above copyright "
-     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
-     "the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
-     "other materials provided with the distribution."),
+     "provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+     "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+     "and/or other materials provided with the distribution."),
     ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
      "fee is hereby granted, provided that the above copyright notice and this permission notice appear in all "
      "copies."),
+    ("bsd-3-clause-text", "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+     "endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-disclaimer-text", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS "
+     "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+     "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+     "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+     "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+     "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+     "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+     "DAMAGE."),
+    ("isc-disclaimer-text", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+     "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+     "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+     "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("mpl-2-text", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+     "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("gpl-2-text", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+     "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+     "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+     "General Public License for more details."),
+    ("lgpl-text", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+     "(at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT "
+     "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+     "GNU Lesser General Public License for more details."),
+    ("agpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+     "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+     "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+     "GNU Affero General Public License for more details."),
 )
 #: Matches shorter than this many words are not chained.
 MIN_MATCH = 5
@@ -207,20 +242,40 @@ class Scanner:
                             matches.setdefault(r, []).append((t, base + i + 1 - n, end - n, n))
         return places, {r: self._chain(m) for r, m in matches.items()}
 
-    def _chain(self, matches: list[tuple[int, int, int, int]]) -> dict[int, float]:
+    def _chain(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[float, list[tuple[int, int]]]]:
         """Best share of each template covered by matches in the template's
-        order (greedy by text position, never going back in the template)."""
-        best: dict[int, float] = {}
-        open_: dict[int, tuple[int, int]] = {}  # template -> (template position reached, words covered)
-        for t, _, at, n in sorted(matches, key=lambda m: (m[1], m[2])):
-            reached, got = open_.get(t, (0, 0))
+        order (greedy by text position, never going back in the template; of
+        equal shares the first), and the words of the text in these matches."""
+        best: dict[int, tuple[float, list[tuple[int, int]], int]] = {}
+        # template -> (template position reached, words covered, places in the text)
+        open_: dict[int, tuple[int, int, list[tuple[int, int]]]] = {}
+        for t, pos, at, n in sorted(matches, key=lambda m: (m[1], m[2])):
+            reached, got, spans = open_.get(t, (0, 0, []))
             if at + n <= reached:  # the template begins anew
-                reached, got = 0, 0
+                reached, got, spans = 0, 0, []
             new = n - max(0, reached - at)
-            open_[t] = (at + n, got + new)
-            total = self.lengths[len(self.phrases) + t]
-            best[t] = max(best.get(t, 0.0), min(1.0, (got + new) / total))
-        return best
+            spans.append((pos, pos + n))
+            open_[t] = (at + n, got + new, spans)
+            share = min(1.0, (got + new) / self.lengths[len(self.phrases) + t])
+            if share > best.get(t, (0.0,))[0]:
+                best[t] = (share, spans, len(spans))
+        return {t: (share, spans[:k]) for t, (share, spans, k) in best.items()}
+
+    def found(self, shares: dict[int, tuple[float, list[tuple[int, int]]]]) -> set[str]:
+        """Labels of the templates that stand in a text."""
+        order = sorted((-share, t) for t, (share, _) in shares.items() if share >= MIN_SCORE)
+        if not order:
+            return set()
+        first = min(a for _, t in order for a, _ in shares[t][1])
+        taken = np.zeros(max(b for _, t in order for _, b in shares[t][1]) - first, dtype=bool)
+        labels = set()
+        for _, t in order:
+            lo, hi = (np.array(x) - first for x in zip(*shares[t][1]))
+            own = T.covered(len(taken), lo, hi)
+            if 2 * int(taken[own].sum()) <= int(own.sum()):
+                taken |= own
+                labels.add(self.templates[t][0])
+        return labels
 
 
 @lru_cache(maxsize=2)
@@ -248,10 +303,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     found = places.get(i, ())
                     own = {label[k] for _, k in found}
                     share = shares.get(i, {})
-                    more = {sc.templates[t][0] for t, x in share.items() if x >= MIN_SCORE}
+                    more = sc.found(share)
                     at = [p for p, _ in found]
                     row = (len(found), min(at, default=None), max(at, default=None), ",".join(sorted(own)),
-                           ",".join(sorted(own | more)), max(share.values(), default=1.0 if own else 0.0))
+                           ",".join(sorted(own | more)), max((x for x, _ in share.values()), default=1.0 if own else 0.0))
                     for c, v in zip(cols, row):
                         c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
