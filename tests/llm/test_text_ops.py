@@ -8,11 +8,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from vigil.llm import licenses, pii
+from vigil.llm import licenses, pii, substring
+from vigil.llm import textops as T
 from vigil.llm.bpe import Codec, bpe
 from vigil.llm.decontaminate import decontaminate
 from vigil.llm import decontaminate as decon_module
@@ -156,6 +158,37 @@ def test_matching_statistics_equal_brute_force():
         assert n == max([k for k in range(1, i + 2) if tuple(word[i + 1 - k:i + 1]) in subs], default=0)
 
 
+def test_each_template_is_told_from_its_kin():
+    sc = licenses.scanner()
+
+    def labels(text):
+        w = T.Words(next(T.slices(pa.array([text]))), "alnum")
+        shares = sc.scan(sc.vocabulary(w), w.off)[1].get(0, {})
+        return sc.found(shares), {sc.templates[t][0]: x for t, (x, _) in shares.items()}
+
+    for name, text in licenses.TEMPLATES:
+        found, shares = labels(f"start of a file {text} and its end")
+        assert found == {name} and shares[name] == 1.0
+    # a whole licence of several parts, and two notices in one text
+    part = dict(licenses.TEMPLATES)
+    whole = " ".join(part[x] for x in ("bsd-text", "bsd-3-clause-text", "bsd-disclaimer-text"))
+    assert labels(whole)[0] == {"bsd-text", "bsd-3-clause-text", "bsd-disclaimer-text"}
+    assert labels(part["gpl-2-text"] + " or " + part["agpl-text"])[0] == {"gpl-2-text", "agpl-text"}
+    assert labels(part["isc-text"][:60])[0] == set()
+
+
+def test_chain_shares_equal_a_plain_reading():
+    """Matches of a text that repeats parts of one template, in and out of order."""
+    sc = licenses.Scanner(phrases=(), templates=(("t", " ".join(f"k{i}" for i in range(40))),))
+    word = lambda a, b: [f"k{i}" for i in range(a, b)]
+    for pieces, share in (([(0, 40)], 1.0), ([(0, 10), (10, 40)], 1.0), ([(0, 10), (20, 30)], 0.5),
+                          ([(20, 30), (0, 10)], 0.25), ([(0, 10), (5, 15)], 0.375), ([(0, 4)], 0.0),
+                          ([(30, 40), (0, 20), (25, 40)], 0.875)):
+        text = " xx ".join(" ".join(word(*x)) for x in pieces)
+        w = T.Words(next(T.slices(pa.array([text]))), "alnum")
+        assert sc.scan(sc.vocabulary(w), w.off)[1].get(0, {}).get(0, (0.0,))[0] == share
+
+
 # -- op7 ----------------------------------------------------------------
 def brute_decontaminate(docs, items, n=10):
     win = {}
@@ -222,6 +255,73 @@ def test_substring_dedup_equals_brute_force(spark):
     assert dedup(df.limit(0)).collect() == []
 
 
+def brute_substring(rows, n=13):
+    words = [(i, SPACE.findall(t or "")) for i, t in rows]
+    first, out = {}, []
+    for i, w in words:
+        for k in range(len(w) - n + 1):
+            first[tuple(w[k:k + n])] = min(first.get(tuple(w[k:k + n]), i), i)
+    for i, w in words:
+        gone = {p for k in range(len(w) - n + 1) if first[tuple(w[k:k + n])] < i for p in range(k, k + n)}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("often", [2, 40, 1 << 16])
+def test_substring_dedup_of_a_phrase_in_every_text(spark, monkeypatch, often):
+    monkeypatch.setattr(substring, "OFTEN", often)
+    monkeypatch.setattr(substring, "COUNTED", 500)
+    rnd = random.Random(3)
+    own = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    phrase, longer = [f"p{k}" for k in range(6)], [f"q{k}" for k in range(16)]
+    rows = []
+    for i in range(300):
+        w = own(rnd.randint(8, 25)) + phrase + own(rnd.randint(8, 25))
+        if i % 3 == 0:  # the phrase in surroundings that repeat on one side
+            w += longer[:rnd.randint(5, 16)] + phrase + longer[:rnd.randint(0, 9)]
+        rows.append((i, " ".join(w)))
+    rows += [(400 + i, " ".join(longer + phrase + longer)) for i in range(30)] + [(500, " ".join(phrase * 40))]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in dedup(df, keep_text=True).collect())
+    assert got == brute_substring(rows)
+    if often == 2:
+        assert len(substring.frequent(df, 13)) > 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    rnd = random.Random(12)
+    long = [f"w{rnd.randrange(10 ** 6)}" for _ in range(T.SLICE_BYTES // 5)]
+    mit = licenses.TEMPLATES[0][1]
+    item = "one two three four five six seven eight nine ten eleven"
+    at = len(long) - 40_000
+    long[at:at] = f"{mit} mit license {item} x".split(" ")
+    rows = [(1, " ".join(long)), (2, " ".join(["z", *long[:50_000], "y", *long[-60_000:]])), (3, "short text"), (4, None)]
+    assert len(rows[0][1].encode()) > T.SLICE_BYTES
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in dedup(df, keep_text=True).collect())
+    assert got == brute_substring(rows)
+    r = {x.doc_id: x for x in licenses.scan(df).collect()}
+    words = ALNUM.findall(lower(rows[0][1]))
+    place = next(k for k in range(len(words)) if words[k:k + 2] == ["mit", "license"])
+    assert (r[1].n_words, r[1].n_base, r[1].first_word, r[1].labels) == (len(words), 1, place, "mit,mit-text")
+    assert [(r[k].n_base, r[k].labels) for k in (2, 3, 4)] == [(1, "mit,mit-text"), (0, ""), (0, "")]
+    hit = decontaminate(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_hit, x.contaminated) for x in hit) == [(1, 11, True), (2, 11, True), (3, 0, False), (4, 0, False)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 5, 9, 100])
+def test_slices_keep_every_row_once_and_whole(size):
+    texts = ["", "abcd", None, "efgh", "i", "", "jklmnopqr", "é", ""]
+    seen = []
+    for part in T.slices(pa.array(["before", *texts]).slice(1), size):
+        assert part.first == len(seen) and len(part) > 0
+        assert len(part) == 1 or part.offsets[-1] <= size
+        seen += [part.text(k).decode() for k in range(len(part))]
+    assert seen == [t or "" for t in texts]
+    assert list(T.slices(pa.array([], pa.string()), size)) == []
+
+
 # -- op9 ----------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><a href=x>menu</a></nav><div class="cookie-notice">We use cookies</div>
