@@ -487,8 +487,41 @@ def test_densities_and_selection_equal_a_plain_version():
         while x is not root:
             path.append(density(x))
             x = x.parent
-        while best is not root and density(best.parent) >= min(path):
-            best = best.parent
+
+        def first(x):  # of the largest sum within x
+            own_nodes = all_(x)
+            most = max(y.total for y in own_nodes)
+            return next(y for y in own_nodes if y.total == most)
+
+        def take(x):
+            if x not in taken and x.density >= min(y.density for y in on_path):
+                taken.add(first(x))
+                for k in kids(x):
+                    take(k)
+
+        def outer(x):
+            return [x] if x in taken else [y for k in kids(x) for y in outer(k)]
         for x in nodes:
             assert x.density == pytest.approx(density(x)) and x.total == pytest.approx(total[x])
-        assert got is best
+        taken, on_path, x = set(), [root], first(root)
+        assert total[x] == pytest.approx(top)
+        while x is not root:
+            on_path.append(x)
+            x = x.parent
+        assert min(y.density for y in on_path) == pytest.approx(min(path))
+        take(root)
+        assert got == outer(root)
+
+
+def test_selection_leaves_what_is_thin_and_takes_every_dense_part():
+    from vigil.llm.html import main_text
+    para = "A sentence of the article that is long enough to be told from a menu, a label or a date."
+    one, two = f"<p>{para} One.</p>" * 4, f"<p>{para} Two.</p>" * 3
+    links = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(12))
+    page = (f"<body><div><ul>{links}</ul></div><div><h1>Title</h1></div><div class=a>{one}</div><div><i>x</i><b>y</b></div>"
+            f"<div class=b>{two}</div><div><h2>Topics</h2><ul>{links}</ul></div></body>")
+    text = " ".join([f"{para} One."] * 4 + [f"{para} Two."] * 3)
+    assert main_text(page) == "Title " + text
+    # equal parts: all of them, in page order
+    assert main_text("".join(f"<div><p>{para} {k}</p><p>{para}</p></div>" for k in "abc")) == " ".join(
+        f"{para} {k} {para}" for k in "abc")

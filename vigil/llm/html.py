@@ -11,17 +11,18 @@ names, nor is one that holds most of the page's text outside links (unless the
 page has an article element elsewhere), nor a header in an article for being
 one. For every other node the characters
 per tag are adjusted by its links; a node's density sum adds its children's
-densities. The node of the largest sum is the body of the article, and it is
-widened to its parents while their density reaches the least density on the
-path from it to the page body (an enclosing article or main element is taken
-whole).
+densities. An article or main element around the node of the largest sum is
+taken whole. Otherwise the least density on the path from that node to the page
+body is the threshold: from the body down, every node that reaches it gives the
+node of the largest sum within it. Headings right before what is taken belong
+to it.
 
 Every pattern is possessive or tried once a place, so markup of any length is
 read in linear time.
 
 Defined results: a null or empty page and one without text give the empty
 string; of equal density sums the first node in page order, outer before inner,
-is the body; broken markup is read as far as it goes; no text is cut; repeated rows
+is taken; broken markup is read as far as it goes; no text is cut; repeated rows
 keep their multiplicity; nulls in other columns stay; an empty table gives an
 empty table.
 """
@@ -224,12 +225,12 @@ def parse(page: str) -> Node:
 
 
 def _nodes(root: Node) -> list[Node]:
-    """Kept nodes, parents first."""
+    """Kept nodes in page order, parents first."""
     out, todo = [], [root]
     while todo:
         x = todo.pop()
         out.append(x)
-        todo.extend(k for k in x.kids if isinstance(k, Node) and not k.drop)
+        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop)
     return out
 
 
@@ -259,29 +260,52 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def select(root: Node) -> Node:
-    """The subtree that holds the article."""
+def select(root: Node) -> list[Node]:
+    """The subtrees that hold the article, in page order."""
     nodes = measure(root)
     best = max(nodes, key=lambda x: x.total)
     up = best
     while up is not root:  # an enclosing article is taken whole
         if up.main:
-            return up
+            return [up]
         up = up.parent
-    path, x = [], best
+    threshold, x = root.density, best
     while x is not root:
-        path.append(x.density)
-        x = x.parent
-    threshold = min(path + [root.density])
-    while best is not root and best.parent.density >= threshold:
-        best = best.parent
-    return best
+        threshold, x = min(threshold, x.density), x.parent
+    top: dict[Node, Node] = {}  # the node of the largest sum within each
+    for x in reversed(nodes):
+        top[x] = x
+        for k in x.kids:
+            if isinstance(k, Node) and not k.drop and top[k].total > top[x].total:
+                top[x] = top[k]
+    taken: set[Node] = set()
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x.density >= threshold and x not in taken:
+            taken.add(top[x])
+            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop)
+    out: list[Node] = []
+    heads: list[Node] = []  # headings since the last text
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x in taken:
+            out += [*heads, x]
+            heads = []
+        elif x.tag in HEADINGS:
+            heads.append(x)
+        else:
+            if any(isinstance(k, str) and k.strip() for k in x.kids):
+                heads = []
+            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop)
+    return out
 
 
-def text_of(node: Node) -> str:
-    """Text of a subtree: blocks in page order joined by one space."""
+def text_of(*nodes: Node) -> str:
+    """Text of subtrees: blocks in page order joined by one space."""
     out: list[str] = []
-    todo: list = [node]
+    todo: list = [x for node in reversed(nodes) for x in (node, " ")]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -298,7 +322,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return text_of(select(root))
+    return text_of(*select(root))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
