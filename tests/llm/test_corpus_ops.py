@@ -147,6 +147,16 @@ def test_lm_base_score_equals_brute_force(spark, monkeypatch, head):
     assert all(r.score <= 0 for r in got)
 
 
+def test_lm_base_score_of_a_text_longer_than_a_slice(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(40_000)}" for _ in range(n))) for i, n in enumerate((300_000, 50, 0, 2_000))]
+    assert len(rows[0][1]) > 1_500_000
+    got = score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got)
+    for a, b in zip(have, sorted(brute_base(rows))):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9)
+
+
 def test_lm_score_beats_the_base_on_held_out_documents(spark):
     rows = score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out and n_tokens > 20").collect()
     assert np.mean([r.score > r.base_score for r in rows]) > 0.8

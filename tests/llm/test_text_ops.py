@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from vigil.llm import licenses, pii, substring
+from vigil.llm import langid, licenses, pii, substring
 from vigil.llm import textops as T
 from vigil.llm.bpe import Codec, bpe
 from vigil.llm.decontaminate import decontaminate
@@ -177,6 +177,14 @@ def test_each_template_is_told_from_its_kin():
     assert labels(part["isc-text"][:60])[0] == set()
 
 
+def test_of_equal_templates_the_first_gives_its_label():
+    text = " ".join(f"k{i}" for i in range(30))
+    sc = licenses.Scanner(phrases=(), templates=(("b", text), ("a", text), ("c", "other words than those of the text")))
+    w = T.Words(next(T.slices(pa.array([f"{text} xx {text}"]))), "alnum")
+    shares = sc.scan(sc.vocabulary(w), w.off)[1][0]
+    assert {t: x for t, (x, _) in shares.items()} == {0: 1.0, 1: 1.0} and sc.found(shares) == {"b"}
+
+
 def test_chain_shares_equal_a_plain_reading():
     """Matches of a text that repeats parts of one template, in and out of order."""
     sc = licenses.Scanner(phrases=(), templates=(("t", " ".join(f"k{i}" for i in range(40))),))
@@ -409,6 +417,16 @@ def test_language_id_edge_cases(spark):
     assert {(r.lang_pred, r.score) for r in identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def test_language_id_of_equal_probabilities_is_the_first(spark, monkeypatch):
+    net = BiGRU(3)
+    net.p["Vf"][:] = net.p["Vb"][:] = 0
+    monkeypatch.setattr(langid, "train", lambda docs: (["aa", "bb", "cc"], net))
+    df = spark.createDataFrame([(1, "some text", "bb"), (2, "x " * 2000, None), (3, "7", "cc")],
+                               "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in identify(df).collect()}
+    assert got == {1: ("aa", 0.333333), 2: ("aa", 0.333333), 3: ("und", 0.0)}
+
+
 def test_page_parts_beside_the_article():
     body = "<p>" + "A sentence of the article, with commas and words. " * 8 + "</p>"
     want = " ".join(("A sentence of the article, with commas and words. " * 8).split())
