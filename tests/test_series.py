@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from vigil.operators import features as fe
-from vigil.operators.series import SeriesSpec, row_index, running_totals
+from vigil.operators.series import SeriesSpec, frame_series, row_index, running_totals
 from vigil.sources.panel import load_panel
 
 COLS = ["cpu_percent_roll_mean_240", "cpu_percent_roll_std_240", "error_rate_lag_240",
@@ -108,3 +108,18 @@ def test_kernel_engine_equals_window_engine(spark):
         b = fe.feat_full(p, spec, engine="kernel").select("event_id", *names).toPandas().sort_values("event_id")
         for c in names:
             assert np.array_equal(a[c].to_numpy(float), b[c].to_numpy(float), equal_nan=True), (chunk, c)
+
+
+def test_a_task_of_a_long_series_holds_a_bounded_chunk(spark):
+    """Rows of one group, halo and all, stay the same however long a series is."""
+    largest = []
+    for n in (130_000, 260_000):
+        df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("a").alias("service"),
+                                   F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("timestamp"))
+        spec = fe.default_spec()
+        fr = frame_series(df, spec)
+        sizes = fr.df.groupBy(*fr.keys, "_chunk").agg(F.count("*").alias("n"), F.sum(1 - F.col("_halo")).alias("own"))
+        got = sizes.agg(F.max("n").alias("n"), F.sum("own").alias("own")).first()
+        assert got["own"] == n
+        largest.append(got["n"])
+    assert max(largest) <= 50_000 * 1.4
