@@ -212,3 +212,19 @@ def test_pivot_index_is_exact_and_skips_cells(spark):
     assert seen.count() < 0.5 * q.count() * 30 and seen.distinct().count() == seen.count()
     none, _ = inc.knn_pivots(q, df.limit(0).select(F.col("id").alias("corpus_id"), "v"), 4)
     assert none.count() == 0
+
+
+def test_forest_sample_is_placed_by_ids_alone(spark, monkeypatch):
+    """Draws are rows at hashed positions in id order; only ids and a hash are
+    put in order, and rows that repeat an id are not multiplied."""
+    from vigil.operators import detect as dt
+    ids = [i // 2 for i in range(300)]
+    df = spark.createDataFrame([(k, float(k), float(-k)) for k in ids], "event_id long, a double, b double")
+    seen, plain = [], dt.row_index
+    monkeypatch.setattr(dt, "row_index", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
+    sample, psi = dt.iforest_sample(df, ["a", "b"], "event_id", n_trees=5, max_samples=64)
+    assert seen == [["event_id", "_mark"]] and psi == 64 and sample.columns == ["event_id", "a", "b", "tree_id"]
+    drawn = spark.range(5 * 64).select(F.pmod(F.xxhash64(F.lit(dt.SEED), F.col("id")), F.lit(300)).alias("p"), "id").collect()
+    want = sorted((r["id"] // 64, ids[r["p"]]) for r in drawn)
+    got = sample.collect()
+    assert sorted((r["tree_id"], r["event_id"]) for r in got) == want and all(r["a"] == r["event_id"] == -r["b"] for r in got)
