@@ -263,6 +263,20 @@ def test_embedding_labels_below_the_recall_are_compared_whole(spark, monkeypatch
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, n[i], least[g.find(i)]) for i in range(600)]
 
 
+def test_embedding_links_that_no_list_holds_are_found(spark):
+    """Groups larger than a list, two of them with a single link: its ends
+    have nearer partners than the lists hold, and no audit sees them all."""
+    rng, far, step = np.random.default_rng(12), math.acos(0.98), 0.004
+    rows = []
+    for _ in range(12):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        for at in [0.0] * 59 + [2 * step, far + step] + [far + 3 * step] * 59:
+            rows.append((len(rows), (math.cos(at) * a + math.sin(at) * b + rng.standard_normal(24) * 1e-6).tolist(), 0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (60 if i % 120 in (59, 60) else 59, i - i % 120) for i in range(len(rows))}
+
+
 def test_tables_follow_the_bits():
     assert neardup.tables(0, 0.98) == neardup.tables(8, 0.98) == neardup.TABLES
     met = (1 - math.acos(0.98) / math.pi) ** 21

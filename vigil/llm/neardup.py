@@ -13,13 +13,15 @@ a multiplicity.
    by the audit, and by as many again while it is below ``RECALL``.
 3. Audit: of every label about ``AUDIT`` vectors, and about as many of those
    that have a link, are compared with all vectors of the label; the share of
-   their links whose ends are in one component is the label's recall. With 256
-   links seen, a label that misses more than 1.2 % of its links is found with a
-   probability of 0.95; a label with few links is audited by all of them. What
-   the audit finds is added. Labels still below ``RECALL`` after ``MAX_ROUNDS``
-   are compared whole, block by block. Only counts and the pairs of components
-   that a block joins leave it.
-4. Saturated lists: where a component has more members than a list holds, the
+   their links whose ends are in one component is the label's recall. It only
+   says when the descent may end.
+4. Check: lists are short and miss links, so all pairs of a label whose ends are
+   in different components are compared, in blocks. A pair is first bounded by
+   some rotated coordinates and the lengths of the rests (Cauchy-Schwarz); where
+   the bound reaches the threshold, the cosine is taken. Of the components that
+   the links of a block join, a block gives one pair a join. The check is
+   quadratic in the vectors of a label; the memory of a task is not.
+5. Saturated lists: where a component has more members than a list holds, the
    lists of its members are enlarged to the component, which is compared with
    itself in blocks. Counts leave a block, never pairs.
 
@@ -39,7 +41,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.components import components
@@ -60,6 +62,8 @@ LEAST = 0.7
 AUDIT = 256
 RECALL = 0.999
 BLOCK = 1024
+#: Numbers in a block of the check, its cosines at a time, and the error allowed to single precision.
+CHECK, AT_ONCE, ERR = 1 << 21, 1 << 22, 1e-4
 
 
 def _matrix(col: pa.Array) -> list[np.ndarray] | np.ndarray:
@@ -198,8 +202,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def _check(threshold: float):
     """Blocks (tile, space, cid, comp, side, unit) sorted by tile -> the links
-    of side 0 with side 1 and those within components (space, n, k), and the
-    pairs of components that links join (u, v)."""
+    of side 0 with side 1 and those within components (space, n, k)."""
     def run(batches):
         for rows, groups in whole_groups(batches, "tile"):
             space, cid, comp, side = (rows.column(k).to_numpy() for k in ("space", "cid", "comp", "side"))
@@ -210,13 +213,8 @@ def _check(threshold: float):
                 i, j = np.nonzero(x[l] @ x[r].T >= threshold)
                 i, j = a + l[i], a + r[j]
                 i, j = i[cid[i] != cid[j]], j[cid[i] != cid[j]]
-                lost = comp[i] != comp[j]
-                pairs = np.unique(np.stack([comp[i][lost], comp[j][lost]]), axis=1)
-                m = pairs.shape[1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m + 1, space[a])), pa.array(np.append(np.zeros(m, np.int64), len(i))),
-                    pa.array(np.append(np.zeros(m, np.int64), len(i) - int(lost.sum()))),
-                    *[pa.array([*p.tolist(), None], pa.int64()) for p in pairs]], names=["space", "n", "k", "u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in (
+                    space[a], len(i), int((comp[i] == comp[j]).sum()))], names=["space", "n", "k"])
     return run
 
 
@@ -233,7 +231,67 @@ def _compare(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
     rows = dealt(queries, "ql", "vl", 0).unionByName(dealt(vectors, "vl", "ql", 1)).select(
         F.xxhash64("space", "at_ql", "at_vl").alias("tile"), "space", "cid", "comp", "side", "unit")
     return materialize(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(
-        _check(threshold), "space long, n long, k long, u long, v long"), "neardup-audit")
+        _check(threshold), "space long, n long, k long"), "neardup-audit")
+
+
+def _bound(x: np.ndarray) -> np.ndarray:
+    """A quarter of the rotated coordinates and the length of the rest: the
+    products of two rows are no less than the cosine."""
+    dim = x.shape[1]
+    turn = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, min(dim, max(15, dim // 4)))))[0]
+    p = x @ turn
+    rest = np.sqrt(np.maximum((x * x).sum(axis=1) - (p * p).sum(axis=1), 0.0))
+    return np.concatenate([p, rest[:, None]], axis=1).astype(np.float32)
+
+
+def _joins(x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray, threshold: float):
+    """Pairs of components, ``xc`` of the vectors ``x`` and ``yc`` of ``y``,
+    that links join; one pair a join."""
+    names, at = np.unique(np.concatenate([xc, yc]), return_inverse=True)
+    xc, yc = at[:len(xc)].copy(), at[len(xc):].copy()
+    bx, by, some = _bound(x), _bound(y), max(1, AT_ONCE // x.shape[1])
+    for a in range(0, len(x), max(1, AT_ONCE // len(y))):
+        own = xc[a:a + max(1, AT_ONCE // len(y))]
+        i, j = np.nonzero((bx[a:a + len(own)] @ by.T >= threshold - ERR) & (own[:, None] != yc))
+        for k in range(0, len(i), some):
+            u, v = a + i[k:k + some], j[k:k + some]
+            open_ = xc[u] != yc[v]
+            u, v = u[open_], v[open_]
+            link = np.einsum("ij,ij->i", x[u], y[v]) >= threshold
+            for p, q in zip(u[link].tolist(), v[link].tolist()):
+                c, d = xc[p], yc[q]
+                if c != d:
+                    yield names[c], names[d]
+                    xc[xc == d], yc[yc == d] = c, c
+
+
+def _across(threshold: float):
+    """Blocks (tile, cid, comp, side, unit) sorted by tile -> the pairs of
+    components that their links join (u, v)."""
+    def run(batches):
+        for rows, groups in whole_groups(batches, "tile"):
+            comp, side = rows.column("comp").to_numpy(), rows.column("side").to_numpy()
+            units = rows.column("unit").combine_chunks()
+            for a, b in groups:
+                x, c, s = _matrix(units.slice(a, b - a)), comp[a:b], side[a:b]
+                ends = [(x, c)] * 2 if (s < 0).all() else [(x[s == k], c[s == k]) for k in (0, 1)]
+                if not all(len(e[0]) for e in ends):
+                    continue
+                pairs = list(_joins(ends[0][0], ends[1][0], ends[0][1], ends[1][1], threshold))
+                if pairs:
+                    u, v = zip(*pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    return run
+
+
+def _tiles(vectors: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """The vectors of every ``group`` in ``blocks`` blocks (an aggregate), a
+    copy a pair of blocks: ``tile``, and ``side`` -1 (a block with itself), 0 or 1."""
+    cut = vectors.groupBy(group).agg(blocks.cast("int").alias("blocks"))
+    spread = vectors.join(cut, group).withColumn("mine", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    spread = spread.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return spread.withColumn("tile", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn(
+        "side", F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1))
 
 
 def _audited(placed: DataFrame, met: DataFrame) -> DataFrame:
@@ -311,23 +369,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, id_col: str = "ve
         audit = _compare(_audited(placed, comps.select(F.col(comps.columns[0]).alias("cid"))), placed, threshold)
         below = materialize(audit.groupBy("space").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(
             F.col("k") < RECALL * F.col("n")).select("space"), "neardup-below")
-        enough = below.limit(1).count() == 0
-        if enough:
+        if below.limit(1).count() == 0:
             break
-    lost = audit.where("u is not null").select("u", "v")
-    if not enough:
-        rest = placed.join(below, "space", "left_semi")
-        lost = lost.unionByName(_compare(rest, rest, threshold).where("u is not null").select("u", "v"))
+    tiles = _tiles(placed, "space", F.ceil(F.count("*") * F.max(F.size("unit")) / CHECK)).select("tile", "comp", "side", "unit")
+    lost = materialize(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(
+        _across(threshold), "u long, v long"), "neardup-lost")
     if lost.limit(1).count():
         comps = components(links.unionByName(lost))
     comps = materialize(comps.toDF("cid", "comp").join(nodes, "cid"), "neardup-members")
 
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spread = comps.join(blocks, "comp").withColumn("mine", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    spread = spread.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "cid", "mult",
-        F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        "unit")
+    spread = _tiles(comps, "comp", F.ceil(F.count("*") / BLOCK)).select("tile", "cid", "mult", "side", "unit")
     counts = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(
         _count(threshold), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
 
