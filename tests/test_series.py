@@ -123,3 +123,56 @@ def test_a_task_of_a_long_series_holds_a_bounded_chunk(spark):
         assert got["own"] == n
         largest.append(got["n"])
     assert max(largest) <= 50_000 * 1.4
+
+
+def test_a_worker_holds_the_statistics_of_one_slice():
+    """A chunk's statistics come in slices: while they are made and passed on,
+    memory stays below that of all of them at once."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from vigil.operators.kernels import SLICE_ROWS, Stat, run_kernel
+    n = 12 * SLICE_ROWS + 5
+    pdf = pd.DataFrame({"timestamp": np.arange(n)[::-1], "x": np.sin(np.arange(n) * 0.37), "_bstart": 7, "_kn": n + 9})
+    stats = [Stat(f"l{k}", "lag", "x", k) for k in range(1, 41)] + [
+        Stat("next", "lag", "x", -4), Stat("mean", "mean", "x", -12, -1), Stat("first", "first", "x"),
+        Stat("idx", "idx"), Stat("len", "len")]
+    tracemalloc.start()
+    want, at = pdf["x"].to_numpy()[::-1], 0
+    for part in run_kernel(pdf, ["timestamp"], stats):
+        rows = slice(at, at + len(part))
+        assert 0 < len(part) <= SLICE_ROWS and list(part["idx"]) == list(range(at + 7, at + 7 + len(part)))
+        assert np.array_equal(part["x"], want[rows]) and (part["len"] == n + 9).all() and (part["first"] == want[0]).all()
+        for name, k in (("l1", 1), ("l40", 40), ("next", -4)):
+            seen = np.full(n, np.nan)
+            if k > 0:
+                seen[k:] = want[:-k]
+            else:
+                seen[:k] = want[-k:]
+            assert np.array_equal(part[name], seen[rows], equal_nan=True), name
+        at += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n
+    assert peak < 0.75 * n * len(stats) * 8
+
+
+def test_forecast_frame_across_slices_equals_window_engine(spark):
+    """A chunk of several Arrow batches and slices, with gaps in the target and
+    in a whole number column, gives the rows of the window expressions."""
+    from vigil.operators import forecast as fc
+    n = 40_000
+    i = F.col("id")
+    df = spark.range(n).select(
+        i.alias("event_id"), F.lit("a").alias("service"),
+        F.timestamp_micros(F.floor(i / 3) * 1_000_000).cast("timestamp_ntz").alias("timestamp"),
+        F.when(i % 997 != 0, F.sin(i * 0.37) * 40 + 50).alias("cpu_percent"),
+        F.when(i > 25_000, i % 11).alias("container_restarts"))
+    spec = SeriesSpec(keys=("service",), chunk_rows=500_000)
+    names = [*fc.feature_cols(), "target", "container_restarts", "row_idx", "series_rows"]
+    a, b = (fc.forecast_frame(df, spec, dropna=False, engine=e).select("event_id", *names)
+            .toPandas().sort_values("event_id") for e in ("sql", "kernel"))
+    assert len(a) == len(b) == n
+    for c in names:
+        assert np.array_equal(a[c].to_numpy(float), b[c].to_numpy(float), equal_nan=True), c
