@@ -43,3 +43,13 @@ def test_every_flagged_row_has_its_record_of_similar_incidents(spark, source):
     for r in rows.itertuples():
         titles = [INCIDENTS[j % 12][1] for j in nearest(vectors, r.event_id)]
         assert r.similar_titles == " | ".join(titles) and r.similar_incident_reference == titles[0]
+
+
+def test_every_flagged_row_is_analysed_with_its_similar_incidents(spark, source):
+    from vigil.operators.incidents import INCIDENTS
+    path, vectors = source
+    rows = QUERIES["analyze_batch"](spark, path).toPandas()
+    assert len(rows) and (rows["n_similar"] == 3).all()
+    for r in rows.itertuples():
+        first = INCIDENTS[nearest(vectors, r.event_id)[0] % 12]
+        assert (r.similar_incident_reference, r.estimated_resolution_minutes) == (first[1], first[-1])
